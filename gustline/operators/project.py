@@ -107,7 +107,7 @@ def history_to_observations(history: DataFrame, stations: DataFrame) -> DataFram
         "windchill_string": U.temperature_display(chill, gap=""),
         "windchill_f": chill,
         "windchill_c": U.celsius(chill),
-        "visibility_mi": U.number("Vis. (mi.)"),
+        "visibility_mi": U.number("`Vis. (mi.)`"),
         "two_day_history_url": F.concat(F.lit(HISTORY_URL), "station_id", F.lit(".html")),
         "ob_url": F.concat(F.lit(METAR_URL), "station_id", F.lit(".1.txt")),
         **{k: F.lit(v) for k, v in FEED_CONSTANTS.items()},

@@ -32,9 +32,14 @@ def not_before_batch(obs: Column, batch_date: Column) -> Column:
     return F.to_date(obs) >= batch_date
 
 
+def is_derived_file(name: Column | str) -> Column:
+    """Combined, latest and check copies, which are never read as base data."""
+    name = F.col(name) if isinstance(name, str) else name
+    return name.rlike(DERIVED_FILES)
+
+
 def original_files(df: DataFrame, name: str) -> DataFrame:
-    """Without combined, latest and check copies."""
-    return df.where(~F.col(name).rlike(DERIVED_FILES))
+    return df.where(~is_derived_file(name))
 
 
 def date_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustline.functions.text import strip_tags
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
 
 
@@ -48,3 +49,20 @@ def forecast_section(text: Column | str, station: str, header: str = "ANZ") -> C
     own = F.filter(parts, lambda p: p.startswith(station))
     ended = F.transform(own, lambda p: F.regexp_replace(p, r"(?m)\.$", ".\n"))
     return F.array_join(ended, "")
+
+
+def paragraph_text(html: Column | str) -> Column:
+    """Text of a page's paragraphs, one after the other; a highlighted warning is followed by an empty line."""
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<p\b.*?</p>)"), F.lit(1))
+    text = lambda b: strip_tags(b)
+    lines = F.transform(blocks, lambda b: F.when(b.rlike(r'(?i)^<p[^>]*class="warn-highlight'), F.concat(text(b), F.lit("\n\n"))).otherwise(text(b)))
+    return F.array_join(lines, "\n")
+
+
+def bulletin_section(html: Column | str, station: str) -> Column:
+    """The first zone block (``ANZ535-111111`` to the next such header or the tail) that names ``station``."""
+    html = F.col(html) if isinstance(html, str) else html
+    body = F.regexp_replace(html, r"(?s).{0,5}Start Tail.*$", "")
+    blocks = F.filter(F.split(body, r"(?=\w{3}\d{3}\W\d{6})"), lambda b: b.rlike(r"^\w{3}\d{3}\W\d{6}"))
+    own = F.filter(blocks, lambda b: b.contains(station))
+    return F.coalesce(strip_tags(F.get(own, F.lit(0))), F.lit("<not found>"))

@@ -87,10 +87,8 @@ def gap_fill(spark, sf_dir):
     return audit.gap_fill(hourly, "station", ["value"], ["props"])
 
 
-@query(
-    "retime_repair",
-    """
-    WITH r AS (SELECT event_id, event_type || '-' || CAST(user_id % 3 AS VARCHAR) AS station,
+_RETIME_CTES = """
+    r AS (SELECT event_id, event_type || '-' || CAST(user_id % 3 AS VARCHAR) AS station,
                       date_trunc('hour', ts) AS obs_hour, value FROM events),
          l AS (SELECT *, lag(obs_hour) OVER w AS p, lag(event_id) OVER w AS pid FROM r
                WINDOW w AS (PARTITION BY station ORDER BY obs_hour, event_id)),
@@ -98,20 +96,41 @@ def gap_fill(spark, sf_dir):
          days AS (SELECT station, d FROM g GROUP BY 1, 2 HAVING count(*) = 24),
          fix AS (SELECT g.pid, g.p + g.nm * INTERVAL 1 HOUR AS t,
                         row_number() OVER (PARTITION BY g.station, g.d ORDER BY g.obs_hour DESC, g.event_id DESC) AS rn
-                 FROM g JOIN days USING (station, d) WHERE g.nm >= 1)
-    SELECT r.event_id, r.station, coalesce(f.t, r.obs_hour) AS obs_hour,
-           CASE WHEN f.pid IS NULL THEN r.value END AS value, f.pid IS NOT NULL AS is_retimed
-    FROM r LEFT JOIN (SELECT * FROM fix WHERE rn = 1) f ON r.event_id = f.pid
-    """,
-)
-def retime_repair(spark, sf_dir):
-    rows = events(spark, sf_dir).select(
+                 FROM g JOIN days USING (station, d) WHERE g.nm >= 1),
+         t AS (SELECT r.event_id, r.station, coalesce(f.t, r.obs_hour) AS obs_hour,
+                      CASE WHEN f.pid IS NULL THEN r.value END AS value, f.pid IS NOT NULL AS is_retimed
+               FROM r LEFT JOIN (SELECT * FROM fix WHERE rn = 1) f ON r.event_id = f.pid)
+    """
+
+
+def _hour_rows(spark, sf_dir):
+    return events(spark, sf_dir).select(
         "event_id",
         F.concat("event_type", F.lit("-"), (F.col("user_id") % 3).cast("string")).alias("station"),
         hour_floor("ts").alias("obs_hour"),
         "value",
     )
-    return audit.retime_repair(rows, "station", "obs_hour", "event_id", ["value"])
+
+
+@query("retime_repair", f"WITH {_RETIME_CTES} SELECT event_id, station, obs_hour, value, is_retimed FROM t")
+def retime_repair(spark, sf_dir):
+    return audit.retime_repair(_hour_rows(spark, sf_dir), "station", "obs_hour", "event_id", ["value"])
+
+
+@query(
+    "audit_repair",
+    f"""
+    WITH {_RETIME_CTES},
+         h AS (SELECT station, obs_hour, arg_max(coalesce(value, -1), event_id) AS value FROM t GROUP BY 1, 2),
+         c AS (SELECT station, min(CAST(obs_hour AS DATE)) AS d0, max(CAST(obs_hour AS DATE)) AS d1 FROM h GROUP BY 1),
+         cal AS (SELECT station, x.t AS obs_hour FROM c, LATERAL (SELECT unnest(generate_series(
+                      CAST(d0 AS TIMESTAMP), CAST(d1 AS TIMESTAMP) + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS t) x)
+    SELECT cal.station, cal.obs_hour, nullif(h.value, -1) AS value, h.obs_hour IS NULL AS is_added
+    FROM cal LEFT JOIN h ON h.station = cal.station AND h.obs_hour = cal.obs_hour
+    """,
+)
+def audit_repair(spark, sf_dir):
+    return audit.audit(_hour_rows(spark, sf_dir), "station", "obs_hour", "event_id", ["value"], [])
 
 
 HIGHWATER_SQL = f"""

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from gustline.functions.times import emit_time
+from gustline.functions.units import number
 from gustline.operators import audit, summary
-from gustline.plans.registry import events, query
+from gustline.plans.registry import events, query, table
 from gustline.sinks import tables
+from gustline.sources import observations, pages
 
 
 @query(
@@ -18,6 +20,10 @@ from gustline.sinks import tables
     """,
 )
 def html_fragment(spark, sf_dir):
+    return _fragments(spark, sf_dir)
+
+
+def _fragments(spark, sf_dir):
     # one reading per hour, so a station-day has at most 24 rows
     rows = events(spark, sf_dir).select(F.col("user_id").alias("station"), "ts", "event_id", "value")
     hourly = audit.hourly_series(rows, "station", "ts", "event_id", "value")
@@ -25,6 +31,44 @@ def html_fragment(spark, sf_dir):
     return tables.html_fragments(shown, ["station", "obs_date"], "obs_hour", ["clock", "value"])
 
 
+@query(
+    "table_rows",
+    """
+    WITH h AS (SELECT user_id AS station, date_trunc('hour', ts) AS obs_hour, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2)
+    SELECT station, CAST(obs_hour AS DATE) AS obs_date, strftime(obs_hour, '%H:%M') AS clock, value,
+           CAST(row_number() OVER (PARTITION BY station, CAST(obs_hour AS DATE) ORDER BY obs_hour) - 1 AS INTEGER) AS row_no FROM h
+    """,
+)
+def table_rows(spark, sf_dir):
+    # the page tables are the fragments of the readings, so taking them apart must give the readings back
+    rows = pages.table_rows(_fragments(spark, sf_dir), "html", ["station", "obs_date"])
+    cells = F.col("cells")
+    return rows.select("station", "obs_date", cells[0].alias("clock"), number(cells[1]).alias("value"), "row_no")
+
+
+@query(
+    "station_directory",
+    """
+    SELECT upper(n_name) AS state, s_name AS name, 'S' || CAST(s_suppkey AS VARCHAR) || '.xml' AS xml
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    """,
+)
+def station_directory(spark, sf_dir):
+    # one state page per supplier: a header row, the station's row with three links, and a row without
+    key = F.col("s_suppkey").cast("string")
+    cell = lambda href, label: F.concat(F.lit('<td><a href="'), href, F.lit('">'), label, F.lit("</a></td>"))
+    page = F.concat(
+        F.lit("<table><tr><th>Station</th></tr><tr>"), cell(F.concat(F.lit("rss/S"), key), F.col("s_name")),
+        cell(F.concat(F.lit("S"), key, F.lit(".xml")), F.lit("XML")), cell(F.lit("rss.php"), F.lit("RSS")),
+        F.lit("</tr><tr><td>end</td></tr></table>"),
+    )
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    state_pages = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+        F.col("n_name").alias("state"), page.alias("html")
+    )
+    return pages.station_directory(state_pages, "html", "state").drop("links")
+
+
 @query(
     "html_rows",
     """
@@ -54,6 +98,18 @@ def xml_export(spark, sf_dir):
     return rows.select("event_id", tables.xml_record("station_id", "wind_mph", "observation_time").alias("xml"))
 
 
+@query(
+    "xml_parse",
+    """
+    SELECT event_id, event_type AS station_id, nullif(value, 0.01) AS wind_mph, strftime(ts, '%Y-%m-%d %H:%M:%S') AS observation_time FROM events
+    """,
+)
+def xml_parse(spark, sf_dir):
+    # exported records read back by field name; the removed value comes back as NULL
+    records = observations.parse_xml(xml_export(spark, sf_dir), "xml", ["event_id"])
+    return records.select("event_id", "station_id", number("wind_mph").alias("wind_mph"), "observation_time")
+
+
 @query(
     "split_json",
     """
@@ -69,11 +125,20 @@ def split_json(spark, sf_dir):
 @query(
     "summary_json",
     """
-    SELECT '{"station":"' || event_type || '","date":"' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '","max":' || CAST(max(value) AS VARCHAR)
+    SELECT '{"station":"' || event_type || '","date":"' || strftime(CAST(ts AS DATE), '%Y-%m-%d') || '","polyfit":'
+           || CASE WHEN count(value) > 1 THEN CAST(CAST(round(regr_slope(value, date_diff('microsecond', date_trunc('day', ts), ts) / 86400000000.0), 4)
+                   AS DECIMAL(18, 4)) AS VARCHAR) ELSE '0.0000' END
+           || ',"max":' || CAST(max(value) AS VARCHAR)
            || ',"min":' || CAST(min(value) AS VARCHAR) || '}' AS json FROM events GROUP BY event_type, CAST(ts AS DATE)
     """,
 )
 def summary_json(spark, sf_dir):
     days = summary.daily_summary(events(spark, sf_dir), "event_type", "ts", "value")
-    fields = F.struct("station", F.col("obs_date").alias("date"), F.col("max_value").alias("max"), F.col("min_value").alias("min"))
+    fields = F.struct(
+        "station",
+        F.col("obs_date").alias("date"),
+        F.col("slope").cast("decimal(18,4)").alias("polyfit"),
+        F.col("max_value").alias("max"),
+        F.col("min_value").alias("min"),
+    )
     return days.select(F.to_json(fields).alias("json"))

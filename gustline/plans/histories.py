@@ -5,12 +5,15 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gustline.functions.times import hours, range_file_key
-from gustline.operators import quality
+from gustline.functions.units import number
+from gustline.operators import project, quality
 from gustline.plans.registry import events, query, table
+from gustline.session import fresh_folder
 from gustline.sinks import tables
+from gustline.sources import observations
 
 START, END = date(1996, 12, 15), date(1997, 3, 2)
-SLICE_DAY = date(2024, 1, 10)
+SLICE_DAY, SLICE_END = date(2024, 1, 10), date(2024, 1, 12)
 
 
 @query(
@@ -137,11 +140,60 @@ def drop_missing(spark, sf_dir):
 
 
 @query(
-    "original_files",
-    "SELECT doc_id, source FROM documents WHERE doc_id % 5 = 0",
+    "derived_files",
+    """
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN false ELSE true END AS is_derived FROM documents
+    """,
 )
-def original_files(spark, sf_dir):
+def derived_files(spark, sf_dir):
     # four of five documents are named like a derived copy
-    suffix = F.element_at(F.array(*[F.lit(s) for s in ("", "_Range3", "_Monthly", "_Yearly", "_latest")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    named = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("source", suffix).alias("file_name"))
-    return quality.original_files(named, "file_name").drop("file_name")
+    suffixes = F.array(*[F.lit(s) for s in ("", "_Range3", "_Monthly", "_Yearly", "_latest")])
+    name = F.concat("source", F.element_at(suffixes, (F.col("doc_id") % 5 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", quality.is_derived_file(name).alias("is_derived"))
+
+
+_SPLIT_SQL = """
+    SELECT event_type AS station_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+           CAST(day(ts) AS INTEGER) AS day, event_id, value FROM events
+    """
+
+
+@query("split_days", _SPLIT_SQL)
+def split_days(spark, sf_dir):
+    folder = fresh_folder(spark, "split-days")
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("station_id"), "ts", "event_id", "value")
+    tables.split_days(rows, folder, "ts")
+    return spark.read.parquet(folder).select("station_id", "year", "month", "day", "event_id", "value")
+
+
+@query(
+    "table_range",
+    f"""
+    SELECT event_id, event_type AS station_id, CAST(ts AS DATE) AS obs_date, value FROM events
+    WHERE CAST(ts AS DATE) BETWEEN DATE '{SLICE_DAY}' AND DATE '{SLICE_END}'
+    """,
+)
+def table_range(spark, sf_dir):
+    folder = fresh_folder(spark, "observations")
+    rows = events(spark, sf_dir).select(F.col("event_type").alias("station_id"), "ts", "event_id", "value")
+    tables.append_observations(rows, folder, "ts")
+    in_range = observations.read_table_range(spark, folder, SLICE_DAY, SLICE_END)
+    return in_range.select("event_id", "station_id", "obs_date", "value")
+
+
+@query(
+    "csv_files",
+    "SELECT event_id, nullif(value, 0.01) AS value, event_type FROM events",
+)
+def csv_files(spark, sf_dir):
+    folder = fresh_folder(spark, "csv-files")
+    rows = events(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("station_id"),
+        F.nullif("value", F.lit(0.01)).cast("string").alias("wind_mph"),
+        F.col("event_type").alias("wind_dir"),
+    )
+    tables.write_csv(project.canonical(rows), folder)
+    back = observations.read_csv(spark, folder)
+    return back.select(
+        F.col("station_id").cast("bigint").alias("event_id"), number("wind_mph").alias("value"), F.col("wind_dir").alias("event_type")
+    )

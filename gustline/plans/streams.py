@@ -11,7 +11,7 @@ from gustline.streaming import ingest
 
 def _stream(spark, sf_dir, purpose):
     folder = fresh_folder(spark, purpose)
-    return ingest.table_stream(spark, f"{sf_dir}/events.parquet"), folder
+    return ingest.table_stream(spark, sf_dir, "events.parquet"), folder
 
 
 @query(
@@ -27,7 +27,7 @@ def stream_ingest(spark, sf_dir):
         "event_id", F.col("event_type").alias("station"), "ts", "value", F.nullif("event_type", F.lit("error")).alias("wind_dir")
     )
     local_now = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 6).cast("int"))
-    # whole seconds never repeat inside a station here only with the id, so the id is part of the key
+    # a reading is one event here, so the id belongs to the key that must not repeat
     keyed = rows.withColumn("reading", F.concat_ws("#", "station", "event_id"))
     clean = ingest.clean_records(ingest.drop_late(keyed, "ts", local_now), "reading", "ts", ("wind_dir",))
     records = clean.select("event_id", "station", "ts", "value", "is_suspect", F.to_date("ts").alias("obs_date"))

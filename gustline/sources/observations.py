@@ -34,6 +34,13 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return _xml(spark.read).load(path)
 
 
+def parse_xml(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
+    """Record text in a column -> the 43 fields by name; text shorter than 4 characters gives no row."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "ignoreNamespace": "true"}
+    record = F.from_xml(xml, RAW_WITH_CORRUPT.simpleString(), options)
+    return df.where(F.length(xml) >= 4).select(*keep, record.alias("_r")).select(*keep, "_r.*")
+
+
 def stream_xml(spark: SparkSession, landing: str, files_per_batch: int = 10_000) -> DataFrame:
     return _xml(spark.readStream).option("maxFilesPerTrigger", files_per_batch).load(landing)
 

@@ -12,10 +12,11 @@ from gustline.operators.ordered import ROWS_PER_SLICE
 from gustline.operators.quality import REQUIRED, is_current, is_suspect, not_before_batch
 
 
-def table_stream(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
-    """A Parquet table or folder as a file stream with the table's own schema."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def table_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 10_000) -> DataFrame:
+    """Parquet files of a folder as a file stream, with the schema of the files already there."""
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def event_time(df: DataFrame, ts: str, name: str = "event_time") -> DataFrame:
