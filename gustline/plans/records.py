@@ -51,7 +51,7 @@ def typed_record(spark, sf_dir):
            CASE user_id % 3 WHEN 0 THEN '0.0' ELSE CAST(trunc(value) AS VARCHAR) END AS wind_mph,
            CASE user_id % 3 WHEN 2 THEN CAST(trunc(value) + 12 AS VARCHAR) END AS wind_gust_mph,
            CAST(CAST(user_id % 90 AS DOUBLE) AS VARCHAR) AS temp_f,
-           round((user_id % 90 - 32) * 0.5556, 4) AS temp_c,
+           round(CAST(user_id % 90 - 32 AS DOUBLE) * CAST(0.5556 AS DOUBLE), 4) AS temp_c,
            'https://www.weather.gov/data/obhistory/' || CAST(n_nationkey AS VARCHAR) || '.html' AS two_day_history_url
     FROM events e LEFT JOIN nation ON user_id % 25 = n_nationkey
     """,
