@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.functions.times import day_floor, hour_diff, hour_floor, hours
@@ -28,7 +28,7 @@ def _prior(previous: Column, ts: Column) -> Column:
 
 
 def gap_rows(
-    df: DataFrame, station: str, ts: str, order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, station: str, ts: str, order: list[str], rows_per_slice: int | None = ROWS_PER_SLICE
 ) -> DataFrame:
     """Rows that do not follow their predecessor by 0 or 1 hour.
 
@@ -90,26 +90,28 @@ def gap_fill(hourly: DataFrame, station: str, measures: list[str], constants: li
     """Add a row for every hour without one, from a station's first day to its last.
 
     Measures of added rows are NULL, ``constants`` (location, coordinates) are copied from the
-    station's first row. Days are summarised as bit masks, so no window and no row list is needed.
+    station's first row. Hours are reduced to one bit mask per (station, day), so the window below
+    runs over at most 366 rows a year and station; hours between two days come from the day before.
     """
-    masks = day_hours(hourly, station, "obs_hour").select(station, "obs_date", "hour_mask")
-    first_row = F.min_by(F.struct(*constants), F.col("obs_hour")) if constants else F.lit(None).cast("struct<x:int>")
-    span = hourly.groupBy(station).agg(
-        F.min(F.to_date("obs_hour")).alias("_from"), F.max(F.to_date("obs_hour")).alias("_to"), first_row.alias("_c")
+    bit = F.call_function("shiftleft", F.lit(1), F.hour("obs_hour"))
+    first_of_day = [F.min_by(F.struct(*constants), "obs_hour").alias("_c")] if constants else []
+    days = hourly.groupBy(station, F.to_date("obs_hour").alias("_day")).agg(F.bit_or(bit).alias("_mask"), *first_of_day)
+    in_order = Window.partitionBy(station).orderBy("_day")
+    days = days.withColumn("_prev", F.lag("_day").over(in_order))
+    if constants:
+        days = days.withColumn("_c", F.first("_c").over(in_order))
+    midnight = F.col("_day").cast("timestamp_ntz")
+    absent = F.filter(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1)), lambda h: F.getbit("_mask", h) == 0)
+    own = F.transform(absent, lambda h: midnight + F.make_dt_interval(hours=h))
+    after_prev = F.date_add("_prev", 1).cast("timestamp_ntz")
+    between = F.when(
+        after_prev < midnight, F.sequence(after_prev, midnight - hours(1), F.make_dt_interval(hours=F.lit(1)))
     )
-    day = F.explode(F.sequence("_from", "_to", F.make_dt_interval(days=F.lit(1)))).alias("obs_date")
-    bit = lambda h: F.getbit(F.coalesce("hour_mask", F.lit(0)), h)
-    absent = F.filter(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1)), lambda h: bit(h) == 0)
-    added = (
-        span.select(station, "_c", day)
-        .join(masks, [station, "obs_date"], "left")
-        .select(station, "_c", "obs_date", F.explode(absent).alias("_h"))
-        .select(
-            station,
-            (F.col("obs_date").cast("timestamp_ntz") + hours(F.col("_h"))).alias("obs_hour"),
-            *[F.col("_c")[c].alias(c) for c in constants],
-            F.lit(True).alias("is_added"),
-        )
+    added = days.select(
+        station,
+        F.explode(F.concat(own, F.coalesce(between, F.array().cast("array<timestamp_ntz>")))).alias("obs_hour"),
+        *[F.col("_c")[c].alias(c) for c in constants],
+        F.lit(True).alias("is_added"),
     )
     kept = hourly.select(station, "obs_hour", *measures, *constants, F.lit(False).alias("is_added"))
     return kept.unionByName(added, allowMissingColumns=True)

@@ -32,12 +32,20 @@ def change_only(
     return scan.done().where(changed).drop("_prev")
 
 
-def consecutive_duplicates(
+def consecutive_flags(
     df: DataFrame, station: str, content: str, order: list[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """Rows whose ``content`` (a fingerprint) equals that of the row before in the given order."""
+    """Add ``is_dup``: ``content`` (a fingerprint) equals that of the row before in the given order."""
     scan = ordered(df, [station], order, rows_per_slice).previous("_prev", content)
-    return scan.done().where(F.col(content) == F.col("_prev")[content]).drop("_prev")
+    same = F.coalesce(F.col(content) == F.col("_prev")[content], F.lit(False))
+    return scan.done().withColumn("is_dup", same).drop("_prev")
+
+
+def consecutive_duplicates(
+    df: DataFrame, station: str, content: str, order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Only the rows that repeat the row before them."""
+    return consecutive_flags(df, station, content, order, rows_per_slice).where("is_dup").drop("is_dup")
 
 
 def any_duplicates(df: DataFrame, content: str, row_id: str) -> DataFrame:
@@ -62,10 +70,13 @@ def skip_unchanged(incoming: DataFrame, stored: DataFrame, station: str, day: st
 
     ``stored`` is reduced to the newest content per (station, day) before it is joined.
     """
-    newest = stored.groupBy(station, day).agg(F.max_by(content, ts).alias("_content"))
-    shifted = newest.select(station, F.date_add(day, 1).alias(day), F.col("_content").alias("_before"))
-    known = newest.join(shifted, [station, day], "full").select(
-        station, day, F.md5(F.coalesce("_content", "_before")).alias("_md5")
+    newest = stored.groupBy(station, day).agg(F.md5(F.max_by(content, ts)).alias("_md5"))
+    # stored content speaks for its own day first, then for the day after
+    valid = F.explode(F.array(F.struct(F.col(day).alias("d"), F.lit(0).alias("age")), F.struct(F.date_add(day, 1).alias("d"), F.lit(1).alias("age"))))
+    known = (
+        newest.select(station, "_md5", valid.alias("_v"))
+        .groupBy(station, F.col("_v.d").alias(day))
+        .agg(F.min_by("_md5", "_v.age").alias("_md5"))
     )
     # the fingerprint is part of the join key: equal content meets in one row per (station, day)
     return (

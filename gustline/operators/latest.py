@@ -26,7 +26,7 @@ def last_row(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 def asof_latest(df: DataFrame, key: str, ts: str, tie: str, columns: list[str], as_of: Column) -> DataFrame:
     """Newest row per key not later than one day after ``as_of`` (stations ahead of the clock count)."""
-    usable = df.where(F.to_date(ts) <= F.date_add(F.to_date(as_of), 1))
+    usable = df.where(F.col(ts) < F.date_add(F.to_date(as_of), 2).cast("timestamp_ntz"))
     return latest_per_key(usable, [key], [ts, tie], columns)
 
 

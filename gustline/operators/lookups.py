@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.operators.latest import best_source, latest_per_key
+from gustline.operators.quality import date_range
 
 # Abbreviations the operating system's zone table knows, minutes east of UTC.
 SYSTEM_ZONES = (("EST", -300), ("MST", -420), ("HST", -600), ("UTC", 0), ("GMT", 0), ("WET", 0), ("CET", 60), ("MET", 60), ("EET", 120))
@@ -62,5 +63,5 @@ def source_fallback(primary: DataFrame, alternate: DataFrame, keys: list[str], a
 
 def fresh_keys(df: DataFrame, files: DataFrame, key: str, day: str, as_of: Column, days: int = 7) -> DataFrame:
     """Rows of ``df`` whose key has a file dated within ``days`` before ``as_of``."""
-    recent = files.where(F.to_date(day).between(F.date_sub(F.to_date(as_of), days), F.to_date(as_of)))
+    recent = date_range(files, day, F.date_sub(F.to_date(as_of), days), as_of)
     return df.join(recent.select(key).distinct(), key, "left_semi")

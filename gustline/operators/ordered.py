@@ -27,8 +27,8 @@ SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
 # A key outside the MAX_HOT_KEYS biggest holds less than 1/MAX_HOT_KEYS of all rows, which bounds its task.
 MAX_HOT_KEYS = 10_000
-# The carry table has one narrow row per slice; beyond this many it is joined by shuffle instead.
-MAX_BROADCAST_SLICES = 200_000
+# More slices than this would cost more in shuffle blocks than they save; slices get bigger instead.
+MAX_SLICES = 20_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -39,9 +39,11 @@ def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "_r_" + k for k in keys})
 
 
-def _join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str, small: bool = True) -> DataFrame:
+def _join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Broadcast join. ``right`` is the hot-key list (at most MAX_HOT_KEYS rows) or a carry table, which has
+    one narrow row per hot (key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows, since slices are contiguous."""
     right = _renamed(right, keys)
-    joined = left.join(F.broadcast(right) if small else right, _same(left, right, keys), how)
+    joined = left.join(F.broadcast(right), _same(left, right, keys), how)
     return joined.drop(*["_r_" + k for k in keys])
 
 
@@ -63,7 +65,7 @@ class Ordered:
 
     def _with_carry(self, df: DataFrame, per_slice: DataFrame, carried: Column) -> DataFrame:
         carry = per_slice.select(*self.keys, SLICE, carried.alias("_carry")).where(F.col("_carry").isNotNull())
-        return _join_small(df, carry, [*self.keys, SLICE], "left", self.slices <= MAX_BROADCAST_SLICES)
+        return _join_small(df, carry, [*self.keys, SLICE], "left")
 
     def _neighbour(self, out: str, cols: list[str], forward: bool) -> Ordered:
         shift, edge = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
@@ -112,14 +114,20 @@ class Ordered:
         return self.df.drop(SLICE)
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE) -> Ordered:
-    """Start an ordered scan. ``order`` must be total inside a key: end it with a unique column."""
+def ordered(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = ROWS_PER_SLICE) -> Ordered:
+    """Start an ordered scan. ``order`` must be total inside a key: end it with a unique column.
+
+    ``rows_per_slice=None`` skips the search for hot keys; only for input whose rows per key are bounded,
+    such as one row per station and hour.
+    """
     keys, order = list(keys), list(order)
+    if rows_per_slice is None:
+        return Ordered(df, keys, order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
     hot = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
     if not hot:
         return Ordered(df, keys, order)
-    slices = ceil(sum(row["_n"] for row in hot) / rows_per_slice)
+    slices = min(ceil(sum(row["_n"] for row in hot) / rows_per_slice), MAX_SLICES)
     hot_keys = df.sparkSession.createDataFrame(hot, counts.schema).drop("_n")
     sliced = reliable_checkpoint(
         _join_small(df, hot_keys, keys, "left_semi")

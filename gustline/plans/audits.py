@@ -33,7 +33,7 @@ _HOURS = "SELECT DISTINCT event_type AS station, date_trunc('hour', ts) AS obs_h
 def gap_list(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("event_type").alias("station"), "ts", "event_id")
     hourly = audit.hourly_series(rows, "station", "ts", "event_id")
-    return audit.missing_hours(audit.gap_rows(hourly, "station", "obs_hour", ["obs_hour"]), "station", "obs_hour")
+    return audit.missing_hours(audit.gap_rows(hourly, "station", "obs_hour", ["obs_hour"], None), "station", "obs_hour")
 
 
 @query(

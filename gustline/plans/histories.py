@@ -193,7 +193,7 @@ def csv_files(spark, sf_dir):
         F.col("event_type").alias("wind_dir"),
     )
     tables.write_csv(project.canonical(rows), folder)
-    back = observations.read_csv(spark, folder)
+    back = observations.read_csv(spark, folder, multiline=False)
     return back.select(
         F.col("station_id").cast("bigint").alias("event_id"), number("wind_mph").alias("value"), F.col("wind_dir").alias("event_type")
     )

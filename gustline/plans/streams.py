@@ -31,7 +31,7 @@ def stream_ingest(spark, sf_dir):
     keyed = rows.withColumn("reading", F.concat_ws("#", "station", "event_id"))
     clean = ingest.clean_records(ingest.drop_late(keyed, "ts", local_now), "reading", "ts", ("wind_dir",))
     records = clean.select("event_id", "station", "ts", "value", "is_suspect", F.to_date("ts").alias("obs_date"))
-    ingest.start_ingest(records, f"{folder}/table", f"{folder}/checkpoint", ["station", "obs_date"]).awaitTermination()
+    ingest.start_ingest(records, f"{folder}/table", f"{folder}/checkpoint", "obs_date").awaitTermination()
     return spark.read.parquet(f"{folder}/table").select(*records.columns)
 
 

@@ -109,11 +109,8 @@ def publish_minute_quantiles(spark, sf_dir):
 )
 def dup_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id", F.md5("text").alias("content_md5"))
-    found = dedup.consecutive_duplicates(docs, "lang", "content_md5", ["n_chars", "doc_id"]).groupBy("lang").count()
-    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"))
-    return seen.join(found, "lang", "left").select(
-        "lang", "n_files", F.coalesce("count", F.lit(0)).alias("n_duplicates")
-    )
+    flagged = dedup.consecutive_flags(docs, "lang", "content_md5", ["n_chars", "doc_id"])
+    return dedup.duplicate_summary(flagged, "lang", F.col("is_dup"))
 
 
 @query(

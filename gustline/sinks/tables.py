@@ -9,7 +9,7 @@ from gustline.functions.text import NULL_TOKEN, html_row
 from gustline.functions.times import file_key
 from gustline.operators.latest import latest_per_key
 
-PARTITIONS = ["station_id", "obs_date"]
+PARTITION = "obs_date"
 
 
 def _sized_files(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,9 +22,13 @@ def _dated(df: DataFrame, ts: str) -> DataFrame:
 
 
 def append_observations(df: DataFrame, path: str, ts: str = "obs_local") -> None:
-    """Append to the table partitioned by station and day; a new day is simply a new partition."""
-    rows = _sized_files(_dated(df, ts), PARTITIONS)
-    rows.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    """Append to the table partitioned by day; a new day is simply a new partition.
+
+    A station-day is some 24 rows, far too few for a directory of its own. Files are sorted by station
+    instead, so a station filter skips row groups by their statistics.
+    """
+    rows = _sized_files(_dated(df, ts), [PARTITION]).sortWithinPartitions(PARTITION, "station_id", ts)
+    rows.write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
 def split_days(df: DataFrame, path: str, ts: str = "obs_local", station: str = "*") -> None:

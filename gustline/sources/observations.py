@@ -45,10 +45,14 @@ def stream_xml(spark: SparkSession, landing: str, files_per_batch: int = 10_000)
     return _xml(spark.readStream).option("maxFilesPerTrigger", files_per_batch).load(landing)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Station CSV files (quoted, header, no-value token). A missing path gives an empty frame."""
+def read_csv(spark: SparkSession, path: str | list[str], glob: str | None = None, multiline: bool = True) -> DataFrame:
+    """Station CSV files (quoted, header, no-value token). A missing path gives an empty frame.
+
+    Daily files may hold line breaks inside quotes. Big files without them, such as those written by
+    ``sinks.tables``, should be read with ``multiline=False``, so that Spark can split them.
+    """
     reader = spark.read.schema(CSV_RECORD).option("header", True).option("nullValue", NULL_TOKEN)
-    reader = reader.option("multiLine", True).option("escape", '"')
+    reader = reader.option("multiLine", multiline).option("escape", '"')
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     try:

@@ -50,9 +50,9 @@ def drop_late(df: DataFrame, obs: str, local_now: Column, batch_date: Column | N
     return kept.where(not_before_batch(F.col(obs), batch_date)) if batch_date is not None else kept
 
 
-def start_ingest(records: DataFrame, table: str, checkpoint: str, partitions: list[str], continuous: str | None = None) -> StreamingQuery:
-    """Append to a Parquet table partitioned by station and day."""
-    return _start(records, checkpoint, continuous).format("parquet").outputMode("append").partitionBy(*partitions).start(table)
+def start_ingest(records: DataFrame, table: str, checkpoint: str, partition: str = "obs_date", continuous: str | None = None) -> StreamingQuery:
+    """Append to a Parquet table partitioned by day."""
+    return _start(records, checkpoint, continuous).format("parquet").outputMode("append").partitionBy(partition).start(table)
 
 
 def start_quarantine(records: DataFrame, folder: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:

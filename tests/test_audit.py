@@ -71,6 +71,7 @@ def test_gap_fill(spark):
     df = series(spark, *range(5), *range(8, 20), 49)
     hourly = audit.hourly_series(df, "station", "ts", "id", "wind", "loc")
     filled = audit.gap_fill(hourly, "station", ["wind"], ["loc"]).collect()
+    assert len(filled) == audit.gap_fill(hourly.drop("loc"), "station", ["wind"]).count() == 72
     assert sorted(r.obs_hour for r in filled) == [DAY + timedelta(hours=h) for h in range(72)]
     added = [r for r in filled if r.is_added]
     assert len(added) == 72 - 18 and all(r.wind is None and r["loc"] == "DC" for r in added)

@@ -13,7 +13,7 @@ def feed(spark):
     """One station with a third of all rows, one without a name, and 40 small ones; many equal times."""
     rng = random.Random(5)
     rows = []
-    for i in range(3000):
+    for i in range(1500):
         station = "hot" if i % 3 == 0 else None if i % 3 == 1 and i % 2 else f"s{rng.randrange(40)}"
         value = rng.randrange(6) if rng.random() > 0.1 else None
         rows.append((station, rng.randrange(200), i, value))
@@ -27,7 +27,7 @@ def same(a, b):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
+@pytest.mark.parametrize("size", [9, 100, 10_000])
 def test_slices_give_the_plain_windows(feed, size):
     start = lambda: ordered(feed, ["station"], ["t", "id"], size)
     assert (start().slices > 0) == (size < 1000)
@@ -57,7 +57,7 @@ def test_slices_give_the_plain_windows(feed, size):
 def test_hot_slices_are_even(feed):
     hot = ordered(feed, ["station"], ["t", "id"], 100).df.where("_slice >= 0")
     sizes = [r["count"] for r in hot.groupBy("station", "_slice").count().collect()]
-    assert max(sizes) <= 300 and sum(sizes) >= 1000
+    assert max(sizes) <= 300 and sum(sizes) >= 500
 
 
 @pytest.mark.parametrize("size", [25, 10_000])
