@@ -64,39 +64,55 @@ def hour_diff(later: Column | str, earlier: Column | str) -> Column:
 # --- parsing ---------------------------------------------------------------------------------------
 
 
+def _first_shape(text: Column, shapes: tuple[tuple[str, str], ...], parse) -> Column:
+    """Parse with the pattern of the first shape that fits. A failed parse is an exception inside Spark and
+    costs more than the test, so no pattern is tried on a text that cannot match."""
+    (shape, pattern), *others = shapes
+    chosen = F.when(text.rlike(shape), parse(text, pattern))
+    for shape, pattern in others:
+        chosen = chosen.when(text.rlike(shape), parse(text, pattern))
+    return chosen
+
+
+def _instant(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern))
+
+
 def parse_local_time(c: Column | str) -> Column:
     """``Jan 29 2021, 8:52 am EST`` (any lead text, optional seconds and zone) -> wall clock, else NULL."""
-    iso_like = F.regexp_replace(
+    plain = F.regexp_replace(
         as_col(c),
         r"^.*?\b([A-Za-z]{3})[a-z]* +(\d{1,2}),? +(\d{4}),? +(\d{1,2}:\d{2})(:\d{2})? *([AaPp][Mm])\b.*$",
         "$1 $2 $3 $4$5 $6 +0000",
     )
-    return utc_clock(F.try_to_timestamp(F.initcap(iso_like), F.lit("MMM d yyyy h:mm[:ss] a xx")))
+    parsed = _instant(plain, "MMM d yyyy h:mm[:ss] a xx")
+    return utc_clock(F.when(plain.endswith(" +0000"), parsed))
 
 
 def parse_plain_time(c: Column | str) -> Column:
     """Spreadsheet and ISO forms: ``6/28/2022 17:40``, ``06/28/22 17:40:00``, ``2022-06-28 17:40:00``."""
-    text = F.concat(F.trim(as_col(c)), F.lit(" +0000"))
-    patterns = ("M/d/yyyy H:mm[:ss] xx", "M/d/yy H:mm[:ss] xx", "yyyy-M-d H:mm[:ss] xx")
-    return utc_clock(F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns]))
+    shapes = (
+        (r"^\d{1,2}/\d{1,2}/\d{4} +\d", "M/d/yyyy H:mm[:ss] xx"),
+        (r"^\d{1,2}/\d{1,2}/\d{2} +\d", "M/d/yy H:mm[:ss] xx"),
+        (r"^\d{4}-\d{1,2}-\d{1,2} +\d", "yyyy-M-d H:mm[:ss] xx"),
+    )
+    return utc_clock(_first_shape(F.concat(F.trim(as_col(c)), F.lit(" +0000")), shapes, _instant))
 
 
 def parse_rfc_time(c: Column | str) -> Column:
     """``Fri, 29 Jan 2021 08:52:00 -0500`` or ``Fri, Jan 29 2021 8:52:00 -0500`` -> absolute time."""
-    text = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]+, *", "")
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("d MMM yyyy H:mm:ss xx")),
-        F.try_to_timestamp(text, F.lit("MMM d yyyy H:mm:ss xx")),
+    shapes = (
+        (r"^\d{1,2} [A-Za-z]{3} \d{4} ", "d MMM yyyy H:mm:ss xx"),
+        (r"^[A-Za-z]{3} \d{1,2} \d{4} ", "MMM d yyyy H:mm:ss xx"),
     )
+    return _first_shape(F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]+, *", ""), shapes, _instant)
 
 
 def rfc_offset_minutes(c: Column | str) -> Column:
     """Offset at the end of an RFC time in minutes east of UTC."""
-    c = as_col(c)
-    sign = F.when(F.regexp_extract(c, r"([+-])\d{4}\s*$", 1) == "-", -1).otherwise(1)
-    hh = F.regexp_extract(c, r"[+-](\d{2})\d{2}\s*$", 1).try_cast("int")
-    mm = F.regexp_extract(c, r"[+-]\d{2}(\d{2})\s*$", 1).try_cast("int")
-    return sign * (hh * 60 + mm)
+    tail = F.right(F.rtrim(as_col(c)), F.lit(5))
+    hhmm = F.when(tail.startswith("-") | tail.startswith("+"), tail.try_cast("int"))
+    return (F.signum(hhmm) * (F.floor(F.abs(hhmm) / 100) * 60 + F.abs(hhmm) % 100)).cast("int")
 
 
 def parse_rfc_local(c: Column | str) -> Column:
@@ -113,23 +129,31 @@ def parse_time(c: Column | str) -> Column:
 
 def zone_abbreviation(c: Column | str) -> Column:
     """Trailing zone letters of a local time, upper case; NULL for none, am/pm or digits."""
-    found = F.upper(F.regexp_extract(as_col(c), r"(?:^|[^A-Za-z])([A-Za-z]{2,5})\s*$", 1))
-    return F.when(found.isin("", "AM", "PM"), F.lit(None)).otherwise(found)
+    last = F.upper(F.substring_index(F.rtrim(as_col(c)), " ", -1))
+    return F.when(last.rlike("^[A-Z]{2,5}$") & ~last.isin("AM", "PM"), last)
 
 
 def parse_date(c: Column | str) -> Column:
-    """Free-form date text -> date, NULL when no known pattern fits."""
-    text = F.trim(as_col(c))
-    patterns = ("yyyy/M/d", "M/d/yyyy", "yyyy-M-d", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "yyyyMMdd")
-    return F.coalesce(*[F.try_to_date(text, p) for p in patterns])
+    """Free-form date text -> date, NULL when no known shape fits."""
+    shapes = (
+        (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+        (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+        (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
+        (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
+        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+        (r"^\d{8}$", "yyyyMMdd"),
+    )
+    return _first_shape(F.trim(as_col(c)), shapes, lambda text, pattern: F.try_to_date(text, pattern))
 
 
 def month_number(c: Column | str) -> Column:
     """Month name, three-letter abbreviation or number text (1-12) -> 1-12, else NULL."""
-    text = F.lower(F.trim(as_col(c)))
-    number = text.try_cast("int")
-    pairs = [x for i, m in enumerate(MONTHS, 1) for name in {m, m[:3]} for x in (F.lit(name), F.lit(i))]
-    return F.coalesce(F.when(number.between(1, 12), number), F.try_element_at(F.create_map(*pairs), text))
+    pairs = []
+    for number, name in enumerate(MONTHS, 1):
+        for key in sorted({name, name[:3], str(number), f"{number:02d}"}):
+            pairs += [F.lit(key), F.lit(number)]
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(as_col(c))))
 
 
 def is_month(c: Column | str) -> Column:
@@ -229,4 +253,4 @@ def year_file_key(station: Column | str, c: Column | str, ext: str = "csv") -> C
 def date_of_file(name: Column | str) -> Column:
     """Date inside a daily file name, NULL when the name does not carry one."""
     iso = F.regexp_replace(as_col(name), r"^.*_Y(\d{4})_M(\d{2})_D(\d{2}).*$", "$1-$2-$3")
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(iso, "yyyy-MM-dd"))

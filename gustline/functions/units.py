@@ -23,8 +23,12 @@ COMPASS = (
 
 
 def number(c: Column | str) -> Column:
-    """Text -> double, NULL when it is not a number."""
-    return F.trim(as_col(c).cast("string")).try_cast("double")
+    """Text -> double, NULL when it is not a number.
+
+    The shape test comes first because a failed cast is an exception inside Spark.
+    """
+    text = F.trim(as_col(c).cast("string"))
+    return F.when(text.rlike(r"^[-+]?\.?\d"), text.try_cast("double"))
 
 
 def knots(mph: Column | str) -> Column:

@@ -29,28 +29,23 @@ def time_formats(spark, sf_dir):
 @query(
     "time_parse",
     """
-    SELECT event_id, date_trunc('minute', ts) AS from_local, 'HST' AS zone,
-           date_trunc('second', ts) AS from_rfc, date_trunc('second', ts) + INTERVAL 10 HOUR AS rfc_utc,
-           -600 AS rfc_offset, date_trunc('second', ts) AS from_excel FROM events
+    SELECT event_id, CASE user_id % 3 WHEN 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS local_time,
+           CASE user_id % 3 WHEN 0 THEN 'HST' END AS zone, CASE user_id % 3 WHEN 1 THEN -600 END AS offset_minutes,
+           CASE user_id % 3 WHEN 1 THEN date_trunc('second', ts) + INTERVAL 10 HOUR END AS utc_time FROM events
     """,
 )
 def time_parse(spark, sf_dir):
-    # the texts are derived from each row's time, so that parsing must give the time back
-    day = F.date_format("ts", "'Last Updated on 'MMM d yyyy, h:mm ")
-    rows = events(spark, sf_dir).select(
+    # each row's time is written in one of the three accepted forms, so that parsing must give it back
+    local = F.concat(F.date_format("ts", "'Last Updated on 'MMM d yyyy, h:mm "), F.lower(F.date_format("ts", "a")), F.lit(" HST"))
+    rfc = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -1000"))
+    form = F.col("user_id") % 3
+    text = F.when(form == 0, local).when(form == 1, rfc).otherwise(T.emit_time("ts", "excel"))
+    return events(spark, sf_dir).select("event_id", text.alias("text")).select(
         "event_id",
-        F.concat(day, F.lower(F.date_format("ts", "a")), F.lit(" HST")).alias("local_text"),
-        F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -1000")).alias("rfc_text"),
-        T.emit_time("ts", "excel").alias("excel_text"),
-    )
-    return rows.select(
-        "event_id",
-        T.parse_time("local_text").alias("from_local"),
-        T.zone_abbreviation("local_text").alias("zone"),
-        T.parse_time("rfc_text").alias("from_rfc"),
-        T.utc_clock(T.parse_rfc_time("rfc_text")).alias("rfc_utc"),
-        T.rfc_offset_minutes("rfc_text").alias("rfc_offset"),
-        T.parse_time("excel_text").alias("from_excel"),
+        T.parse_time("text").alias("local_time"),
+        T.zone_abbreviation("text").alias("zone"),
+        T.rfc_offset_minutes("text").alias("offset_minutes"),
+        T.utc_clock(T.parse_rfc_time("text")).alias("utc_time"),
     )
 
 

@@ -13,11 +13,23 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def _kept(items: Column, min_items: int) -> Column:
+    """Generator of ``items`` if there are enough of them, else of NULL.
+
+    Wrapping the array makes it a row value that later steps read back: filtering on its size directly
+    would have the regular expressions run once for the filter and again for every use.
+    """
+    return F.explode_outer(F.filter(F.array(items), lambda a: F.size(a) >= min_items))
+
+
 def table_rows(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """One row per ``<tr>`` with the text of its ``<td>`` cells; header rows have none."""
     rows = _all(visible_html(html), r"(?is)<tr\b[^>]*>(.*?)</tr>")
-    return pages.select(*keep, F.posexplode(rows).alias("row_no", "_tr")).select(
-        *keep, "row_no", F.transform(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), strip_tags).alias("cells")
+    cells = F.transform(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), strip_tags)
+    return (
+        pages.select(*keep, _kept(rows, 1).alias("_rows"))
+        .select(*keep, F.posexplode("_rows").alias("row_no", "_tr"))
+        .select(*keep, "row_no", cells.alias("cells"))
     )
 
 
@@ -34,19 +46,17 @@ def history_rows(pages: DataFrame, html: str, keep: list[str], year: Column, mon
 def page_links(pages: DataFrame, html: str, keep: list[str], min_links: int = 3) -> DataFrame:
     """Visible links of each page in order, for pages with at least ``min_links`` of them."""
     links = _all(visible_html(html), r'(?i)<a\s[^>]*href="([^"]*)"')
-    found = pages.select(*keep, links.alias("_links")).where(F.size("_links") >= min_links)
+    found = pages.select(*keep, _kept(links, min_links).alias("_links"))
     return found.select(*keep, F.posexplode("_links").alias("link_no", "href"))
 
 
 def station_directory(pages: DataFrame, html: str, state: str) -> DataFrame:
     """State pages -> station name, links of its row and state; rows with fewer than 3 cells are dropped."""
     rows = _all(visible_html(html), r"(?is)<tr\b[^>]*>(.*?)</tr>")
-    row = pages.select(F.upper(state).alias("state"), F.explode(rows).alias("_tr"))
-    cells = row.select(
-        "state",
-        strip_tags(F.get(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(0))).alias("name"),
-        _all(F.col("_tr"), r'(?is)<td\b[^>]*>(?:(?!</td>).)*?<a\s[^>]*href="([^"]*)"').alias("links"),
-    )
-    return cells.where(F.size("links") > 2).select(
-        "state", "name", F.filter("links", lambda x: x.endswith(".xml"))[0].alias("xml"), "links"
+    row = pages.select(F.upper(state).alias("state"), _kept(rows, 1).alias("_rows")).select(
+        "state", F.explode("_rows").alias("_tr")
     )
+    links = _all(F.col("_tr"), r'(?is)<td\b[^>]*>(?:(?!</td>).)*?<a\s[^>]*href="([^"]*)"')
+    name = strip_tags(F.get(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(0)))
+    cells = row.select("state", "_tr", _kept(links, 3).alias("links")).where(F.col("links").isNotNull())
+    return cells.select("state", name.alias("name"), F.filter("links", lambda x: x.endswith(".xml"))[0].alias("xml"), "links")
