@@ -115,6 +115,16 @@ def rfc_offset_minutes(c: Column | str) -> Column:
     return (F.signum(hhmm) * (F.floor(F.abs(hhmm) / 100) * 60 + F.abs(hhmm) % 100)).cast("int")
 
 
+def utc_offset_minutes(c: Column | str) -> Column:
+    """``UTC+05:30`` -> 330, ``UTC-05`` -> -300; anything else, such as two offsets, -> NULL."""
+    c = as_col(c)
+    shape = r"^UTC([^\d])(\d{1,2})(?::(\d{2}))?$"
+    sign = F.when(F.regexp_extract(c, shape, 1).isin("-", "\u2212"), -1).otherwise(1)
+    hh, mm = F.regexp_extract(c, shape, 2), F.regexp_extract(c, shape, 3)
+    minutes = F.when(mm != "", mm.try_cast("int")).otherwise(0)
+    return F.when(hh != "", sign * (hh.try_cast("int") * 60 + minutes))
+
+
 def parse_rfc_local(c: Column | str) -> Column:
     """Wall clock written in an RFC time, whatever its offset."""
     return wall_clock(F.unix_micros(parse_rfc_time(c)) + rfc_offset_minutes(c) * F.lit(60_000_000).cast("bigint"))

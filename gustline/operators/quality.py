@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,18 @@ def date_range(df: DataFrame, ts: str, start: Column, end: Column) -> DataFrame:
     return df.where((F.col(ts) >= first) & (F.col(ts) < after))
 
 
+def period(df: DataFrame, ts: str, year: int, month: int | None = None, day: int | None = None) -> DataFrame:
+    """Rows of one year, month or day, as a range on the stored column."""
+    first = date(year, month or 1, day or 1)
+    if day:
+        last = first
+    elif month:
+        last = date(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)
+    else:
+        last = date(year, 12, 31)
+    return date_range(df, ts, F.lit(first), F.lit(last))
+
+
 def coming_hours(df: DataFrame, ts: str, as_of: Column, hours: int = 72) -> DataFrame:
     """Rolling slice from the as-of day to ``hours`` later, whole days."""
     return date_range(df, ts, as_of, F.date_add(F.to_date(as_of), hours // 24))

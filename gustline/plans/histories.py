@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from gustline.functions.times import hours, range_file_key
+from gustline.functions.times import hours, month_file_key, range_file_key, year_file_key
 from gustline.functions.units import number
 from gustline.operators import project, quality
 from gustline.plans.registry import events, query, table
@@ -30,6 +30,32 @@ def combine_range(spark, sf_dir):
     return quality.date_range(lines, "l_shipdate", start, end).withColumn("out_file", name)
 
 
+@query(
+    "combine_month",
+    """
+    SELECT o_orderkey, o_custkey, o_orderdate, 'orders_Y1997_M02_D01_H00_Monthly.csv' AS out_file FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1997-02-01' AND o_orderdate < TIMESTAMP '1997-03-01'
+    """,
+)
+def combine_month(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    name = month_file_key(F.lit("orders"), F.lit(date(1997, 2, 1)))
+    return quality.period(orders, "o_orderdate", 1997, 2).withColumn("out_file", name)
+
+
+@query(
+    "combine_year",
+    """
+    SELECT o_orderkey, o_custkey, o_orderdate, 'orders_Y1998_M01_D01_H00_Yearly.csv' AS out_file FROM orders
+    WHERE year(o_orderdate) = 1998
+    """,
+)
+def combine_year(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    name = year_file_key(F.lit("orders"), F.lit(date(1998, 1, 1)))
+    return quality.period(orders, "o_orderdate", 1998).withColumn("out_file", name)
+
+
 @query(
     "split_day_manifest",
     """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gustline.operators import project, sections
 from gustline.plans.registry import events, query, table
 from gustline.schema import FIELDS
-from gustline.sources import pages
+from gustline.sources import pages, textfiles
 
 _GIVEN = {
     "station_id": ("event_type", "event_type"),
@@ -106,6 +106,24 @@ def column_subset(spark, sf_dir):
     return project.select_positions(events(spark, sf_dir), [1, 2, 4])
 
 
+@query(
+    "tide_table",
+    """
+    SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%a') AS day, strftime(ts, '%I:%M') AS time, strftime(ts, '%p') AS ampm,
+           value AS pred_ft, CAST(user_id AS DOUBLE) AS pred_cm, CASE WHEN user_id % 2 = 0 THEN 'H' ELSE 'L' END AS high_low,
+           strftime(ts, '%I:%M %p') AS tide_time FROM events
+    """,
+)
+def tide_table(spark, sf_dir):
+    # each reading is written as a prediction line and its header line; the header lines must go
+    line = F.concat_ws(
+        " ", F.date_format("ts", "yyyy/MM/dd EEE  hh:mm a"), F.col("value").cast("string"), F.col("user_id").cast("string"),
+        F.when(F.col("user_id") % 2 == 0, "H").otherwise("L"),
+    )
+    lines = F.explode(F.array(F.lit("Date Day Time Pred(Ft) Pred(cm) High/Low"), line)).alias("line")
+    return textfiles.tide_table(events(spark, sf_dir).select("event_id", lines), "line", ["event_id"])
+
+
 @query(
     "page_links",
     r"""

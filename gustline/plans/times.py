@@ -101,6 +101,21 @@ def future_flag(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", T.is_future("ts", other).alias("is_future"))
 
 
+@query(
+    "zone_offsets",
+    """
+    SELECT event_id, CASE user_id % 3 WHEN 0 THEN CAST(user_id % 13 * 60 + 30 AS INTEGER) WHEN 1 THEN CAST(-(user_id % 13) * 60 AS INTEGER) END AS offset_minutes
+    FROM events
+    """,
+)
+def zone_offsets(spark, sf_dir):
+    hh = F.lpad((F.col("user_id") % 13).cast("string"), 2, "0")
+    form = F.col("user_id") % 3
+    text = F.when(form == 0, F.concat(F.lit("UTC+"), hh, F.lit(":30"))).when(form == 1, F.concat(F.lit("UTC-"), hh))
+    text = text.otherwise(F.concat(F.lit("UTC+"), hh, F.lit("/UTC+"), hh))
+    return events(spark, sf_dir).select("event_id", T.utc_offset_minutes(text).alias("offset_minutes"))
+
+
 @query(
     "month_span",
     """

@@ -20,6 +20,7 @@ def build_session(app_name: str = "gustline", master: str | None = None, **setti
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():

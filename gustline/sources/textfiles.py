@@ -7,31 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline.functions.text import station_of_url
+from gustline.functions.times import utc_offset_minutes
+from gustline.functions.units import number
 from gustline.operators.project import normalised_names
 
 TIDE_LINE = r"^\s*\d{4}/\d{2}/\d{2}\s"
 ZONE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("abbr", "name", "utc_offset")])
 
 
-def read_tides(spark: SparkSession, *paths: str) -> DataFrame:
-    """Tide predictions of one or more files; preamble and header lines are skipped by shape."""
-    part = F.split(F.trim("value"), r"\s+")
-    return (
-        spark.read.text(list(paths))
-        .where(F.col("value").rlike(TIDE_LINE))
-        .select(
-            F.to_date(part[0], "yyyy/MM/dd").alias("date"),
-            part[1].alias("day"),
-            part[2].alias("time"),
-            part[3].alias("ampm"),
-            part[4].try_cast("double").alias("pred_ft"),
-            part[5].try_cast("double").alias("pred_cm"),
-            part[6].alias("high_low"),
-            F.concat_ws(" ", part[2], part[3]).alias("tide_time"),
-        )
+def tide_table(lines: DataFrame, line: str, keep: list[str] = ()) -> DataFrame:
+    """Text lines -> typed tide predictions; preamble and header lines are dropped by shape."""
+    part = F.split(F.trim(line), r"\s+")
+    return lines.where(F.col(line).rlike(TIDE_LINE)).select(
+        *keep,
+        F.try_to_date(part[0], "yyyy/MM/dd").alias("date"),
+        F.get(part, F.lit(1)).alias("day"),
+        F.get(part, F.lit(2)).alias("time"),
+        F.get(part, F.lit(3)).alias("ampm"),
+        number(F.get(part, F.lit(4))).alias("pred_ft"),
+        number(F.get(part, F.lit(5))).alias("pred_cm"),
+        F.get(part, F.lit(6)).alias("high_low"),
+        F.concat_ws(" ", F.get(part, F.lit(2)), F.get(part, F.lit(3))).alias("tide_time"),
     )
 
 
+def read_tides(spark: SparkSession, *paths: str) -> DataFrame:
+    """Tide predictions of one or more files, such as two years."""
+    return tide_table(spark.read.text(list(paths)), "value")
+
+
 def read_tracker(spark: SparkSession, path: str) -> DataFrame:
     """Five-minute tracker CSV: columns named by its header line, all text."""
     return normalised_names(spark.read.option("header", True).option("multiLine", True).csv(path))
@@ -50,14 +54,11 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     """Zone table -> abbreviation, name, offset text, offset in minutes, file position.
 
-    ``UTC+05:30`` gives 330; a two-valued offset (standard/daylight) is ambiguous and gives NULL.
+    A two-valued offset (standard/daylight) is ambiguous and gives NULL.
     """
     rows = spark.read.schema(ZONE_SCHEMA).option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    shape = r"^UTC([^\d])(\d{1,2})(?::(\d{2}))?$"
-    sign = F.when(F.regexp_extract("utc_offset", shape, 1).isin("-", "−"), -1).otherwise(1)
-    hh = F.regexp_extract("utc_offset", shape, 2).try_cast("int")
-    mm = F.coalesce(F.regexp_extract("utc_offset", shape, 3).try_cast("int"), F.lit(0))
-    return rows.select("*", (sign * (hh * 60 + mm)).alias("offset_minutes"), F.monotonically_increasing_id().alias("line_no"))
+    place = F.monotonically_increasing_id().alias("line_no")
+    return rows.select("*", utc_offset_minutes("utc_offset").alias("offset_minutes"), place)
 
 
 def read_blobs(spark: SparkSession, folder: str, glob: str) -> DataFrame:

@@ -50,14 +50,27 @@ def drop_late(df: DataFrame, obs: str, local_now: Column, batch_date: Column | N
     return kept.where(not_before_batch(F.col(obs), batch_date)) if batch_date is not None else kept
 
 
+def late_rows(df: DataFrame, obs: str, local_now: Column, batch_date: Column | None = None) -> DataFrame:
+    """The rows :func:`drop_late` drops, for a side table."""
+    late = ~is_current(F.col(obs), local_now)
+    if batch_date is not None:
+        late = late | ~not_before_batch(F.col(obs), batch_date)
+    return df.where(late)
+
+
 def start_ingest(records: DataFrame, table: str, checkpoint: str, partition: str = "obs_date", continuous: str | None = None) -> StreamingQuery:
     """Append to a Parquet table partitioned by day."""
     return _start(records, checkpoint, continuous).format("parquet").outputMode("append").partitionBy(partition).start(table)
 
 
 def start_quarantine(records: DataFrame, folder: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
-    """Copy suspect or broken records beside the table."""
-    return _start(records.where("is_suspect"), checkpoint, continuous).format("parquet").outputMode("append").start(folder)
+    """Copy suspect records beside the table."""
+    return start_side_table(records.where("is_suspect"), folder, checkpoint, continuous)
+
+
+def start_side_table(rows: DataFrame, folder: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
+    """Append late, broken or suspect rows to a table of their own."""
+    return _start(rows, checkpoint, continuous).format("parquet").outputMode("append").start(folder)
 
 
 def _state(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gustline.functions.text import NULL_TOKEN
-from gustline.operators import dedup, project
+from gustline.operators import dedup, project, quality
 from gustline.schema import FIELDS, HISTORY_FIELDS
 from gustline.sinks import tables
 from gustline.sources import observations, textfiles
@@ -122,6 +122,8 @@ def test_tides_across_years(spark, tmp_path):
     tides = textfiles.read_tides(spark, str(tmp_path / "alex_Y2021.txt"), str(tmp_path / "alex_Y2022.txt"))
     rows = tides.orderBy("date").collect()
     assert tuple(rows[0]) == (date(2021, 12, 31), "Fri", "11:15", "PM", 0.25, 8.0, "L", "11:15 PM")
+    shown = tables.html_rows(quality.coming_hours(tides.withColumn("date", F.col("date").cast("timestamp_ntz")), "date", F.lit(date(2021, 12, 31))), ["tide_time", "pred_ft"])
+    assert sorted(r.html for r in shown.collect())[0] == "<tr><td>05:01 AM</td><td>3.1</td></tr>" and shown.count() == 2
     assert tides.where(F.col("date").between(date(2021, 12, 31), date(2022, 1, 3))).count() == 2
 
 
@@ -220,3 +222,11 @@ def test_html_and_json(spark, obs, tmp_path):
     assert fragments.html == "<table><tr><td>5.0</td></tr><tr><td>&lt;no_value_provided&gt;</td></tr></table>"
     tables.write_json(tables.split_json(obs, ["station_id", "wind_mph"]).select("columns", "data"), str(tmp_path / "j"))
     assert {r["data"] for r in spark.read.json(str(tmp_path / "j")).collect()} == {'["KDCA","5.0"]', '["KDCA",""]', '["KIAD","7.0"]'}
+
+
+def test_periods(spark):
+    days = [datetime(2020, 12, 31, 23), datetime(2021, 1, 1), datetime(2021, 12, 31, 23, 59), datetime(2022, 1, 1)]
+    df = spark.createDataFrame([(d,) for d in days], "t timestamp_ntz")
+    assert quality.period(df, "t", 2021).count() == 2
+    assert quality.period(df, "t", 2021, 12).count() == 1
+    assert quality.period(df, "t", 2020, 12, 31).count() == 1

@@ -120,5 +120,7 @@ def test_late_rule(spark):
     rows = [(1, datetime(2021, 1, 2, 0, 52), t), (2, datetime(2021, 1, 1, 23, 52), t), (3, datetime(2021, 1, 1, 22, 52), t), (4, datetime(2020, 12, 2, 5, 0), t)]
     df = spark.createDataFrame(rows, "id int, o timestamp_ntz, n timestamp_ntz")
     assert sorted(r.id for r in ingest.drop_late(df, "o", F.col("n")).collect()) == [1, 2]
+    assert sorted(r.id for r in ingest.late_rows(df, "o", F.col("n")).collect()) == [3, 4]
     day = F.lit("2021-01-02").cast("date")
+    assert sorted(r.id for r in ingest.late_rows(df, "o", F.col("n"), day).collect()) == [2, 3, 4]
     assert [r.id for r in ingest.drop_late(df, "o", F.col("n"), day).collect()] == [1]
