@@ -55,16 +55,20 @@ def compass_text(c: Column | str) -> Column:
 
 
 def wind_parts(c: Column | str) -> Column:
-    """``NW 8 G 25``, ``Calm``, ``Vrbl 5`` -> struct(direction, degrees, mph, gust_mph, calm, variable)."""
+    """``NW 8 G 25``, ``Calm``, ``Vrbl 5`` -> direction, degrees, speed and gust (number and text), flags."""
     parts = F.split(F.trim(as_col(c)), r"\s+")
     head = F.get(parts, F.lit(0))
     calm, variable = head == "Calm", head == "Vrbl"
     direction = F.when(calm, "North").when(variable, "Variable").otherwise(compass_text(head))
+    speed = F.when(calm, "0").otherwise(F.get(parts, F.lit(1)))
+    gust = F.when(F.size(parts) > 2, F.get(parts, F.lit(3)))
     return F.struct(
         direction.alias("direction"),
         compass_degrees(direction).alias("degrees"),
-        F.when(calm, F.lit(0.0)).otherwise(F.get(parts, F.lit(1)).try_cast("double")).alias("mph"),
-        F.when(F.size(parts) > 2, F.get(parts, F.lit(3)).try_cast("double")).alias("gust_mph"),
+        number(speed).alias("mph"),
+        number(gust).alias("gust_mph"),
+        speed.alias("mph_text"),
+        gust.alias("gust_text"),
         calm.alias("calm"),
         variable.alias("variable"),
     )
@@ -74,21 +78,28 @@ def _text(c: Column | str) -> Column:
     return as_col(c).cast("string")
 
 
+def _knots_text(mph: Column) -> Column:
+    return knots(number(mph)).cast("string")
+
+
 def wind_display(direction: Column | str, mph: Column | str, gust: Column | str) -> Column:
-    """``from the North at 8 gusting to 25 MPH (.. KT gusting to .. KT)``, shorter without a gust."""
+    """``from the North at 8 gusting to 25 MPH (.. KT gusting to .. KT)``, shorter without a gust.
+
+    Speeds are shown as given, text or number; knots are computed.
+    """
     direction, mph, gust = as_col(direction), as_col(mph), as_col(gust)
-    plain = F.concat(direction, F.lit(" at "), _text(mph), F.lit(" MPH ("), _text(knots(mph)), F.lit(" KT)"))
+    plain = F.concat(direction, F.lit(" at "), _text(mph), F.lit(" MPH ("), _knots_text(mph), F.lit(" KT)"))
     gusty = F.concat(
         F.lit("from the "), direction, F.lit(" at "), _text(mph), F.lit(" gusting to "), _text(gust),
-        F.lit(" MPH ("), _text(knots(mph)), F.lit(" KT gusting to "), _text(knots(gust)), F.lit(" KT)"),
+        F.lit(" MPH ("), _knots_text(mph), F.lit(" KT gusting to "), _knots_text(gust), F.lit(" KT)"),
     )
     return F.when(gust.isNull(), plain).otherwise(gusty)
 
 
 def temperature_display(fahrenheit: Column | str, gap: str = " ") -> Column:
-    """``69.1 F (20.6 C)``; NULL in, NULL out."""
+    """``69.1 F (20.6 C)``; NULL in, NULL out. Fahrenheit is shown as given."""
     f = as_col(fahrenheit)
-    return F.concat(_text(f), F.lit(" F ("), _text(celsius(f)), F.lit(gap + "C)"))
+    return F.concat(_text(f), F.lit(" F ("), celsius(number(f)).cast("string"), F.lit(gap + "C)"))
 
 
 def pressure_display(millibar: Column | str) -> Column:

@@ -157,7 +157,7 @@ def retime_repair(
 
 
 def audit(df: DataFrame, station: str, ts: str, row_id: str, measures: list[str], constants: list[str]) -> DataFrame:
-    """Whole audit in the reference order: retime first, then reduce to hours and fill the gaps."""
+    """Whole audit: retime first, then reduce to hours and fill the gaps."""
     retimed = retime_repair(df, station, ts, row_id, measures)
     hourly = hourly_series(retimed, station, ts, row_id, *measures, *constants)
     return gap_fill(hourly, station, measures, constants)

@@ -16,6 +16,7 @@ from gustline.schema import DOUBLE_FIELDS, FIELDS, INT_FIELDS
 FEED_CONSTANTS = {
     "credit": "NOAA's National Weather Service",
     "credit_URL": "https://weather.gov/",
+    "image": " " * 70,
     "suggested_pickup": "15 minutes after the hour",
     "suggested_pickup_period": "60",
     "icon_url_base": "https://forecast.weather.gov/images/wtf/small/",
@@ -38,7 +39,7 @@ def canonical(df: DataFrame, keep: list[str] = ()) -> DataFrame:
 def typed(df: DataFrame) -> DataFrame:
     """Text record -> typed record: numbers, ``obs_local`` (wall clock), ``tz_abbr`` and ``obs_ts`` (instant)."""
     casts = {c: U.number(c) for c in (*DOUBLE_FIELDS, "latitude", "longitude")}
-    casts |= {c: U.number(c).cast("int") for c in INT_FIELDS}
+    casts |= {c: U.number(F.rtrim(F.col(c), F.lit("%"))).cast("int") for c in INT_FIELDS}
     cleaned = df.withColumn("observation_time", X.strip_update_prefix("observation_time"))
     return cleaned.withColumns(
         {
@@ -76,38 +77,36 @@ def history_to_observations(history: DataFrame, stations: DataFrame) -> DataFram
     clock = F.concat_ws(" ", F.concat_ws("-", "Year", "Month", "Date"), F.col("Time"))
     local = T.parse_plain_time(clock)
     joined = history.join(stations, "station_id", "left").withColumns({"_w": wind, "_local": local})
-    direction, mph, gust = F.col("_w.direction"), F.col("_w.mph"), F.col("_w.gust_mph")
-    air, dew = U.number("Air"), U.number("Dwpt")
-    chill, heat = U.number("Wind Chill (°F)"), U.number("Heat Index (°F)")
+    direction, speed, gust = F.col("_w.direction"), F.col("_w.mph_text"), F.col("_w.gust_text")
+    air, dew, chill, heat = (F.col(c) for c in ("Air", "Dwpt", "Wind Chill (°F)", "Heat Index (°F)"))
     derived = {
-        "image": F.lit(None).cast("string"),
-        "observation_time": F.concat_ws(" ", F.concat(F.date_format("_local", "MMM d yyyy, h:mm "), F.lower(F.date_format("_local", "a"))), "tz_abbr"),
+        "observation_time": F.concat_ws(" ", F.date_format("_local", "MMM d yyyy, h:mm a"), "tz_abbr"),
         "observation_time_rfc822": T.emit_time("_local", "rfc", F.col("offset_minutes")),
         "weather": F.col("Weather"),
         "temperature_string": U.temperature_display(air),
         "temp_f": air,
-        "temp_c": U.celsius(air),
-        "relative_humidity": F.regexp_replace("Relative Humidity", "%", ""),
-        "wind_string": U.wind_display(direction, mph, gust),
+        "temp_c": U.celsius(U.number(air)),
+        "relative_humidity": F.col("Relative Humidity"),
+        "wind_string": U.wind_display(direction, speed, gust),
         "wind_dir": direction,
         "wind_degrees": F.col("_w.degrees"),
-        "wind_mph": mph,
-        "wind_kt": U.knots(mph),
+        "wind_mph": speed,
+        "wind_kt": U.knots("_w.mph"),
         "wind_gust_mph": gust,
-        "wind_gust_kt": U.knots(gust),
+        "wind_gust_kt": U.knots("_w.gust_mph"),
         "pressure_string": U.pressure_display("sea level (mb)"),
-        "pressure_mb": U.number("sea level (mb)"),
-        "pressure_in": U.number("altimeter (in)"),
+        "pressure_mb": F.col("sea level (mb)"),
+        "pressure_in": F.col("altimeter (in)"),
         "dewpoint_string": U.temperature_display(dew),
         "dewpoint_f": dew,
-        "dewpoint_c": U.celsius(dew),
+        "dewpoint_c": U.celsius(U.number(dew)),
         "heat_index_string": U.temperature_display(heat, gap=""),
         "heat_index_f": heat,
-        "heat_index_c": U.celsius(heat),
+        "heat_index_c": U.celsius(U.number(heat)),
         "windchill_string": U.temperature_display(chill, gap=""),
         "windchill_f": chill,
-        "windchill_c": U.celsius(chill),
-        "visibility_mi": U.number("`Vis. (mi.)`"),
+        "windchill_c": U.celsius(U.number(chill)),
+        "visibility_mi": F.col("`Vis. (mi.)`"),
         "two_day_history_url": F.concat(F.lit(HISTORY_URL), "station_id", F.lit(".html")),
         "ob_url": F.concat(F.lit(METAR_URL), "station_id", F.lit(".1.txt")),
         **{k: F.lit(v) for k, v in FEED_CONSTANTS.items()},

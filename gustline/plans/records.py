@@ -44,13 +44,13 @@ def typed_record(spark, sf_dir):
 @query(
     "history_transform",
     """
-    SELECT e.event_id, strftime(ts, '%b %-d %Y, %-I:%M ') || lower(strftime(ts, '%p')) || ' EST' AS observation_time,
+    SELECT e.event_id, strftime(ts, '%b %-d %Y, %-I:%M %p EST') AS observation_time,
            strftime(ts, '%a, %b %d %Y %-H:%M:00') || ' -0500' AS observation_time_rfc822,
            n_name AS location,
            CASE user_id % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'Variable' ELSE 'NorthWest' END AS wind_dir,
-           CASE user_id % 3 WHEN 0 THEN '0.0' ELSE CAST(trunc(value) AS VARCHAR) END AS wind_mph,
-           CASE user_id % 3 WHEN 2 THEN CAST(trunc(value) + 12 AS VARCHAR) END AS wind_gust_mph,
-           CAST(CAST(user_id % 90 AS DOUBLE) AS VARCHAR) AS temp_f,
+           CASE user_id % 3 WHEN 0 THEN '0' ELSE CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR) END AS wind_mph,
+           CASE user_id % 3 WHEN 2 THEN CAST(CAST(trunc(value) AS INTEGER) + 12 AS VARCHAR) END AS wind_gust_mph,
+           CAST(user_id % 90 AS VARCHAR) AS temp_f,
            round(CAST(user_id % 90 - 32 AS DOUBLE) * CAST(0.5556 AS DOUBLE), 4) AS temp_c,
            'https://www.weather.gov/data/obhistory/' || CAST(n_nationkey AS VARCHAR) || '.html' AS two_day_history_url
     FROM events e LEFT JOIN nation ON user_id % 25 = n_nationkey

@@ -235,7 +235,7 @@ _WIND = """CASE user_id % 4 WHEN 0 THEN 'Calm' WHEN 1 THEN concat('Vrbl ', cast(
 )
 def token_parse(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", U.wind_parts(F.expr(_WIND)).alias("w"))
-    return rows.select("event_id", "w.*")
+    return rows.select("event_id", *[f"w.{c}" for c in ("direction", "degrees", "mph", "gust_mph", "calm", "variable")])
 
 
 @query(

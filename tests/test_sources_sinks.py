@@ -99,12 +99,15 @@ def test_history_to_observations(spark):
     schema = ", ".join(f"`{c}` string" for c in base)
     history = spark.createDataFrame([tuple(r[c] for c in base) for r in rows], schema)
     stations = spark.createDataFrame([("KDCA", "Washington", 38.8, -77.0, "EST", -300)], "station_id string, location string, latitude double, longitude double, tz_abbr string, offset_minutes int")
-    gusty, calm = project.history_to_observations(history, stations).orderBy("wind_mph", ascending=False).collect()
+    history_frame = project.history_to_observations(history, stations)
+    gusty, calm = history_frame.orderBy("wind_mph", ascending=False).collect()
     assert gusty.__fields__ == list(FIELDS)
-    assert (gusty.observation_time, gusty.observation_time_rfc822) == ("Nov 16 2021, 11:52 pm EST", "Tue, Nov 16 2021 23:52:00 -0500")
-    assert gusty.wind_string == "from the NorthWest at 8.0 gusting to 25.0 MPH (6.951808 KT gusting to 21.7244 KT)"
-    assert (gusty.windchill_f, gusty.heat_index_c, gusty.relative_humidity) == ("45.0", None, "43")
-    assert (calm.wind_dir, calm.wind_mph, calm.wind_gust_kt, calm.wind_degrees) == ("North", "0.0", None, "0")
+    assert (gusty.observation_time, gusty.observation_time_rfc822) == ("Nov 16 2021, 11:52 PM EST", "Tue, Nov 16 2021 23:52:00 -0500")
+    assert gusty.wind_string == "from the NorthWest at 8 gusting to 25 MPH (6.951808 KT gusting to 21.7244 KT)"
+    assert (gusty.windchill_f, gusty.heat_index_c, gusty.relative_humidity) == ("45", None, "43%")
+    assert (calm.wind_dir, calm.wind_mph, calm.wind_gust_kt, calm.wind_degrees) == ("North", "0", None, "0")
+    assert gusty.temperature_string == "50 F (10.0008 C)" and gusty.windchill_string.startswith("45 F (7.22")
+    assert project.typed(history_frame).orderBy("wind_mph").first().relative_humidity == 43
     # heat index in Celsius comes from the heat index, not from the wind chill
     assert round(float(calm.heat_index_c), 4) == 32.2248 and calm.windchill_c is None
     assert calm.two_day_history_url.endswith("/KDCA.html")
@@ -118,7 +121,7 @@ def test_positions(spark):
 
 def test_tides_across_years(spark, tmp_path):
     for year, lines in ((2021, "2021/12/31 Fri 11:15 PM 0.25 8 L\n"), (2022, "2022/01/01 Sat 05:01 AM 3.10 94 H\n2022/01/04 Tue 05:01 AM 3.10 94 H\n")):
-        write(tmp_path, f"alex_Y{year}.txt", "NOAA Tide\n" * 12 + "Date Day Time Pred(Ft) Pred(cm) High/Low\n" + lines)
+        write(tmp_path, f"alex_Y{year}.txt", "Tide table\n" * 12 + "Date Day Time Pred(Ft) Pred(cm) High/Low\n" + lines)
     tides = textfiles.read_tides(spark, str(tmp_path / "alex_Y2021.txt"), str(tmp_path / "alex_Y2022.txt"))
     rows = tides.orderBy("date").collect()
     assert tuple(rows[0]) == (date(2021, 12, 31), "Fri", "11:15", "PM", 0.25, 8.0, "L", "11:15 PM")

@@ -11,6 +11,7 @@ def test_compass(values):
 
 def test_wind_parts(values):
     got = values(lambda c: U.wind_parts(c), "NW 8", "NW 8 G 25", "Calm", "Vrbl 5", "NE 10", " N  3 ", None)
+    assert [(r.mph_text, r.gust_text) for r in got[1:3]] == [("8", "25"), ("0", None)]
     assert [tuple(r)[:4] for r in got[:6]] == [
         ("NorthWest", 315, 8.0, None),
         ("NorthWest", 315, 8.0, 25.0),
