@@ -25,6 +25,8 @@ from gustline.session import reliable_checkpoint
 
 SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
+# Session setting that replaces the default above, for executors with more or less memory.
+ROWS_PER_SLICE_SETTING = "spark.gustline.rowsPerSlice"
 # A key outside the MAX_HOT_KEYS biggest holds less than 1/MAX_HOT_KEYS of all rows, which bounds its task.
 MAX_HOT_KEYS = 10_000
 # More slices than this would cost more in shuffle blocks than they save; slices get bigger instead.
@@ -123,6 +125,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: in
     keys, order = list(keys), list(order)
     if rows_per_slice is None:
         return Ordered(df, keys, order)
+    if rows_per_slice == ROWS_PER_SLICE:
+        rows_per_slice = int(df.sparkSession.conf.get(ROWS_PER_SLICE_SETTING, str(ROWS_PER_SLICE)))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
     hot = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
     if not hot:

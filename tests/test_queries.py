@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from gustline.operators.ordered import ROWS_PER_SLICE_SETTING
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -37,6 +38,21 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+ORDERED = (
+    "gap_rows", "backwards_rows", "highwater_accept", "change_only", "consecutive_dup", "dup_summary", "plateau_flag",
+    "rollover_segments", "retime_repair", "audit_repair", "publish_minute", "section_lines", "section_text",
+)
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_query_equals_sql_when_keys_are_sliced(spark, duck, name):
+    spark.conf.set(ROWS_PER_SLICE_SETTING, "3" if name.startswith("section") else "40")
+    try:
+        test_query_equals_sql(spark, duck, name)
+    finally:
+        spark.conf.unset(ROWS_PER_SLICE_SETTING)
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["station", "obs_date", "max_value", "min_value", "n_obs", "slope"]
 
