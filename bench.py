@@ -38,7 +38,9 @@ def main() -> None:
                 took.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(took), 3)
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    scale = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
+    result = {"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": scale}
+    print(json.dumps(result))
     spark.stop()
 
 

@@ -166,6 +166,13 @@ def month_number(c: Column | str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(as_col(c))))
 
 
+def year_number(c: Column | str) -> Column:
+    """Year text -> number between 1901 and 9998, else NULL."""
+    text = F.trim(as_col(c))
+    year = F.when(text.rlike(r"^\d{4}$"), text.cast("int"))
+    return F.when((year > 1900) & (year < 9999), year)
+
+
 def is_month(c: Column | str) -> Column:
     return F.coalesce(month_number(as_col(c)).isNotNull() & ~as_col(c).rlike(r"\d"), F.lit(False))
 

@@ -72,7 +72,9 @@ def skip_unchanged(incoming: DataFrame, stored: DataFrame, station: str, day: st
     """
     newest = stored.groupBy(station, day).agg(F.md5(F.max_by(content, ts)).alias("_md5"))
     # stored content speaks for its own day first, then for the day after
-    valid = F.explode(F.array(F.struct(F.col(day).alias("d"), F.lit(0).alias("age")), F.struct(F.date_add(day, 1).alias("d"), F.lit(1).alias("age"))))
+    own = F.struct(F.col(day).alias("d"), F.lit(0).alias("age"))
+    next_day = F.struct(F.date_add(day, 1).alias("d"), F.lit(1).alias("age"))
+    valid = F.explode(F.array(own, next_day))
     known = (
         newest.select(station, "_md5", valid.alias("_v"))
         .groupBy(station, F.col("_v.d").alias(day))

@@ -13,7 +13,10 @@ from gustline.operators.latest import best_source, latest_per_key
 from gustline.operators.quality import date_range
 
 # Abbreviations the operating system's zone table knows, minutes east of UTC.
-SYSTEM_ZONES = (("EST", -300), ("MST", -420), ("HST", -600), ("UTC", 0), ("GMT", 0), ("WET", 0), ("CET", 60), ("MET", 60), ("EET", 120))
+SYSTEM_ZONES = (
+    ("EST", -300), ("MST", -420), ("HST", -600), ("UTC", 0), ("GMT", 0), ("WET", 0), ("CET", 60), ("MET", 60),
+    ("EET", 120),
+)
 
 # Zones of US stations, preferred where an abbreviation has several meanings.
 US_ZONES = (
@@ -50,12 +53,16 @@ def zone_lookup(df: DataFrame, abbr: str, zones: DataFrame, preferred=US_ZONES)
     )
 
 
-def enrich_stations(stations: DataFrame, observations: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+def enrich_stations(
+    stations: DataFrame, observations: DataFrame, key: str, order: list[str], columns: list[str]
+) -> DataFrame:
     """Left join of every station with its newest observation; a station without one keeps NULLs."""
     return stations.join(latest_per_key(observations, [key], order, columns), key, "left")
 
 
-def source_fallback(primary: DataFrame, alternate: DataFrame, keys: list[str], arrival: str, columns: list[str]) -> DataFrame:
+def source_fallback(
+    primary: DataFrame, alternate: DataFrame, keys: list[str], arrival: str, columns: list[str]
+) -> DataFrame:
     """Primary reading per key, the alternate where the primary has none."""
     both = primary.withColumn("priority", F.lit(0)).unionByName(alternate.withColumn("priority", F.lit(1)))
     return best_source(both, keys, "priority", arrival, [*columns, "priority"])

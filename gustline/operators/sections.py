@@ -54,9 +54,12 @@ def forecast_section(text: Column | str, station: str, header: str = "ANZ") -> C
 def paragraph_text(html: Column | str) -> Column:
     """Text of a page's paragraphs, one after the other; a highlighted warning is followed by an empty line."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<p\b.*?</p>)"), F.lit(1))
-    text = lambda b: strip_tags(b)
-    lines = F.transform(blocks, lambda b: F.when(b.rlike(r'(?i)^<p[^>]*class="warn-highlight'), F.concat(text(b), F.lit("\n\n"))).otherwise(text(b)))
-    return F.array_join(lines, "\n")
+
+    def lines(block: Column) -> Column:
+        text, warning = strip_tags(block), block.rlike(r'(?i)^<p[^>]*class="warn-highlight')
+        return F.when(warning, F.concat(text, F.lit("\n\n"))).otherwise(text)
+
+    return F.array_join(F.transform(blocks, lines), "\n")
 
 
 def bulletin_section(html: Column | str, station: str) -> Column:

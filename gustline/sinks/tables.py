@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.functions.text import NULL_TOKEN, html_row
+from gustline.functions.text import NULL_TOKEN, html_escape, html_row
 from gustline.functions.times import file_key
 from gustline.operators.latest import latest_per_key
 
@@ -49,7 +49,8 @@ def split_manifest(df: DataFrame, station: str, ts: str) -> DataFrame:
 
 
 def _csv(df: DataFrame, mode: str):
-    return df.write.mode(mode).option("header", True).option("quoteAll", True).option("nullValue", NULL_TOKEN).option("escape", '"')
+    writer = df.write.mode(mode).option("header", True).option("quoteAll", True)
+    return writer.option("nullValue", NULL_TOKEN).option("escape", '"')
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -81,15 +82,13 @@ def write_xml(df: DataFrame, path: str, last_row_by: list[str] | None = None) ->
     if last_row_by:
         others = [c for c in df.columns if c != "station_id"]
         df = latest_per_key(df, ["station_id"], last_row_by, others)
-    df.write.mode("overwrite").format("xml").option("rowTag", "current_observation").option("rootTag", "observations").save(path)
+    writer = df.write.mode("overwrite").format("xml").option("rootTag", "observations")
+    writer.option("rowTag", "current_observation").save(path)
 
 
 def xml_record(*columns: str):
     """One record as XML text without its NULL fields."""
-    tags = [
-        F.concat(F.lit(f"<{c}>"), F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(f"</{c}>"))
-        for c in columns
-    ]
+    tags = [F.concat(F.lit(f"<{c}>"), html_escape(c), F.lit(f"</{c}>")) for c in columns]
     return F.concat(F.lit("<current_observation>"), F.concat_ws("", *tags), F.lit("</current_observation>"))
 
 

@@ -63,7 +63,9 @@ def read_csv(spark: SparkSession, path: str | list[str], glob: str | None = None
         return spark.createDataFrame([], CSV_RECORD)
 
 
-def file_glob(station: str, ext: str = "csv", year: int | None = None, month: int | None = None, day: int | None = None) -> str:
+def file_glob(
+    station: str, ext: str = "csv", year: int | None = None, month: int | None = None, day: int | None = None
+) -> str:
     """Name pattern of a station's files: all, or of a year, month or day."""
     if year is None:
         return f"{station}*.{ext}"

@@ -59,4 +59,5 @@ def station_directory(pages: DataFrame, html: str, state: str) -> DataFrame:
     links = _all(F.col("_tr"), r'(?is)<td\b[^>]*>(?:(?!</td>).)*?<a\s[^>]*href="([^"]*)"')
     name = strip_tags(F.get(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(0)))
     cells = row.select("state", "_tr", _kept(links, 3).alias("links")).where(F.col("links").isNotNull())
-    return cells.select("state", name.alias("name"), F.filter("links", lambda x: x.endswith(".xml"))[0].alias("xml"), "links")
+    xml = F.get(F.filter("links", lambda x: x.endswith(".xml")), F.lit(0))
+    return cells.select("state", name.alias("name"), xml.alias("xml"), "links")

@@ -58,9 +58,12 @@ def late_rows(df: DataFrame, obs: str, local_now: Column, batch_date: Column | N
     return df.where(late)
 
 
-def start_ingest(records: DataFrame, table: str, checkpoint: str, partition: str = "obs_date", continuous: str | None = None) -> StreamingQuery:
+def start_ingest(
+    records: DataFrame, table: str, checkpoint: str, partition: str = "obs_date", continuous: str | None = None
+) -> StreamingQuery:
     """Append to a Parquet table partitioned by day."""
-    return _start(records, checkpoint, continuous).format("parquet").outputMode("append").partitionBy(partition).start(table)
+    writer = _start(records, checkpoint, continuous).format("parquet").outputMode("append")
+    return writer.partitionBy(partition).start(table)
 
 
 def start_quarantine(records: DataFrame, folder: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:

@@ -115,6 +115,7 @@ def test_future_needs_more_than_one_hour(spark):
 
 def test_months(values, spark):
     assert values(T.month_number, "January", "dec", "12", "13", "0", "bat", None) == [1, 12, 12, None, None, None, None]
+    assert values(T.year_number, "2021", "1900", "9999", "x", None) == [2021, None, None, None, None]
     assert values(T.is_month, "March", "mar", "3", "x") == [True, True, False, False]
     df = spark.createDataFrame([(date(2021, 12, 31), date(2022, 2, 1))], "a date, b date")
     row = df.select(T.month_distance("a", "b"), T.month_distance("b", "a"), T.month_starts("a", "b")).first()
