@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gustline.functions.text import strip_tags
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
 
+LINES_PER_PART = 10_000
+
 
 def section_lines(
     lines: DataFrame,
@@ -31,10 +33,15 @@ def section_lines(
     )
 
 
-def section_text(sections: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
-    """Join each section's lines in order, one row per section (a section must fit one cell)."""
+def section_text(sections: DataFrame, doc: str, pos: str, line: str, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """Join each section's lines in order.
+
+    A section is one row (``part_no`` 0) unless it spans more than ``lines_per_part`` positions; a longer
+    one continues in further parts, so no task has to hold a section of unknown length.
+    """
+    part = F.floor((F.col(pos) - F.col("section_pos")) / lines_per_part).cast("int").alias("part_no")
     in_order = F.transform(F.sort_array(F.collect_list(F.struct(pos, line))), lambda r: r[line])
-    return sections.groupBy(doc, "section_pos").agg(
+    return sections.groupBy(doc, "section_pos", part).agg(
         F.count(F.lit(1)).alias("n_lines"), F.array_join(in_order, "\n").alias("section_text")
     )
 

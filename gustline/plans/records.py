@@ -161,8 +161,9 @@ def _conversation_sections(spark, sf_dir):
     """
     WITH s AS (SELECT conv_id, turn, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
                       ROWS UNBOUNDED PRECEDING) AS section_pos FROM conversations)
-    SELECT conv_id, section_pos, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY turn) AS section_text
-    FROM s WHERE section_pos IS NOT NULL GROUP BY 1, 2
+    SELECT conv_id, section_pos, CAST((turn - section_pos) // 10000 AS INTEGER) AS part_no, count(*) AS n_lines,
+           string_agg(text, chr(10) ORDER BY turn) AS section_text
+    FROM s WHERE section_pos IS NOT NULL GROUP BY 1, 2, 3
     """,
 )
 def section_text(spark, sf_dir):

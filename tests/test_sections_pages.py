@@ -22,6 +22,10 @@ def test_section_lines_and_text(spark):
     text = sections.section_text(found, "doc", "pos", "line").orderBy("section_pos").collect()
     assert [r.section_text.split("\n")[0] for r in text] == ["ANZ530-bay", "ANZ535-river", "ANZ536-other"]
     assert [r.n_lines for r in text] == [2, 3, 2]
+    parts = sections.section_text(found, "doc", "pos", "line", lines_per_part=2).where("section_pos = 3")
+    assert [(r.part_no, r.n_lines) for r in parts.orderBy("part_no").collect()] == [(0, 2), (1, 1)]
+    whole = "\n".join(r.section_text for r in parts.orderBy("part_no").collect())
+    assert whole == text[1].section_text
 
 
 def test_paragraphs(values):
