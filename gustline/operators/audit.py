@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions.times import day_floor, hour_diff, hour_floor, hours
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
+from gustline.session import reliable_checkpoint
 
 HOURS_PER_DAY = 24
 
@@ -157,9 +158,13 @@ def retime_repair(
 
 
 def audit(df: DataFrame, station: str, ts: str, row_id: str, measures: list[str], constants: list[str]) -> DataFrame:
-    """Whole audit: retime first, then reduce to hours and fill the gaps."""
+    """Whole audit: retime first, then reduce to hours and fill the gaps.
+
+    The filling reads the hours twice; they are few against the feed, so they are checkpointed rather
+    than computed again.
+    """
     retimed = retime_repair(df, station, ts, row_id, measures)
-    hourly = hourly_series(retimed, station, ts, row_id, *measures, *constants)
+    hourly = reliable_checkpoint(hourly_series(retimed, station, ts, row_id, *measures, *constants))
     return gap_fill(hourly, station, measures, constants)
 
 

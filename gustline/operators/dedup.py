@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
+from gustline.session import reliable_checkpoint
 
 
 def highwater_accept(
@@ -32,6 +33,15 @@ def change_only(
     return scan.done().where(changed).drop("_prev")
 
 
+def fingerprint_table(df: DataFrame, content: str, *columns: str) -> DataFrame:
+    """The given columns with ``content_md5``, checkpointed.
+
+    The rules below read their input more than once. Contents are read and hashed once here, and the
+    rules then work on rows of a few dozen bytes.
+    """
+    return reliable_checkpoint(df.select(*columns, F.md5(content).alias("content_md5")))
+
+
 def consecutive_flags(
     df: DataFrame, station: str, content: str, order: list[str], rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:

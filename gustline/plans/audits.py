@@ -169,7 +169,7 @@ def change_only(spark, sf_dir):
     """,
 )
 def consecutive_dup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id", F.md5("text").alias("content_md5"))
+    docs = dedup.fingerprint_table(table(spark, sf_dir, "documents"), "text", "lang", "n_chars", "doc_id")
     return dedup.consecutive_duplicates(docs, "lang", "content_md5", ["n_chars", "doc_id"])
 
 
@@ -182,7 +182,7 @@ def consecutive_dup(spark, sf_dir):
     """,
 )
 def any_dup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content_md5"))
+    docs = dedup.fingerprint_table(table(spark, sf_dir, "documents"), "text", "doc_id")
     return dedup.any_duplicates(docs, "content_md5", "doc_id")
 
 

@@ -108,7 +108,7 @@ def publish_minute_quantiles(spark, sf_dir):
     """,
 )
 def dup_summary(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id", F.md5("text").alias("content_md5"))
+    docs = dedup.fingerprint_table(table(spark, sf_dir, "documents"), "text", "lang", "n_chars", "doc_id")
     flagged = dedup.consecutive_flags(docs, "lang", "content_md5", ["n_chars", "doc_id"])
     return dedup.duplicate_summary(flagged, "lang", F.col("is_dup"))
 
