@@ -31,6 +31,13 @@ def test_duplicates(spark):
     assert (total.n_files, total.n_duplicates) == (5, 2)
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.md5(F.col("id").cast("string"))).alias("c"))
+    docs = dedup.fingerprint_table(rows, "c", "id")
+    found = dedup.any_duplicates(docs, "content_md5", "id")
+    assert found.count() == 999 and {r.first_id for r in found.select("first_id").distinct().collect()} == {0}
+
+
 def test_skip_unchanged_looks_back_one_day(spark):
     d = lambda n: date(2021, 1, n)
     stored = [("K", d(1), 1, "old"), ("K", d(1), 2, "A"), ("K", d(3), 1, "C")]

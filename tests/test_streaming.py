@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gustline.operators import dedup, project
@@ -61,6 +62,28 @@ def test_highwater_stream_resumes(spark, landing, tmp_path):
     assert rows_of(spark.read.parquet(names[0]), "station", "arrival") == rows_of(want, "station", "arrival")
 
 
+def test_highwater_stream_survives_a_failed_batch(spark, landing, tmp_path, monkeypatch):
+    folder, batch = landing
+    names = [str(tmp_path / n) for n in ("out", "state", "cp")]
+    run = lambda: ingest.start_highwater(
+        ingest.table_stream(spark, folder, files_per_batch=1), *names, "station", "ts", ["arrival"]
+    ).awaitTermination()
+    write = ingest._write_batch
+
+    def failing(df, path, batch_id):
+        if path == names[1] and batch_id == 2:
+            raise RuntimeError("lost after the output, before the state")
+        write(df, path, batch_id)
+
+    monkeypatch.setattr(ingest, "_write_batch", failing)
+    with pytest.raises(StreamingQueryException):
+        run()
+    monkeypatch.setattr(ingest, "_write_batch", write)
+    run()
+    want = dedup.highwater_accept(batch, "station", "ts", ["arrival"])
+    assert rows_of(spark.read.parquet(names[0]), "station", "arrival") == rows_of(want, "station", "arrival")
+
+
 def test_tumbling_stream_equals_batch(spark, landing, tmp_path):
     folder, batch = landing
     stream = ingest.table_stream(spark, folder, files_per_batch=1)
