@@ -104,11 +104,14 @@ def start_highwater(
     def accept(batch: DataFrame, batch_id: int) -> None:
         stored = _state(batch.sparkSession, state, batch_id, schema)
         batch.persist()
-        newer = batch.join(stored, station, "left").where(F.col("_stored").isNull() | (F.col(ts) > F.col("_stored")))
-        _write_batch(highwater_accept(newer.drop("_stored"), station, ts, arrival, rows_per_slice=rows_per_slice), out, batch_id)
-        seen = batch.groupBy(station).agg(F.max(ts).alias("_stored"))
-        _write_batch(stored.unionByName(seen).groupBy(station).agg(F.max("_stored").alias("_stored")), state, batch_id)
-        batch.unpersist()
+        try:
+            newer = batch.join(stored, station, "left").where(F.col("_stored").isNull() | (F.col(ts) > F.col("_stored")))
+            accepted = highwater_accept(newer.drop("_stored"), station, ts, arrival, rows_per_slice=rows_per_slice)
+            _write_batch(accepted, out, batch_id)
+            seen = stored.unionByName(batch.groupBy(station).agg(F.max(ts).alias("_stored")))
+            _write_batch(seen.groupBy(station).agg(F.max("_stored").alias("_stored")), state, batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(stream, checkpoint, continuous).foreachBatch(accept).start()
 
@@ -132,11 +135,13 @@ def start_content_change(
         newest = batch.groupBy(station).agg(F.max_by(F.struct(content, ts), F.struct(ts, content)).alias("_r"))
         newest = newest.select(station, f"_r.{content}", f"_r.{ts}").withColumn("_md5", F.md5(content))
         newest.persist()
-        _write_batch(newest.join(stored.drop(ts), [station, "_md5"], "left_anti").drop("_md5"), out, batch_id)
-        both = stored.unionByName(newest.drop(content))
-        latest = both.groupBy(station).agg(F.max_by(F.struct(ts, "_md5"), ts).alias("_r")).select(station, "_r.*")
-        _write_batch(latest, state, batch_id)
-        newest.unpersist()
+        try:
+            _write_batch(newest.join(stored.drop(ts), [station, "_md5"], "left_anti").drop("_md5"), out, batch_id)
+            both = stored.unionByName(newest.drop(content)).groupBy(station)
+            latest = both.agg(F.max_by(F.struct(ts, "_md5"), ts).alias("_r")).select(station, "_r.*")
+            _write_batch(latest, state, batch_id)
+        finally:
+            newest.unpersist()
 
     return _start(stream, checkpoint, continuous).foreachBatch(changed).start()
 
