@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import near_dedup
+from gustline.llm import ann, embed_dedup, language, licenses, mixing, near_dedup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,86 @@ WORDS_SQL = """
 )
 def op2(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    return packing.packing_report(table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@query("op3_nearest_neighbours")
+def op3(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
+@query(
+    "op7_embedding_near_dedup",
+    """
+    WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM vectors a JOIN vectors b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach AS (SELECT vec_id, vec_id AS other FROM embeddings
+              UNION SELECT r.vec_id, l.v FROM reach r JOIN links l ON r.other = l.u),
+    least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+    counts AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM least LEFT JOIN counts USING (vec_id)
+    """,
+)
+def op7(spark, sf_dir):
+    return embed_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_mix_sources")
+def op4(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    """Documents and pages: a row of ``documents`` has ``doc_id``, one of ``pages`` ``page_id``."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language.fit_languages(docs, "doc_id", "text", "lang")
+    found = language.identify(docs, model, "doc_id", F.col("text"), F.col("lang"), host=F.col("source"))
+    return found.unionByName(language.identify_pages(pages, model), allowMissingColumns=True)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RULES_SQL = ", ".join(
+    f"CASE WHEN regexp_matches(line, {_quoted(pattern)}) THEN {_quoted(name)} END" for name, pattern in licenses.rule_patterns().items()
+)
+_KNOWN_SQL = "MAP {" + ", ".join(f"{_quoted(words)}: {_quoted(name)}" for name, words in licenses.SENTENCES.items()) + "}"
+
+
+@query(
+    "op10_license_scan",
+    f"""
+    WITH pieces AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), {_quoted(licenses.SENTENCE_END)})) AS s,
+                           generate_subscripts(regexp_split_to_array(coalesce(text, ''), {_quoted(licenses.SENTENCE_END)}), 1) AS i FROM documents),
+    named AS (SELECT doc_id, i, {_KNOWN_SQL}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))] AS name FROM pieces),
+    found AS (SELECT doc_id, coalesce(string_agg(name, ' ' ORDER BY i), '') AS sentence_ids, count(name) AS n_sentences
+              FROM named GROUP BY doc_id),
+    lines AS (SELECT *, ' ' || sentence_ids || ' ' AS line FROM found)
+    SELECT doc_id, sentence_ids, n_sentences,
+           array_to_string([n FOR n IN [{_RULES_SQL}] IF n IS NOT NULL], ',') AS licenses FROM lines
+    """,
+)
+def op10(spark, sf_dir):
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
