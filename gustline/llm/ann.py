@@ -3,8 +3,8 @@
 * Largest inner product becomes smallest distance: each row gets one more component, sqrt(M**2 - |x|**2) for the largest
   length M, a query gets 0 there.
 * k-means centroids and a reference set are fitted on a bounded sample; every row is indexed in the list of its nearest centroid.
-* A query probes the lists of its nearest centroids. Its distance to the k-th nearest row of the reference set (rows of the
-  table) bounds what can still be a result.
+* A query probes the lists of its nearest centroids. The k nearest rows of the reference set (rows of the table) are its first
+  results, and the distance to the last of them bounds what can still be one.
 * In a list, rows and queries are rotated by a random orthogonal matrix and compared column block by column block: after d of D
   columns the partial distance times D/d estimates the whole one, and a candidate is abandoned as soon as it exceeds the bound
   by more than the error the estimate has with so many columns. The bound of a query falls while its list is scanned.
@@ -102,20 +102,28 @@ def _index(centroids: np.ndarray, largest: float, dimension: int):
     return run
 
 
-def _probe(centroids: np.ndarray, reference: np.ndarray, reference_ids: np.ndarray, dimension: int, probes: int, k: int):
+def _probe(centroids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, largest: float, probes: int, k: int):
+    """Lists to probe, the bound, and the nearest rows of the reference set with their scores, for each query."""
+
     def run(batches):
+        reference = lengthened(sample, largest)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                rows = lengthened(matrix(part["vector"], dimension), None)
+                plain = matrix(part["vector"], sample.shape[1])
+                rows = lengthened(plain, None)
                 lists = np.argsort(0.5 * (centroids * centroids).sum(axis=1) - rows @ centroids.T, axis=1, kind="stable")
                 distance = (rows * rows).sum(axis=1)[:, None] + (reference * reference).sum(axis=1)[None, :] - 2 * rows @ reference.T
-                distance[part["id"].to_numpy()[:, None] == reference_ids[None, :]] = np.inf
-                if len(reference) >= k:
-                    bound = np.partition(distance, k - 1, axis=1)[:, k - 1]
-                else:
-                    bound = np.full(len(part), np.inf)
-                yield part.assign(bound=bound + 1e-9, lists=[x[:probes].astype(np.int32) for x in lists])
+                distance[part["id"].to_numpy()[:, None] == sample_ids[None, :]] = np.inf
+                first = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                reached = np.take_along_axis(distance, first, axis=1)
+                found = [np.flatnonzero(np.isfinite(r)) for r in reached]
+                yield part.assign(
+                    bound=[r[k - 1] + 1e-9 if len(r) >= k else np.inf for r in reached],
+                    lists=[x[:probes].astype(np.int32) for x in lists],
+                    first=[sample_ids[f[o]] for f, o in zip(first, found, strict=True)],
+                    scores=[(plain[i] * sample[f[o]]).sum(axis=1) for i, (f, o) in enumerate(zip(first, found, strict=True))],
+                )
 
     return run
 
@@ -136,7 +144,7 @@ def _scan(turn: np.ndarray, largest: float, dimension: int, k: int):
         keep = (np.arange(len(qi)) - first < k) & (ids[xi] != query_ids[qi])
         return pd.DataFrame({"query_id": query_ids[qi[keep]], "vec_id": ids[xi[keep]], "score": score[keep]})
 
-    return lambda rows, queries: run(rows, queries)
+    return run
 
 
 def nearest_neighbours(
@@ -151,7 +159,7 @@ def nearest_neighbours(
     were found, the query's own id left out, nearest first, ties to the smaller id.
 
     Rows and queries whose id is NULL, or whose vector is NULL, zero, of another length than most, or holds NULL or non-finite
-    components take no part. Fewer than ``k`` candidates give fewer rows. Of rows that repeat an id each may be found. An empty
+    components take no part. Fewer than ``k`` candidates give fewer rows. Rows that repeat an id are found once, with the best score. An empty
     table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
@@ -168,7 +176,8 @@ def nearest_neighbours(
     if not n:
         return spark.createDataFrame([], result)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
-    fitted = lengthened(matrix(sample["vector"], dimension), largest)
+    plain, sample_ids = matrix(sample["vector"], dimension), sample["id"].to_numpy()
+    fitted = lengthened(plain, largest)
     lists = max(1, min(MAX_LISTS, round(math.sqrt(n) / 2)))
     centroids = fit_centroids(fitted, lists, spherical=False)
     lists = len(centroids)
@@ -181,8 +190,11 @@ def nearest_neighbours(
     blocks = F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // LIST_BLOCK))) for i in range(lists)])
     n_queries = asked.count()
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    probe = _probe(centroids, fitted[:REFERENCE_ROWS], sample["id"].to_numpy()[:REFERENCE_ROWS], dimension, probes, k)
-    asked = asked.mapInPandas(probe, f"{_fields(asked)}, bound double, lists array<int>")
+    probe = _probe(centroids, plain[:REFERENCE_ROWS], sample_ids[:REFERENCE_ROWS], largest, probes, k)
+    extra = "bound double, lists array<int>, first array<long>, scores array<double>"
+    asked = written(asked.mapInPandas(probe, f"{_fields(asked)}, {extra}"), "ann-queries")
+    first = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("first", "scores")).alias("f"))
+    first = first.select("query_id", F.col("f.first").alias("vec_id"), F.col("f.scores").alias("score"))
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int"))
     asked = asked.select("id", "vector", "bound", "query_block", F.explode("lists").alias("list"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("list")) - 1)))
@@ -192,6 +204,8 @@ def nearest_neighbours(
     found = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(
         _scan(rotation(dimension + 1), largest, dimension, k), "query_id long, vec_id long, score double"
     )
+    # a row of the reference set is met again in its list; one shuffle serves both steps
+    found = found.unionByName(first).repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
