@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import ann, embed_dedup, language, licenses, mixing, near_dedup, packing, secrets
+from gustline.llm import ann, embed_dedup, language, licenses, lm, mixing, near_dedup, packing, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,27 @@ def op3(spark, sf_dir):
     return ann.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
 
 
+@query(
+    "op5_warc_round_trip",
+    """
+    WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    digests AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM bodies),
+    firsts AS (SELECT d, max(page_id) AS target FROM digests WHERE n >= 1000 GROUP BY d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, g.d AS payload_digest,
+           CASE WHEN n >= 1000 AND target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND target <> page_id THEN target END AS refers_to
+    FROM digests g LEFT JOIN firsts USING (d)
+    """,
+)
+def op5(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_maxent_lm_scores")
+def op6(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op7_embedding_near_dedup",
     """

@@ -6,6 +6,8 @@ inside a character, so working on bytes is the same as working on characters.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,10 +44,13 @@ def numbered(n: int, seed: int) -> np.ndarray:
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACE)] = False
-_BYTE = numbered(256, 1)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_BYTE[~_IS_WORD] = 0
-_PLACE = numbered(1 << 14, 2)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+# The first n of eight bytes.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
+_LENGTH, _LANE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+# Longer words are hashed one by one.
+_LONG = 1 << 10
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,18 +75,40 @@ def _steps(data: np.ndarray) -> list[tuple[int, int]]:
     """Cut at blanks so that no word is cut; a step is longer than STEP only if it has no blank."""
     cuts, at = [0], 0
     while len(data) - at > STEP:
-        near = np.flatnonzero(~_IS_WORD[data[at + 1 : at + STEP]])
-        if len(near):
-            at += 1 + int(near[-1])
-        else:
+        step, look = at, 1 << 12
+        while step == at and look <= 2 * STEP:
+            low = max(at + 1, at + STEP - look)
+            blanks = np.flatnonzero(~_IS_WORD.take(data[low : at + STEP]))
+            if len(blanks):
+                step = low + int(blanks[-1])
+            look *= 8
+        if step == at:
             step = at + STEP
             while step < len(data) and _IS_WORD[data[step]]:
                 step += 1
-            at = step
-        cuts.append(at)
+        cuts.append(step)
+        at = step
     return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
 
 
+def _hashed(part: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fingerprints of words, eight bytes of all words at a time."""
+    padded = np.zeros(len(part) + 8, np.uint8)
+    _LOWER.take(part, out=padded[:-8], mode="clip")
+    lanes = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))
+    found = mix64((lanes[starts] & _FIRST[np.minimum(lengths, 8)]) + lengths.astype(_U) * _LENGTH)
+    more, at = np.flatnonzero(lengths > 8), 8
+    while len(more) and at < _LONG:
+        lane = lanes[starts[more] + at] & _FIRST[np.minimum(lengths[more] - at, 8)]
+        found[more] = mix64(found[more] + lane * _LANE)
+        at += 8
+        more = more[lengths[more] > at]
+    for i in more:
+        word = padded[starts[i] : starts[i] + lengths[i]].tobytes()
+        found[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return found
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of each word, and the n + 1 offsets of each row's words."""
     found, places = [], []
@@ -89,26 +116,20 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         part = data[low:high]
         if not len(part):
             continue
-        inside = _IS_WORD[part]
+        inside = _IS_WORD.take(part)
         first = inside.copy()
         first[1:] &= ~inside[:-1]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
         # a row begins a word even if the row before ends with one
         edges = bounds[np.searchsorted(bounds, low) : np.searchsorted(bounds, high)] - low
         first[edges] = inside[edges]
+        edges = edges[edges > 0] - 1
+        last[edges] = inside[edges]
         starts = np.flatnonzero(first)
-        if not len(starts):
-            continue
-        ends = np.append(starts[1:], len(part))
-        place = np.arange(len(part), dtype=np.int64)
-        place[: starts[0]] = 0
-        place[starts[0] :] -= np.repeat(starts, ends - starts)
-        turn = place >> 14
-        weight = _PLACE[place & (len(_PLACE) - 1)]
-        if turn.any():
-            weight = weight * (turn.astype(_U) * _U(2) + _U(1))
-        # a blank weighs nothing, so the sum may run up to the next word
-        found.append(mix64(np.add.reduceat(_BYTE[part] * weight, starts)))
-        places.append(starts + low)
+        if len(starts):
+            found.append(_hashed(part, starts, np.flatnonzero(last) + 1 - starts))
+            places.append(starts + low)
     if not found:
         return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
     return np.concatenate(found), np.searchsorted(np.concatenate(places), bounds)
