@@ -54,7 +54,7 @@ def op2(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +62,7 @@ def _vocabulary() -> str:
 
 @query("op1_best_fit_packing")
 def op1(spark, sf_dir):
-    return packing.packing_report(table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.packing_report(table(spark, sf_dir, "documents"), vocabulary())
 
 
 @query("op3_nearest_neighbours")
