@@ -150,7 +150,8 @@ def find_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def secret_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Counts and spans of :func:`find_secrets` as text: ``n_assign, n_access, n_hex, base_sha256, spans``."""
     found = find_secrets(df, id_column, text_column)
-    count = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of_kind = lambda kind: lambda p: p["kind"] == kind
+    count = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     kinds = F.array(*[F.lit(k) for k in KINDS])
     line = lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))
     ordered = F.sort_array(
