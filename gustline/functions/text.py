@@ -53,6 +53,17 @@ def strip_tags(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_col(c), r"(?s)<[^>]*>", ""))
 
 
+# Entities of markup; the ampersand is decoded last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def decode_entities(c: Column | str) -> Column:
+    text = as_col(c)
+    for entity, character in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
 def column_name(raw: str) -> str:
     """Header cell -> column name: blanks and quotes stripped, inner blanks to underscores."""
     return raw.strip().strip('"').replace(" ", "_")

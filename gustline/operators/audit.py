@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gustline.functions.times import day_floor, hour_diff, hour_floor, hours
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
-from gustline.session import reliable_checkpoint
 
 HOURS_PER_DAY = 24
+HOURS_PER_YEAR = 366 * HOURS_PER_DAY
 
 
 def hourly_series(df: DataFrame, station: str, ts: str, tie: str, *measures: str) -> DataFrame:
@@ -24,8 +24,9 @@ def hourly_series(df: DataFrame, station: str, ts: str, tie: str, *measures: str
 
 
 def _prior(previous: Column, ts: Column) -> Column:
-    """Time before a row; the first row of a station is measured from the hour before its own midnight."""
-    return F.coalesce(previous, day_floor(ts) - hours(1))
+    """Time before a row. The first row of a station is measured from one hour before the first reading its day should have:
+    hour 0 at the row's own minute."""
+    return F.coalesce(previous, day_floor(ts) + (ts - hour_floor(ts)) - hours(1))
 
 
 def gap_rows(
@@ -49,18 +50,22 @@ def gap_rows(
 
 
 def missing_hours(gaps: DataFrame, station: str, ts: str) -> DataFrame:
-    """One row per missing hour of :func:`gap_rows`, under the hour's own date."""
-    first, last = F.col("prev_ts") + hours(1), F.col("prev_ts") + hours(F.col("n_missing"))
-    return (
-        gaps.where(F.col("n_missing") > 0)
-        .select(
-            station,
-            F.explode(F.sequence(first, last, F.make_dt_interval(hours=F.lit(1)))).alias("missing_ts"),
-            "prev_ts",
-            F.col(ts).alias("next_ts"),
-        )
-        .withColumn("missing_date", F.to_date("missing_ts"))
+    """One row per missing hour of :func:`gap_rows`, under the hour's own date.
+
+    A gap is taken apart into years, days and hours in turn, so that one wrong date of another century never makes one array
+    of all its hours.
+    """
+    last = F.col("n_missing") - 1
+    years = gaps.where(F.col("n_missing") > 0).select(
+        station, "prev_ts", F.col(ts).alias("next_ts"), "n_missing",
+        F.explode(F.sequence(F.lit(0), last, F.lit(HOURS_PER_YEAR))).alias("_year"),
+    )
+    days = years.withColumn(
+        "_day", F.explode(F.sequence(F.col("_year"), F.least(last, F.col("_year") + HOURS_PER_YEAR - 1), F.lit(HOURS_PER_DAY)))
     )
+    each = days.withColumn("_hour", F.explode(F.sequence(F.col("_day"), F.least(last, F.col("_day") + HOURS_PER_DAY - 1))))
+    missing = (F.col("prev_ts") + hours(F.col("_hour") + 1)).alias("missing_ts")
+    return each.select(station, missing, "prev_ts", "next_ts").withColumn("missing_date", F.to_date("missing_ts"))
 
 
 def backwards_rows(
@@ -79,43 +84,56 @@ def day_hours(df: DataFrame, station: str, ts: str) -> DataFrame:
     )
 
 
-def day_completeness(df: DataFrame, station: str, ts: str) -> DataFrame:
-    """Observation and hour counts per day; a day below 24 hours is short."""
+def day_completeness(df: DataFrame, station: str, ts: str, as_of: Column | None = None) -> DataFrame:
+    """Observation and hour counts per day. A day with fewer hours than it should have is short: 24, or on the day of ``as_of``
+    the hours up to it."""
     n_hours = F.bit_count("hour_mask").cast("bigint")
+    due = F.lit(HOURS_PER_DAY)
+    if as_of is not None:
+        due = F.when(F.col("obs_date") == F.to_date(as_of), F.hour(as_of) + 1).otherwise(due)
     return day_hours(df, station, ts).select(
-        station, "obs_date", "n_rows", n_hours.alias("n_hours"), (n_hours < HOURS_PER_DAY).alias("is_short")
+        station, "obs_date", "n_rows", n_hours.alias("n_hours"), (n_hours < due).alias("is_short")
     )
 
 
-def gap_fill(hourly: DataFrame, station: str, measures: list[str], constants: list[str] = ()) -> DataFrame:
-    """Add a row for every hour without one, from a station's first day to its last.
+def gap_fill(
+    hourly: DataFrame, station: str, measures: list[str], constants: list[str] = (), as_of: Column | None = None
+) -> DataFrame:
+    """Add a row for every hour without one, from a station's first day to its last, up to ``as_of`` if it is given.
 
-    Measures of added rows are NULL, ``constants`` (location, coordinates) are copied from the
-    station's first row. Hours are reduced to one bit mask per (station, day), so the window below
-    runs over at most 366 rows a year and station; hours between two days come from the day before.
+    ``hourly`` has one row per station and hour (:func:`hourly_series`). Measures of added rows are NULL, ``constants``
+    (location, coordinates) are copied from the station's first row. A day's rows are brought together once, at most 24 of
+    them; a window over the days of a station gives the day before, and days without any row are taken apart into years, days
+    and hours in turn, so no date error makes one large array.
     """
-    bit = F.call_function("shiftleft", F.lit(1), F.hour("obs_hour"))
-    first_of_day = [F.min_by(F.struct(*constants), "obs_hour").alias("_c")] if constants else []
-    days = hourly.groupBy(station, F.to_date("obs_hour").alias("_day")).agg(F.bit_or(bit).alias("_mask"), *first_of_day)
+    values = [*measures, *constants]
+    row = F.struct(F.hour("obs_hour").alias("h"), *values)
+    days = hourly.groupBy(station, F.to_date("obs_hour").alias("_day")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     in_order = Window.partitionBy(station).orderBy("_day")
     days = days.withColumn("_prev", F.lag("_day").over(in_order))
-    if constants:
-        days = days.withColumn("_c", F.first("_c").over(in_order))
-    midnight = F.col("_day").cast("timestamp_ntz")
-    absent = F.filter(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1)), lambda h: F.getbit("_mask", h) == 0)
-    own = F.transform(absent, lambda h: midnight + F.make_dt_interval(hours=h))
-    after_prev = F.date_add("_prev", 1).cast("timestamp_ntz")
-    between = F.when(
-        after_prev < midnight, F.sequence(after_prev, midnight - hours(1), F.make_dt_interval(hours=F.lit(1)))
-    )
-    added = days.select(
-        station,
-        F.explode(F.concat(own, F.coalesce(between, F.array().cast("array<timestamp_ntz>")))).alias("obs_hour"),
-        *[F.col("_c")[c].alias(c) for c in constants],
-        F.lit(True).alias("is_added"),
-    )
-    kept = hourly.select(station, "obs_hour", *measures, *constants, F.lit(False).alias("is_added"))
-    return kept.unionByName(added, allowMissingColumns=True)
+    first = F.first(F.col("_rows")[0]).over(in_order) if constants else F.lit(None)
+    days = days.withColumn("_first", first)
+    # days before this one without a row, a year at a time, then a day at a time
+    n_empty = F.coalesce(F.datediff("_day", "_prev") - 1, F.lit(0))
+    years = F.when(n_empty > 0, F.sequence(F.lit(1), n_empty, F.lit(366)))
+    empty = days.select(station, "_first", "_prev", n_empty.alias("_n"), F.explode(years).alias("_year"))
+    step = F.explode(F.sequence(F.col("_year"), F.least(F.col("_n"), F.col("_year") + 365)))
+    empty = empty.select(station, "_first", "_prev", step.alias("_step"))
+    none = F.array().cast(days.schema["_rows"].dataType)
+    empty = empty.select(station, F.date_add("_prev", F.col("_step")).alias("_day"), none.alias("_rows"), "_first")
+    both = days.select(station, "_day", "_rows", "_first").unionByName(empty)
+    hour = F.explode(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1))).alias("_h")
+    both = both.select(station, "_day", "_rows", "_first", hour)
+    own = F.get(F.filter("_rows", lambda r: r["h"] == F.col("_h")), F.lit(0))
+    both = both.select(station, "_first", (F.col("_day").cast("timestamp_ntz") + hours(F.col("_h"))).alias("obs_hour"), own.alias("_own"))
+    if as_of is not None:
+        both = both.where(F.col("_own").isNotNull() | (F.col("obs_hour") <= as_of))
+    added = F.col("_own").isNull()
+    return both.select(
+        station, "obs_hour", *[F.col("_own")[m].alias(m) for m in measures],
+        *[F.when(added, F.col("_first")[c]).otherwise(F.col("_own")[c]).alias(c) for c in constants],
+        added.alias("is_added"),
+    )
 
 
 def retime_repair(
@@ -128,44 +146,45 @@ def retime_repair(
 ) -> DataFrame:
     """On days with exactly 24 rows and a gap, move the row before the last gap to its last missing hour.
 
-    The moved row keeps its place and loses its measures. ``row_id`` must be unique; rows are in the
-    order (ts, row_id). Adds ``is_retimed``.
+    The moved row keeps its place and loses its measures. Rows are in the order (ts, row_id), which must be
+    unique inside a station. Adds ``is_retimed``.
+
+    One ordered scan looks at the row after. The gap of a day lies before a row of that day, so a row is
+    moved if the row after it closes its day's last gap; days are counted by a window on the same station,
+    of which only rows next to a gap can change.
     """
-    scan = ordered(df, [station], [ts, row_id], rows_per_slice).previous("_prev", ts, row_id).done()
-    prior = F.col("_prev")[ts]
-    diff = F.coalesce(hour_diff(ts, prior), F.lit(0.0))
-    n_missing = F.floor(diff).cast("int") - 1
-    fix = F.struct(F.col("_prev")[row_id].alias("id"), (prior + hours(n_missing)).alias("ts"))
-    repairs = (
-        scan.select(
-            station, ts, row_id, F.to_date(ts).alias("_day"), F.when(n_missing >= 1, fix).alias("_fix")
-        )
-        .groupBy(station, "_day")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max(F.when(F.col("_fix").isNotNull(), F.struct(ts, row_id, "_fix"))).alias("_last"),
-        )
-        .where((F.col("_n") == HOURS_PER_DAY) & F.col("_last").isNotNull())
-        .select(F.col("_last._fix.id").alias(row_id), F.col("_last._fix.ts").alias("_new_ts"))
+    scan = ordered(df, [station], [ts, row_id], rows_per_slice).following("_next", ts, row_id).done()
+    gap = F.floor(F.coalesce(hour_diff(F.col("_next")[ts], F.col(ts)), F.lit(0.0))).cast("int") - 1
+    scan = scan.withColumns({"_gap": gap, "_gap_day": F.to_date(F.col("_next")[ts])})
+    # per station and day: its rows, and the last row of the day that closes a gap
+    closing = F.when(F.col("_gap") >= 1, F.struct(F.col("_next")[ts].alias("t"), F.col("_next")[row_id].alias("i")))
+    entry = F.explode(F.array(
+        F.struct(F.to_date(ts).alias("day"), F.lit(1).alias("n"), F.lit(None).cast(scan.select(closing.alias("c")).schema["c"].dataType).alias("c")),
+        F.struct(F.col("_gap_day").alias("day"), F.lit(0).alias("n"), closing.alias("c")),
+    )).alias("e")
+    days = scan.select(station, entry).where("e.n = 1 or e.c is not null").groupBy(station, F.col("e.day").alias("_day")).agg(
+        F.sum("e.n").alias("_n"), F.max("e.c").alias("_last")
     )
-    moved = F.col("_new_ts").isNotNull()
+    days = days.where((F.col("_n") == HOURS_PER_DAY) & F.col("_last").isNotNull()).withColumnRenamed(station, "_station")
+    # a day without a repair sends nothing, so this side is small against the rows
+    same = scan[station].eqNullSafe(F.col("_station")) & (F.col("_gap_day") == F.col("_day"))
+    is_last = (F.col("_next")[ts] == F.col("_last.t")) & (F.col("_next")[row_id] == F.col("_last.i")) & (F.col("_gap") >= 1)
+    joined = scan.join(days, same & is_last, "left")
+    moved = F.col("_day").isNotNull()
     return (
-        df.join(repairs, row_id, "left")
-        .withColumns({m: F.when(~moved, F.col(m)) for m in measures})
-        .withColumns({ts: F.coalesce("_new_ts", ts), "is_retimed": moved})
-        .drop("_new_ts")
+        joined.withColumns({m: F.when(~moved, F.col(m)) for m in measures})
+        .withColumns({ts: F.when(moved, F.col(ts) + hours(F.col("_gap"))).otherwise(F.col(ts)), "is_retimed": moved})
+        .drop("_next", "_gap", "_gap_day", "_station", "_day", "_n", "_last")
     )
 
 
-def audit(df: DataFrame, station: str, ts: str, row_id: str, measures: list[str], constants: list[str]) -> DataFrame:
-    """Whole audit: retime first, then reduce to hours and fill the gaps.
-
-    The filling reads the hours twice; they are few against the feed, so they are checkpointed rather
-    than computed again.
-    """
+def audit(
+    df: DataFrame, station: str, ts: str, row_id: str, measures: list[str], constants: list[str], as_of: Column | None = None
+) -> DataFrame:
+    """Whole audit: retime first, then reduce to hours and fill the gaps, up to ``as_of`` if it is given."""
     retimed = retime_repair(df, station, ts, row_id, measures)
-    hourly = reliable_checkpoint(hourly_series(retimed, station, ts, row_id, *measures, *constants))
-    return gap_fill(hourly, station, measures, constants)
+    hourly = hourly_series(retimed, station, ts, row_id, *measures, *constants)
+    return gap_fill(hourly, station, measures, constants, as_of)
 
 
 def plateau_flag(

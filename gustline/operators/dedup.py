@@ -78,9 +78,11 @@ def duplicate_summary(df: DataFrame, group: str, is_dup: Column) -> DataFrame:
 def skip_unchanged(incoming: DataFrame, stored: DataFrame, station: str, day: str, content: str, ts: str) -> DataFrame:
     """Drop incoming content equal to the newest stored content of its day, else of the day before.
 
-    ``stored`` is reduced to the newest content per (station, day) before it is joined.
+    ``stored`` is reduced to the newest content per (station, day) before it is joined. Contents are
+    hashed where they are read, so only fingerprints travel; of equal times the larger fingerprint counts.
     """
-    newest = stored.groupBy(station, day).agg(F.md5(F.max_by(content, ts)).alias("_md5"))
+    hashed = stored.select(station, day, ts, F.md5(content).alias("_md5"))
+    newest = hashed.groupBy(station, day).agg(F.max_by("_md5", F.struct(ts, "_md5")).alias("_md5"))
     # stored content speaks for its own day first, then for the day after
     own = F.struct(F.col(day).alias("d"), F.lit(0).alias("age"))
     next_day = F.struct(F.date_add(day, 1).alias("d"), F.lit(1).alias("age"))

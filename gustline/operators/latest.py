@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.functions.times import date_of_file
+from gustline.operators.ordered import ROWS_PER_SLICE, ordered
+
+# Spark cuts a task's rows to n per key before the shuffle up to this n.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -14,14 +18,35 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str], columns: li
     return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
-def nth_row(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
-    """The ``n``-th row (1-based) per key. Spark cuts every task to ``n`` rows per key before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).where(F.col("_place") == n).drop("_place")
+def nth_row(
+    df: DataFrame, keys: list[str], order: list[str], n: int, newest_first: bool = False, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """The ``n``-th row (1-based) per key in ``order``, or from its end. ``order`` must be total inside a key.
+
+    A small ``n`` lets Spark cut every task to ``n`` rows per key before the shuffle. Beyond that limit a running count of
+    the ordered scan numbers the rows, which splits hot keys.
+    """
+    if n <= int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000")):
+        by = [F.desc(c) for c in order] if newest_first else order
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+        return df.withColumn("_place", place).where(F.col("_place") == n).drop("_place")
+    return numbered_row(df, keys, order, n, newest_first, rows_per_slice)
 
 
-def last_row(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    return latest_per_key(df, keys, order, columns)
+def numbered_row(
+    df: DataFrame, keys: list[str], order: list[str], n: int, newest_first: bool = False, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """:func:`nth_row` for any ``n`` by a running count."""
+    numbered = ordered(df, keys, order, rows_per_slice).running_sum("_place", F.lit(1)).done()
+    if not newest_first:
+        return numbered.where(F.col("_place") == n).drop("_place")
+    ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    ends = ends.withColumnsRenamed({k: "_end_" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & numbered[k].eqNullSafe(ends["_end_" + k])
+    found = numbered.join(ends, same & (F.col("_place") == F.col("_n") - n + 1))
+    return found.drop("_place", "_n", *["_end_" + k for k in keys])
 
 
 def asof_latest(df: DataFrame, key: str, ts: str, tie: str, columns: list[str], as_of: Column) -> DataFrame:

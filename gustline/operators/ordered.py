@@ -3,7 +3,7 @@
 A plain window over ``partitionBy(station)`` puts every row of one station into one task. Here only
 the keys that are too big for that are treated apart:
 
-1. one narrow, map-side-combined count finds the keys above ``rows_per_slice`` rows;
+1. one narrow, map-side-combined count finds the keys above ``rows_per_slice`` rows, unless the caller knows them;
 2. rows of those keys are range-partitioned on (key, order), so each partition is one contiguous,
    evenly sized *slice* of the order, and checkpointed, which fixes the slice numbers;
 3. window functions run per (key, slice); what a slice needs from its neighbours is carried over by a
@@ -27,10 +27,6 @@ SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
 # Session setting that replaces the default above, for executors with more or less memory.
 ROWS_PER_SLICE_SETTING = "spark.gustline.rowsPerSlice"
-# A key outside the MAX_HOT_KEYS biggest holds less than 1/MAX_HOT_KEYS of all rows, which bounds its task.
-MAX_HOT_KEYS = 10_000
-# More slices than this would cost more in shuffle blocks than they save; slices get bigger instead.
-MAX_SLICES = 20_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -42,11 +38,10 @@ def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Broadcast join. ``right`` is the hot-key list (at most MAX_HOT_KEYS rows) or a carry table, which has
-    one narrow row per hot (key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows, since slices are contiguous."""
+    """Join with the hot-key list or a carry table (one narrow row per hot key and slice). Both are usually a few rows, but
+    nothing bounds them, so Spark's own size check decides whether they are broadcast."""
     right = _renamed(right, keys)
-    joined = left.join(F.broadcast(right), _same(left, right, keys), how)
-    return joined.drop(*["_r_" + k for k in keys])
+    return left.join(right, _same(left, right, keys), how).drop(*["_r_" + k for k in keys])
 
 
 @dataclass(frozen=True)
@@ -116,27 +111,42 @@ class Ordered:
         return self.df.drop(SLICE)
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int | None = ROWS_PER_SLICE) -> Ordered:
+def ordered(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+    hot_keys: DataFrame | None = None,
+) -> Ordered:
     """Start an ordered scan. ``order`` must be total inside a key: end it with a unique column.
 
     ``rows_per_slice=None`` skips the search for hot keys; only for input whose rows per key are bounded,
-    such as one row per station and hour.
+    such as one row per station and hour. A caller that knows the hot keys passes them as ``hot_keys``, a
+    table of the key columns and their number of rows ``n`` (as a stored profile has it); no job runs then
+    before the scan itself, and keys that are not in it count as small.
+
+    Without them the input is read twice: for the count, and, if a key is hot, for a reliable checkpoint
+    that all further steps read.
     """
     keys, order = list(keys), list(order)
     if rows_per_slice is None:
         return Ordered(df, keys, order)
     if rows_per_slice == ROWS_PER_SLICE:
         rows_per_slice = int(df.sparkSession.conf.get(ROWS_PER_SLICE_SETTING, str(ROWS_PER_SLICE)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
-    hot = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
-    if not hot:
-        return Ordered(df, keys, order)
-    slices = min(ceil(sum(row["_n"] for row in hot) / rows_per_slice), MAX_SLICES)
-    hot_keys = df.sparkSession.createDataFrame(hot, counts.schema).drop("_n")
+    if hot_keys is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_slice)
+        hot_keys = reliable_checkpoint(counts)
+        total = hot_keys.agg(F.sum("n")).first()[0]
+        if total is None:
+            return Ordered(df, keys, order)
+        df = reliable_checkpoint(df)
+    else:
+        total = hot_keys.agg(F.sum("n")).first()[0] or 1
+    hot_keys = hot_keys.select(*keys)
     sliced = reliable_checkpoint(
         _join_small(df, hot_keys, keys, "left_semi")
-        .repartitionByRange(slices, *keys, *order)
+        .repartitionByRange(ceil(total / rows_per_slice), *keys, *order)
         .withColumn(SLICE, F.spark_partition_id())
     )
     rest = _join_small(df, hot_keys, keys, "left_anti").withColumn(SLICE, F.lit(-1))
-    return Ordered(sliced.unionByName(rest), keys, order, slices)
+    return Ordered(sliced.unionByName(rest), keys, order, ceil(total / rows_per_slice))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from gustline.functions.text import strip_tags
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
 
-LINES_PER_PART = 10_000
-
 
 def section_lines(
     lines: DataFrame,
@@ -33,16 +31,17 @@ def section_lines(
     )
 
 
-def section_text(sections: DataFrame, doc: str, pos: str, line: str, lines_per_part: int = LINES_PER_PART) -> DataFrame:
-    """Join each section's lines in order.
+def cell_sections(df: DataFrame, text: str, keep: list[str], header: str) -> DataFrame:
+    """Sections of a text that sits in one cell: ``section_no`` (from 0), ``n_lines`` and ``section_text``.
 
-    A section is one row (``part_no`` 0) unless it spans more than ``lines_per_part`` positions; a longer
-    one continues in further parts, so no task has to hold a section of unknown length.
+    ``header`` is a pattern for the start of a header line. Lines before the first header are dropped; a
+    text without one, or a NULL text, has no section. For lines in rows of their own use
+    :func:`section_lines`, whose sections may be of any length.
     """
-    part = F.floor((F.col(pos) - F.col("section_pos")) / lines_per_part).cast("int").alias("part_no")
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct(pos, line))), lambda r: r[line])
-    return sections.groupBy(doc, "section_pos", part).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.array_join(in_order, "\n").alias("section_text")
+    found = F.filter(F.split(text, rf"(?m)^(?={header})"), lambda p: p.rlike(rf"\A(?:{header})"))
+    body = F.regexp_replace(F.col("_s"), r"\n\z", "")
+    return df.select(*keep, F.posexplode(found).alias("section_no", "_s")).select(
+        *keep, "section_no", F.size(F.split(body, "\n", -1)).cast("bigint").alias("n_lines"), body.alias("section_text")
     )
 
 

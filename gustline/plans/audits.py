@@ -54,6 +54,49 @@ def gap_rows(spark, sf_dir):
     return audit.gap_rows(rows, "station", "obs_hour", ["event_id"])
 
 
+@query(
+    "gap_rows_offset",
+    """
+    WITH r AS (SELECT event_id, event_type AS station, date_trunc('minute', ts) AS obs FROM events),
+         l AS (SELECT *, lag(obs) OVER (PARTITION BY station ORDER BY obs, event_id) AS p FROM r),
+         d AS (SELECT event_id, station, obs, coalesce(p, date_trunc('day', obs) + minute(obs) * INTERVAL 1 MINUTE - INTERVAL 1 HOUR) AS prev_ts FROM l),
+         h AS (SELECT *, date_diff('minute', prev_ts, obs) AS m FROM d)
+    SELECT event_id, station, obs, prev_ts, round(m / 60.0, 6) AS diff_hours, CAST(greatest(m // 60 - 1, 0) AS INTEGER) AS n_missing
+    FROM h WHERE m NOT IN (0, 60)
+    """,
+)
+def gap_rows_offset(spark, sf_dir):
+    """Gaps of readings at any minute of the hour."""
+    obs = F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("obs")
+    rows = events(spark, sf_dir).select("event_id", F.col("event_type").alias("station"), obs)
+    found = audit.gap_rows(rows, "station", "obs", ["obs", "event_id"])
+    return found.withColumn("diff_hours", F.round("diff_hours", 6))
+
+
+AS_OF = "2024-01-20 10:30:00"
+
+
+@query(
+    "gap_fill_as_of",
+    f"""
+    WITH e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
+         h AS (SELECT event_type AS station, date_trunc('hour', ts) AS obs_hour, arg_max(value, (ts, event_id)) AS value FROM e GROUP BY 1, 2),
+         c AS (SELECT station, min(CAST(obs_hour AS DATE)) AS d0, max(CAST(obs_hour AS DATE)) AS d1 FROM h GROUP BY 1),
+         cal AS (SELECT station, x.t AS obs_hour FROM c, LATERAL (SELECT unnest(generate_series(
+                      CAST(d0 AS TIMESTAMP), least(CAST(d1 AS TIMESTAMP) + INTERVAL 23 HOUR, TIMESTAMP '{AS_OF}'), INTERVAL 1 HOUR)) AS t) x)
+    SELECT cal.station, cal.obs_hour, h.value, h.obs_hour IS NULL AS is_added
+    FROM cal LEFT JOIN h ON h.station = cal.station AND h.obs_hour = cal.obs_hour
+    """,
+)
+def gap_fill_as_of(spark, sf_dir):
+    """The audit of a running day: no row is added after the given time."""
+    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    rows = events(spark, sf_dir).where(F.col("ts") <= as_of)
+    rows = rows.select(F.col("event_type").alias("station"), "ts", "event_id", "value")
+    hourly = audit.hourly_series(rows, "station", "ts", "event_id", "value")
+    return audit.gap_fill(hourly, "station", ["value"], as_of=as_of)
+
+
 @query(
     "backwards_rows",
     f"""

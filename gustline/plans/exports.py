@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from gustline.functions.times import emit_time
+from gustline.functions.times import hour_floor, parse_local_time
 from gustline.functions.units import number
 from gustline.operators import audit, summary
+from gustline.operators.latest import latest_per_key
 from gustline.plans.registry import events, query, table
+from gustline.session import fresh_folder
 from gustline.sinks import tables
 from gustline.sources import observations, pages
 
@@ -85,41 +87,101 @@ def html_rows(spark, sf_dir):
     """
     SELECT event_id, '<current_observation><station_id>' || event_type || '</station_id>'
            || coalesce('<wind_mph>' || CAST(nullif(value, 0.01) AS VARCHAR) || '</wind_mph>', '')
-           || '<observation_time>' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '</observation_time></current_observation>' AS xml FROM events
+           || '<observation_time>Last Updated on ' || strftime(ts, '%b %-d %Y, %-I:%M ') || lower(strftime(ts, '%p'))
+           || ' EST</observation_time></current_observation>' AS xml FROM events
     """,
 )
 def xml_export(spark, sf_dir):
+    return _xml_rows(spark, sf_dir).select("event_id", tables.xml_record(*_XML_FIELDS).alias("xml"))
+
+
+_XML_FIELDS = ("station_id", "wind_mph", "observation_time")
+
+
+def _xml_rows(spark, sf_dir):
     rows = events(spark, sf_dir).select(
-        "event_id",
-        F.col("event_type").alias("station_id"),
-        F.nullif("value", F.lit(0.01)).alias("wind_mph"),
-        emit_time("ts", "dt").alias("observation_time"),
-    )
-    return rows.select("event_id", tables.xml_record("station_id", "wind_mph", "observation_time").alias("xml"))
+        "event_id", F.col("event_type").alias("station_id"), F.nullif("value", F.lit(0.01)).alias("wind_mph"), "ts",
+        F.lit("EST").alias("tz_abbr"),
+    )
+    return rows.withColumn("observation_time", tables.update_text("ts", "tz_abbr"))
 
 
 @query(
     "xml_parse",
     """
-    SELECT event_id, event_type AS station_id, nullif(value, 0.01) AS wind_mph, strftime(ts, '%Y-%m-%d %H:%M:%S') AS observation_time FROM events
+    SELECT event_id, event_type AS station_id, nullif(value, 0.01) AS wind_mph, date_trunc('minute', ts) AS obs_local FROM events
     """,
 )
 def xml_parse(spark, sf_dir):
     # exported records read back by field name; the removed value comes back as NULL
     records = observations.parse_xml(xml_export(spark, sf_dir), "xml", ["event_id"])
-    return records.select("event_id", "station_id", number("wind_mph").alias("wind_mph"), "observation_time")
+    local = parse_local_time("observation_time").alias("obs_local")
+    return records.select("event_id", "station_id", number("wind_mph").alias("wind_mph"), local)
+
+
+@query(
+    "xml_broken",
+    "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' ELSE '<a' END AS payload FROM events WHERE event_id % 3 < 2",
+)
+def xml_broken(spark, sf_dir):
+    """Payloads that are no record stay as flagged rows."""
+    xml = F.expr("case event_id % 3 when 0 then null when 1 then '<a' else '<current_observation><station_id>K</station_id></current_observation>' end")
+    records = observations.parse_xml(events(spark, sf_dir).select("event_id", xml.alias("xml")), "xml", ["event_id"])
+    return records.where("_corrupt_record is not null").select("event_id", F.col("_corrupt_record").alias("payload"))
+
+
+@query(
+    "xml_files",
+    """
+    SELECT station_id, record, count(*) AS n_records FROM (SELECT event_type AS station_id,
+           event_type || strftime(max(ts), '_Y%Y_M%m_D%d_H%H') AS record FROM events GROUP BY event_type, CAST(ts AS DATE)) GROUP BY 1, 2
+    """,
+)
+def xml_files(spark, sf_dir):
+    """The newest record of each station and day as a file of its own, read back by the XML source."""
+    folder = fresh_folder(spark, "xml-files")
+    rows = _xml_rows(spark, sf_dir).withColumn("obs_date", F.to_date("ts"))
+    newest = latest_per_key(rows, ["station_id", "obs_date"], ["ts", "event_id"], ["ts", "wind_mph", "observation_time"])
+    tables.write_xml_files(newest, folder, list(_XML_FIELDS), ts="ts")
+    back = observations.read_xml(spark, folder)
+    return back.groupBy("station_id", "record").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query(
     "split_json",
     """
-    SELECT event_id, 'event_type,value,user_id' AS columns,
-           '["' || event_type || '","' || CAST(value AS VARCHAR) || '","' || CAST(user_id AS VARCHAR) || '"]' AS data FROM events
+    SELECT event_id, '["event_type","value","user_id"]' AS columns,
+           '["' || event_type || '",' || coalesce(CAST(nullif(value, 0.01) AS VARCHAR), 'null') || ',' || CAST(user_id AS VARCHAR) || ']' AS data FROM events
     """,
 )
 def split_json(spark, sf_dir):
-    cells = tables.split_json(events(spark, sf_dir), ["event_type", "value", "user_id"])
-    return cells.select("event_id", "columns", "data")
+    rows = events(spark, sf_dir).withColumn("value", F.nullif("value", F.lit(0.01)))
+    return tables.split_json(rows, ["event_type", "value", "user_id"]).select("event_id", "columns", "data")
+
+
+@query(
+    "split_json_objects",
+    """
+    WITH h AS (SELECT user_id AS station, date_trunc('hour', ts) AS obs_hour, arg_max(value, (ts, event_id)) AS value,
+                      arg_max(nullif(event_type, 'error'), (ts, event_id)) FILTER (event_type <> 'error') AS kind FROM events GROUP BY 1, 2)
+    SELECT station, CAST(obs_hour AS DATE) AS obs_date, '{"columns":["kind","value"],"index":['
+           || string_agg('"' || strftime(obs_hour, '%H:%M') || '"', ',' ORDER BY obs_hour) || '],"data":['
+           || string_agg('[' || coalesce('"' || kind || '"', 'null') || ',' || CAST(value AS VARCHAR) || ']', ',' ORDER BY obs_hour) || ']}' AS json
+    FROM h GROUP BY 1, 2
+    """,
+)
+def split_json_objects(spark, sf_dir):
+    """One object per station and day of hourly rows."""
+    rows = events(spark, sf_dir).select(
+        F.col("user_id").alias("station"), hour_floor("ts").alias("obs_hour"), "ts", "event_id", "value",
+        F.nullif("event_type", F.lit("error")).alias("kind"),
+    )
+    order = F.struct("ts", "event_id")
+    hourly = rows.groupBy("station", "obs_hour").agg(
+        F.max_by("value", order).alias("value"), F.max_by("kind", F.when(F.col("kind").isNotNull(), order)).alias("kind")
+    )
+    shown = hourly.withColumns({"obs_date": F.to_date("obs_hour"), "clock": F.date_format("obs_hour", "HH:mm")})
+    return tables.split_json_objects(shown, ["station", "obs_date"], "clock", ["kind", "value"])
 
 
 @query(

@@ -168,14 +168,14 @@ def drop_missing(spark, sf_dir):
 @query(
     "derived_files",
     """
-    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN false ELSE true END AS is_derived FROM documents
+    SELECT doc_id, source AS name FROM documents WHERE doc_id % 5 = 0
     """,
 )
 def derived_files(spark, sf_dir):
     # four of five documents are named like a derived copy
     suffixes = F.array(*[F.lit(s) for s in ("", "_Range3", "_Monthly", "_Yearly", "_latest")])
     name = F.concat("source", F.element_at(suffixes, (F.col("doc_id") % 5 + 1).cast("int")))
-    return table(spark, sf_dir, "documents").select("doc_id", quality.is_derived_file(name).alias("is_derived"))
+    return quality.original_files(table(spark, sf_dir, "documents").select("doc_id", name.alias("name")), "name")
 
 
 _SPLIT_SQL = """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions.times import file_key, hour_floor
 from gustline.operators import dedup, latest, lookups
+from gustline.operators.latest import best_source
 from gustline.plans.registry import events, query, table
 
 AS_OF = date(1998, 6, 30)
@@ -63,25 +64,25 @@ def enrich_left(spark, sf_dir):
     "source_fallback",
     """
     WITH b AS (SELECT user_id % 10 AS station, date_trunc('hour', ts) AS obs_hour, event_id, value,
-                      CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS priority
-               FROM events WHERE event_type IN ('click', 'view')),
+                      CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS priority FROM events),
          r AS (SELECT *, row_number() OVER (PARTITION BY station, obs_hour ORDER BY priority, event_id) AS rn FROM b)
     SELECT station, obs_hour, event_id, value, priority FROM r WHERE rn = 1
     """,
 )
 def source_fallback(spark, sf_dir):
+    # clicks are the primary source, all other events the alternate; both come from one scan
     rows = events(spark, sf_dir).select(
-        (F.col("user_id") % 10).alias("station"), hour_floor("ts").alias("obs_hour"), "event_id", "value", "event_type"
-    )
-    side = lambda kind: rows.where(F.col("event_type") == kind).drop("event_type")
-    return lookups.source_fallback(side("click"), side("view"), ["station", "obs_hour"], "event_id", ["event_id", "value"])
+        (F.col("user_id") % 10).alias("station"), hour_floor("ts").alias("obs_hour"), "event_id", "value",
+        F.when(F.col("event_type") == "click", 0).otherwise(1).alias("priority"),
+    )
+    return best_source(rows, ["station", "obs_hour"], "priority", "event_id", ["event_id", "value", "priority"])
 
 
 @query(
     "new_content_anti",
     """
     WITH d AS (SELECT user_id AS station, CAST(ts AS DATE) AS obs_date, ts, event_id, event_type, props FROM events),
-         s AS (SELECT station, obs_date, arg_max(props, ts) AS props FROM d WHERE event_type <> 'click' GROUP BY 1, 2)
+         s AS (SELECT station, obs_date, arg_max(props, (ts, md5(props))) AS props FROM d WHERE event_type <> 'click' GROUP BY 1, 2)
     SELECT d.station, d.obs_date, d.event_id, d.props FROM d
     LEFT JOIN s a ON a.station = d.station AND a.obs_date = d.obs_date
     LEFT JOIN s b ON b.station = d.station AND b.obs_date = d.obs_date - 1
@@ -146,7 +147,20 @@ def latest_per_key(spark, sf_dir):
 )
 def nth_row(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_id", "ts", "value")
-    return latest.nth_row(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], 5)
+    return latest.nth_row(rows, ["user_id"], ["ts", "event_id"], 5, newest_first=True)
+
+
+@query(
+    "nth_row_deep",
+    """
+    WITH r AS (SELECT event_type, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)
+    SELECT event_type, event_id, ts, value FROM r WHERE rn = 20
+    """,
+)
+def nth_row_deep(spark, sf_dir):
+    """The ordered-scan form, which has no limit on n."""
+    rows = events(spark, sf_dir).select("event_type", "event_id", "ts", "value")
+    return latest.numbered_row(rows, ["event_type"], ["ts", "event_id"], 20)
 
 
 @query(

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from gustline.functions.text import NULL_TOKEN
 from gustline.operators import project, sections
 from gustline.plans.registry import events, query, table
-from gustline.schema import FIELDS
+from gustline.schema import FIELDS, HISTORY_FIELDS
+from gustline.session import fresh_folder
+from gustline.sinks import tables
 from gustline.sources import pages, textfiles
 
 _GIVEN = {
@@ -128,7 +131,10 @@ def tide_table(spark, sf_dir):
     "page_links",
     r"""
     WITH v AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages),
-         l AS (SELECT page_id, regexp_extract_all(h, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS a FROM v)
+         p AS (SELECT page_id, list_filter(string_split(h, '<a '), lambda s, i: i > 1) AS parts FROM v),
+         t AS (SELECT page_id, [string_split(string_split(s, '>')[1], 'href=')[2] FOR s IN parts] AS hrefs FROM p),
+         l AS (SELECT page_id, [replace(CASE WHEN s[1] = '"' THEN string_split(s, '"')[2] WHEN s[1] = chr(39) THEN string_split(s, chr(39))[2]
+                                ELSE string_split(s, ' ')[1] END, '&amp;', '&') FOR s IN hrefs IF s IS NOT NULL] AS a FROM t)
     SELECT page_id, CAST(g.i AS INTEGER) AS link_no, a[g.i + 1] AS href
     FROM l, LATERAL (SELECT unnest(generate_series(0, len(a) - 1)) AS i) g WHERE len(a) >= 3
     """,
@@ -137,6 +143,56 @@ def page_links(spark, sf_dir):
     return pages.page_links(table(spark, sf_dir, "pages"), "html", ["page_id"])
 
 
+@query(
+    "quoted_links",
+    """
+    SELECT event_id, CAST(k AS INTEGER) AS link_no, CASE k WHEN 0 THEN 'a?x=' || event_type || '&y=1' WHEN 1 THEN 'b/' || CAST(user_id AS VARCHAR)
+           ELSE 'c' || CAST(event_id AS VARCHAR) END AS href
+    FROM events, LATERAL (SELECT unnest([0, 1, 2]) AS k)
+    """,
+)
+def quoted_links(spark, sf_dir):
+    """Links quoted in three ways, one with an entity, beside attributes whose names end in ``href``."""
+    page = F.concat(
+        F.lit('<p><a data-href="no" title="a > b" href="a?x='), "event_type", F.lit("&amp;y=1\">1</a> <A class=x href = 'b/"),
+        F.col("user_id").cast("string"), F.lit("'>2</A><abbr href=no>3</abbr><a\nhref=c"), F.col("event_id").cast("string"),
+        F.lit(" rel=next>4</a><a name='end'>5</a></p>"),
+    )
+    return pages.page_links(events(spark, sf_dir).select("event_id", page.alias("html")), "html", ["event_id"])
+
+
+_HISTORY_DAYS = "date_add(DATE '2024-02-29', cast(event_id % 3 as int)) "
+
+
+def _history_pages(spark, sf_dir):
+    """A page of 2 March for every event, with its own row of one of the three days before and an odd row."""
+    cells = [F.expr(f"cast(dayofmonth({_HISTORY_DAYS}) as string)"), F.date_format("ts", "HH:mm"), F.col("event_type")]
+    cells += [F.lit(str(i)) for i in range(len(HISTORY_FIELDS) - len(cells) - 1)] + [F.col("value").cast("string")]
+    row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
+    page = F.concat(F.lit("<table><tr><th>Date</th></tr>"), row, F.lit("<tr><td>"), "event_type", F.lit("</td></tr></table>"))
+    return events(spark, sf_dir).select("event_id", page.alias("html"))
+
+
+@query(
+    "history_rows",
+    """
+    SELECT event_id, CAST(day(d) AS VARCHAR) AS "Date", CAST(year(d) AS VARCHAR) AS "Year", CAST(month(d) AS VARCHAR) AS "Month",
+           event_type AS wind, CAST(value AS VARCHAR) AS last
+    FROM (SELECT *, CAST(DATE '2024-02-29' + CAST(event_id % 3 AS INTEGER) AS DATE) AS d FROM events)
+    """,
+)
+def history_rows(spark, sf_dir):
+    rows = pages.history_rows(_history_pages(spark, sf_dir), "html", ["event_id"], F.lit("2024-03-02").cast("date"))
+    return rows.select("event_id", "Date", "Year", "Month", F.col(f"`{HISTORY_FIELDS[2]}`").alias("wind"),
+                       F.col(f"`{HISTORY_FIELDS[-1]}`").alias("last"))
+
+
+@query("history_rejects", "SELECT event_id, 2 AS row_no, event_type AS cell FROM events")
+def history_rejects(spark, sf_dir):
+    rows = pages.history_rejects(_history_pages(spark, sf_dir), "html", ["event_id"], F.lit("2024-03-02").cast("date"))
+    return rows.select("event_id", "row_no", F.col("cells")[0].alias("cell"))
+
+
 @query(
     "section_lines",
     """
@@ -157,17 +213,40 @@ def _conversation_sections(spark, sf_dir):
 
 
 @query(
-    "section_text",
+    "section_files",
     """
     WITH s AS (SELECT conv_id, turn, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
                       ROWS UNBOUNDED PRECEDING) AS section_pos FROM conversations)
-    SELECT conv_id, section_pos, CAST((turn - section_pos) // 10000 AS INTEGER) AS part_no, count(*) AS n_lines,
-           string_agg(text, chr(10) ORDER BY turn) AS section_text
-    FROM s WHERE section_pos IS NOT NULL GROUP BY 1, 2, 3
+    SELECT conv_id, section_pos, count(*) AS n_lines, md5(string_agg(text, chr(10) ORDER BY turn)) AS section_md5
+    FROM s WHERE section_pos IS NOT NULL GROUP BY 1, 2
+    """,
+)
+def section_files(spark, sf_dir):
+    """Sections written line by line and read back; a conversation's sections are short enough to be joined for the comparison."""
+    folder = fresh_folder(spark, "sections")
+    rows = _conversation_sections(spark, sf_dir)
+    tables.write_sections(rows, folder, "conv_id", "turn", "text")
+    schema = rows.select("conv_id", "section_pos", "section", "turn", "text").schema
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    back = reader.option("nullValue", NULL_TOKEN).csv(folder)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
+    return back.groupBy("conv_id", "section_pos").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.md5(F.array_join(in_order, "\n")).alias("section_md5")
+    )
+
+
+@query(
+    "section_text",
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+         h AS (SELECT *, count(*) FILTER (regexp_matches(line, '^[A-E]')) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM l)
+    SELECT doc_id, CAST(n - 1 AS INTEGER) AS section_no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS section_text
+    FROM h WHERE n > 0 GROUP BY 1, 2
     """,
 )
 def section_text(spark, sf_dir):
-    return sections.section_text(_conversation_sections(spark, sf_dir), "conv_id", "turn", "text")
+    """Sections inside the document's own cell; a line that begins with A to E opens one."""
+    return sections.cell_sections(table(spark, sf_dir, "documents"), "text", ["doc_id"], "[A-E]")
 
 
 @query(

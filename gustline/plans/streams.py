@@ -3,42 +3,89 @@
 from pyspark.sql import functions as F
 
 from gustline.functions.times import wall_clock
-from gustline.plans.audits import ARRIVAL, HIGHWATER_SQL
-from gustline.plans.registry import query
+from gustline.operators.quality import is_suspect
+from gustline.plans.audits import ARRIVAL, ARRIVAL_SQL, HIGHWATER_SQL
+from gustline.plans.registry import events, query
 from gustline.session import fresh_folder
 from gustline.streaming import ingest
 
 
+N_FILES = 4
+
+
 def _stream(spark, sf_dir, purpose):
+    """Events in arrival order as a file stream of ``N_FILES`` files, one per batch, so that state counts."""
     folder = fresh_folder(spark, purpose)
-    return ingest.table_stream(spark, sf_dir, "events.parquet"), folder
+    rows = events(spark, sf_dir).withColumn("arrival", F.expr(ARRIVAL))
+    for part in range(N_FILES):
+        # files are taken in the order in which they were written
+        share = rows.where(F.expr(f"arrival * {N_FILES} div 1000003 = {part}"))
+        share.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return ingest.table_stream(spark, f"{folder}/in", files_per_batch=1), folder
+
+
+_INGEST_CTES = f"""
+    WITH a AS (SELECT event_id, event_type AS station, date_trunc('minute', ts) AS ts, value, {ARRIVAL_SQL} AS arrival FROM events
+               WHERE CAST(ts AS DATE) = CAST(ts + (event_id % 6) * INTERVAL 1 HOUR AS DATE) OR hour(ts) = 23),
+         h AS (SELECT *, max(ts) OVER (PARTITION BY station ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM a),
+         l AS (SELECT *, coalesce(ts < high - INTERVAL 48 HOUR, false) AS late FROM h)
+    """
+
+
+def _run_ingest(spark, sf_dir):
+    stream, folder = _stream(spark, sf_dir, "stream-ingest")
+    rows = stream.select(
+        "event_id", F.col("event_type").alias("station"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), "value",
+        "arrival", F.nullif("event_type", F.lit("error")).alias("wind_dir"), F.col("ts").alias("_ts"),
+    )
+    local_now = F.col("_ts") + F.make_dt_interval(hours=(F.col("event_id") % 6).cast("int"))
+    rows = ingest.drop_late(rows, "_ts", local_now).withColumn("is_suspect", is_suspect(("wind_dir",))).drop("wind_dir", "_ts")
+    ingest.start_clean_ingest(
+        rows, f"{folder}/table", f"{folder}/late", f"{folder}/state", f"{folder}/checkpoint", "station", "ts",
+        ["arrival", "event_id"], delay_hours=48,
+    ).awaitTermination()
+    return folder
 
 
 @query(
     "stream_ingest",
-    """
-    SELECT event_id, event_type AS station, ts, value, event_type = 'error' AS is_suspect, CAST(ts AS DATE) AS obs_date FROM events
-    WHERE CAST(ts AS DATE) = CAST(ts + (event_id % 6) * INTERVAL 1 HOUR AS DATE) OR hour(ts) = 23
+    f"""
+    {_INGEST_CTES}, f AS (SELECT *, row_number() OVER (PARTITION BY station, ts ORDER BY arrival, event_id) AS rn FROM l WHERE NOT late)
+    SELECT event_id, station, ts, value, station = 'error' AS is_suspect, CAST(ts AS DATE) AS obs_date FROM f WHERE rn = 1
     """,
 )
 def stream_ingest(spark, sf_dir):
-    stream, folder = _stream(spark, sf_dir, "stream-ingest")
-    rows = stream.select(
-        "event_id", F.col("event_type").alias("station"), "ts", "value", F.nullif("event_type", F.lit("error")).alias("wind_dir")
-    )
-    local_now = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 6).cast("int"))
-    # a reading is one event here, so the id belongs to the key that must not repeat
-    keyed = rows.withColumn("reading", F.concat_ws("#", "station", "event_id"))
-    clean = ingest.clean_records(ingest.drop_late(keyed, "ts", local_now), "reading", "ts", ("wind_dir",))
-    records = clean.select("event_id", "station", "ts", "value", "is_suspect", F.to_date("ts").alias("obs_date"))
-    ingest.start_ingest(records, f"{folder}/table", f"{folder}/checkpoint", "obs_date").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select(*records.columns)
+    rows = spark.read.parquet(f"{_run_ingest(spark, sf_dir)}/table")
+    return rows.select("event_id", "station", "ts", "value", "is_suspect", F.to_date("ts").alias("obs_date"))
+
+
+@query("stream_late_rows", f"{_INGEST_CTES} SELECT event_id, station, ts, value FROM l WHERE late")
+def stream_late_rows(spark, sf_dir):
+    return spark.read.parquet(f"{_run_ingest(spark, sf_dir)}/late").select("event_id", "station", "ts", "value")
+
+
+@query(
+    "stream_append",
+    """
+    SELECT event_id, event_type AS station, ts, value, CAST(ts AS DATE) AS obs_date FROM events
+    """,
+)
+def stream_append(spark, sf_dir):
+    """The plain append, stopped after two of its files and resumed from its checkpoint."""
+    stream, folder = _stream(spark, sf_dir, "stream-append")
+    rows = lambda s: s.select("event_id", F.col("event_type").alias("station"), "ts", "value", F.to_date("ts").alias("obs_date"))
+    files = sorted(spark.read.parquet(f"{folder}/in").inputFiles())
+    ingest.start_ingest(rows(stream), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    # a second run of the same job finds nothing new
+    again = ingest.table_stream(spark, f"{folder}/in", files_per_batch=len(files))
+    ingest.start_ingest(rows(again), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("event_id", "station", "ts", "value", "obs_date")
 
 
 @query("stream_highwater", HIGHWATER_SQL)
 def stream_highwater(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir, "stream-highwater")
-    rows = stream.select("event_id", F.col("user_id").alias("station"), "ts").withColumn("arrival", F.expr(ARRIVAL))
+    rows = stream.select("event_id", F.col("user_id").alias("station"), "ts", "arrival")
     ingest.start_highwater(
         rows, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", "station", "ts", ["arrival", "event_id"]
     ).awaitTermination()
@@ -62,14 +109,16 @@ def stream_tumbling(spark, sf_dir):
 
 @query(
     "stream_content_change",
-    """
-    SELECT user_id AS station, arg_max(props, (ts, props)) AS props, max(ts) AS ts FROM events GROUP BY 1
+    f"""
+    WITH a AS (SELECT event_id, user_id AS station, props, ts, {ARRIVAL_SQL} AS arrival FROM events),
+         l AS (SELECT *, row_number() OVER w AS n, lag(props) OVER w AS p FROM a WINDOW w AS (PARTITION BY station ORDER BY arrival, event_id))
+    SELECT event_id, station, props, ts FROM l WHERE n = 1 OR p IS DISTINCT FROM props
     """,
 )
 def stream_content_change(spark, sf_dir):
     stream, folder = _stream(spark, sf_dir, "stream-content")
-    rows = stream.select(F.col("user_id").alias("station"), "props", "ts")
+    rows = stream.select("event_id", F.col("user_id").alias("station"), "props", "ts", "arrival")
     ingest.start_content_change(
-        rows, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", "station", "props", "ts"
+        rows, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", "station", "props", ["arrival", "event_id"]
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("station", "props", "ts")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "station", "props", "ts")

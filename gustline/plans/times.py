@@ -150,7 +150,10 @@ def month_sequence(spark, sf_dir):
     "date_coercion",
     """
     SELECT o_orderkey, CAST(o_orderdate AS DATE) AS from_slashes, CAST(o_orderdate AS DATE) AS from_us,
-           CAST(o_orderdate AS DATE) AS from_words, CAST(month(o_orderdate) AS INTEGER) AS month_num, CAST(NULL AS DATE) AS from_junk FROM orders
+           CAST(o_orderdate AS DATE) AS from_words, CAST(o_orderdate AS DATE) AS from_comma, CAST(o_orderdate AS DATE) AS from_long,
+           CAST(o_orderdate AS DATE) AS from_day_first, CAST(o_orderdate AS DATE) AS from_short, CAST(o_orderdate AS DATE) AS from_dashes,
+           CAST(o_orderdate AS DATE) AS from_iso_time, CAST(o_orderdate AS DATE) AS from_ordinal,
+           CAST(month(o_orderdate) AS INTEGER) AS month_num, CAST(NULL AS DATE) AS from_junk FROM orders
     """,
 )
 def date_coercion(spark, sf_dir):
@@ -160,6 +163,13 @@ def date_coercion(spark, sf_dir):
         T.parse_date(F.date_format(day, "yyyy/M/d")).alias("from_slashes"),
         T.parse_date(F.date_format(day, "MM/dd/yyyy")).alias("from_us"),
         T.parse_date(F.date_format(day, "d MMM yyyy")).alias("from_words"),
+        T.parse_date(F.date_format(day, "MMM d, yyyy")).alias("from_comma"),
+        T.parse_date(F.date_format(day, "MMMM d, yyyy")).alias("from_long"),
+        T.parse_date(F.date_format(day, "d MMMM yyyy")).alias("from_day_first"),
+        T.parse_date(F.date_format(day, "M/d/yy")).alias("from_short"),
+        T.parse_date(F.date_format(day, "MM-dd-yyyy")).alias("from_dashes"),
+        T.parse_date(F.date_format(day, "yyyy-MM-dd'T10:00'")).alias("from_iso_time"),
+        T.parse_date(F.concat(F.upper(F.date_format(day, "MMM ")), F.dayofmonth(day).cast("string"), F.lit("th "), F.date_format(day, "yyyy"))).alias("from_ordinal"),
         T.month_number(F.date_format(day, "MMMM")).alias("month_num"),
         T.parse_date("o_orderpriority").alias("from_junk"),
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _local_folder: dict[str, str] = {}
+# Folders made by fresh_folder, with the session that made them; removed when Python ends.
+_made: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app_name: str = "gustline", master: str | None = None, **settings: str) -> SparkSession:
@@ -46,8 +50,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """A new, not yet existing path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new, not yet existing path under the shared folder. What is written there is removed when Python ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it lies; a missing one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_made() -> None:
+    for spark, path in _made:
+        # the session may be gone by now
+        with contextlib.suppress(Exception):
+            if spark._jsc is not None and not spark._jsc.sc().isStopped():
+                remove_folder(spark, path)
 
 
 def reliable_checkpoint(df):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustline.functions.text import NULL_TOKEN, html_escape, html_row
-from gustline.functions.times import file_key
+from gustline.functions.times import emit_time, file_key
 from gustline.operators.latest import latest_per_key
 
 PARTITION = "obs_date"
@@ -92,14 +95,70 @@ def xml_record(*columns: str):
     return F.concat(F.lit("<current_observation>"), F.concat_ws("", *tags), F.lit("</current_observation>"))
 
 
+def update_text(ts: str, zone: str) -> Column:
+    """Local time in the words of the feed: ``Last Updated on Jan 5 2021, 8:52 am EST``."""
+    clock = F.concat(F.date_format(ts, "MMM d yyyy, h:mm "), F.lower(F.date_format(ts, "a")))
+    return F.concat(F.lit("Last Updated on "), F.concat_ws(" ", clock, F.col(zone)))
+
+
+def write_xml_files(df: DataFrame, path: str, columns: list[str], station: str = "station_id", ts: str = "obs_local") -> None:
+    """One file per record, in a folder named after station and time like ``KDCA_Y2021_M01_D05_H08``.
+
+    For feeds of single records, not for histories: a file holds one record.
+    """
+    name = F.regexp_replace(file_key(station, ts), r"\.csv$", "")
+    rows = df.select(name.alias("record"), xml_record(*columns).alias("value"))
+    rows.repartition("record").write.mode("overwrite").partitionBy("record").text(path)
+
+
+def write_sections(sections: DataFrame, path: str, doc: str, pos: str, line: str) -> None:
+    """Section lines as CSV files, sorted by document, section and position over as many files as the volume needs.
+
+    A section of any length stays in order from one file to the next; nothing is joined in memory.
+    """
+    rows = sections.select(doc, "section_pos", "section", pos, line)
+    _csv(rows.orderBy(doc, "section_pos", pos), "overwrite").csv(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_cell(df: DataFrame, column: str):
+    """A value as JSON: numbers and booleans bare, NULL and non-finite numbers as null, all else as text."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        text = F.col(column).cast("string")
+        finite = ~text.isin("NaN", "Infinity", "-Infinity") if isinstance(kind, T.FractionalType) else F.lit(True)
+        return F.when(F.col(column).isNotNull() & finite, text).otherwise("null")
+    # an array of one text, without its brackets
+    quoted = F.to_json(F.array(F.col(column).cast("string")))
+    return F.when(F.col(column).isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise("null")
+
+
+def _json_list(items):
+    return F.concat(F.lit("["), F.concat_ws(",", items), F.lit("]"))
+
+
 def split_json(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows in "split" orientation: one JSON array of cells per row, next to the shared column list."""
-    cells = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
-    return df.withColumns({"columns": F.lit(",".join(columns)), "data": cells})
+    """Rows in "split" orientation, for tables of any length: ``data`` is a row's JSON array, next to the shared ``columns``."""
+    names = json.dumps(columns, separators=(",", ":"), ensure_ascii=False)
+    return df.withColumns({"columns": F.lit(names), "data": _json_list(F.array(*[json_cell(df, c) for c in columns]))})
+
+
+def split_json_objects(df: DataFrame, keys: list[str], index: str, columns: list[str]) -> DataFrame:
+    """One object ``{"columns", "index", "data"}`` per key, rows in the order of ``index``.
+
+    For keys of bounded size, such as a station-day of hourly rows.
+    """
+    rows = split_json(df, columns)
+    entry = F.struct(F.col(index).alias("i"), json_cell(df, index).alias("t"), F.col("data").alias("d"))
+    found = rows.groupBy(*keys, "columns").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    parts = [
+        F.lit('{"columns":'), F.col("columns"), F.lit(',"index":'), _json_list(F.transform("_rows", lambda r: r["t"])),
+        F.lit(',"data":'), _json_list(F.transform("_rows", lambda r: r["d"])), F.lit("}"),
+    ]
+    return found.select(*keys, F.concat(*parts).alias("json"))
 
 
 def html_rows(df: DataFrame, columns: list[str]) -> DataFrame:

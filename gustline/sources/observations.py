@@ -35,10 +35,18 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_xml(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
-    """Record text in a column -> the 43 fields by name; text shorter than 4 characters gives no row."""
+    """Record text in a column -> the 43 fields by name.
+
+    Broken records, and payloads that are NULL or shorter than 4 characters, keep a row without fields whose
+    ``_corrupt_record`` is the payload (empty for NULL), so the quarantine can take them.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "ignoreNamespace": "true"}
-    record = F.from_xml(xml, RAW_WITH_CORRUPT.simpleString(), options)
-    return df.where(F.length(xml) >= 4).select(*keep, record.alias("_r")).select(*keep, "_r.*")
+    payload = F.coalesce(F.col(xml), F.lit(""))
+    usable = F.length(payload) >= 4
+    record = F.from_xml(F.when(usable, payload), RAW_WITH_CORRUPT.simpleString(), options)
+    rows = df.select(*keep, record.alias("_r"), F.when(~usable, payload).alias("_payload"))
+    fields = [F.col("_r")[f.name].alias(f.name) for f in RAW_WITH_CORRUPT.fields if f.name != CORRUPT]
+    return rows.select(*keep, *fields, F.coalesce(F.col("_r")[CORRUPT], "_payload").alias(CORRUPT))
 
 
 def stream_xml(spark: SparkSession, landing: str, files_per_batch: int = 10_000) -> DataFrame:

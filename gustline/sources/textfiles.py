@@ -42,8 +42,8 @@ def read_tracker(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_station_list(spark: SparkSession, path: str) -> DataFrame:
-    """Station URLs, one per line -> station dimension."""
-    url = F.trim(F.substring("value", 1, 53))
+    """Station URLs, one per line of any length -> station dimension."""
+    url = F.trim("value")
     return spark.read.text(path).where(url != "").select(url.alias("url"), station_of_url(url).alias("station_id"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gustline.functions.times import wall_micros
 from gustline.operators.dedup import highwater_accept
-from gustline.operators.ordered import ROWS_PER_SLICE
+from gustline.operators.ordered import ROWS_PER_SLICE, ordered
 from gustline.operators.quality import REQUIRED, is_current, is_suspect, not_before_batch
+from gustline.session import remove_folder
 
 
 def table_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 10_000) -> DataFrame:
@@ -34,16 +35,81 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _write_state(df: DataFrame, path: str, batch_id: int) -> None:
+    """The state after this batch. The one before stays for a rerun of this batch; older ones go."""
+    _write_batch(df, path, batch_id)
+    if batch_id >= 2:
+        remove_folder(df.sparkSession, f"{path}/batch_id={batch_id - 2}")
+
+
 def clean_records(df: DataFrame, station: str, ts: str, required=REQUIRED, delay: str = "2 hours") -> DataFrame:
     """Flag suspect rows and drop repeated (station, time) records inside the watermark.
 
     State is one entry per (station, time) of the last ``delay``, spread over all state partitions, so
-    a hot station does not land in one task.
+    a hot station does not land in one task. Spark drops rows behind the watermark; where late rows must not
+    be lost, use :func:`start_clean_ingest`, which writes them to a table of their own.
     """
     flagged = event_time(df, ts).withColumn("is_suspect", is_suspect(required))
     return flagged.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([station, "event_time"])
 
 
+def _same(left: Column, right: Column) -> Column:
+    return left.eqNullSafe(right)
+
+
+def start_clean_ingest(
+    stream: DataFrame,
+    table: str,
+    late: str,
+    state: str,
+    checkpoint: str,
+    station: str,
+    ts: str,
+    arrival: list[str],
+    delay_hours: int = 2,
+    continuous: str | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> StreamingQuery:
+    """Append each (station, time) once, in arrival order; late rows go to the table ``late``. No row is lost.
+
+    A row is late if it is more than ``delay_hours`` older than the newest row of its station that arrived before
+    it, in this batch or an earlier one; so the result does not depend on how the feed is cut into batches. The
+    state holds the times of the last ``delay_hours`` of each station, which is all that a row that is not late can
+    repeat. A NULL station is a station; rows without a time are late.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = f"_station {kinds[station]}, _ts {kinds[ts]}"
+    columns = stream.columns
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        keys = _state(batch.sparkSession, state, batch_id, schema)
+        batch.persist()
+        try:
+            high = keys.groupBy("_station").agg(F.max("_ts").alias("_stored"))
+            scan = ordered(batch, [station], arrival, rows_per_slice).running_max("_run", F.col(ts), inclusive=False).done()
+            scan = scan.join(high, _same(F.col(station), F.col("_station")), "left").drop("_station")
+            edge = F.greatest("_run", "_stored") - F.make_dt_interval(hours=F.lit(delay_hours))
+            is_late = F.col(ts).isNull() | F.coalesce(F.col(ts) < edge, F.lit(False))
+            scan = scan.withColumn("_late", is_late).persist()
+            _write_batch(scan.where("_late").select(*columns), late, batch_id)
+            fresh = scan.where("not _late").groupBy(F.col(station).alias("_s"), F.col(ts).alias("_t")).agg(
+                F.min_by(F.struct(*columns), F.struct(*arrival)).alias("_r")
+            )
+            seen = _same(F.col("_s"), F.col("_station")) & (F.col("_t") == F.col("_ts"))
+            _write_batch(fresh.join(keys, seen, "left_anti").select("_r.*"), table, batch_id)
+            both = keys.unionByName(fresh.select(F.col("_s").alias("_station"), F.col("_t").alias("_ts"))).distinct()
+            newest = both.groupBy(F.col("_station").alias("_s")).agg(F.max("_ts").alias("_high"))
+            kept = both.join(newest, _same(F.col("_station"), F.col("_s"))).where(
+                F.col("_ts") >= F.col("_high") - F.make_dt_interval(hours=F.lit(delay_hours))
+            )
+            _write_state(kept.select("_station", "_ts"), state, batch_id)
+            scan.unpersist()
+        finally:
+            batch.unpersist()
+
+    return _start(stream, checkpoint, continuous).foreachBatch(take).start()
+
+
 def drop_late(df: DataFrame, obs: str, local_now: Column, batch_date: Column | None = None) -> DataFrame:
     """Keep readings of the local day or hour 23, and not older than the open batch date."""
     kept = df.where(is_current(F.col(obs), local_now))
@@ -99,17 +165,18 @@ def start_highwater(
     which splits hot stations; the next high-water table is a partial aggregate. All in the JVM.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = f"{station} {kinds[station]}, _stored {kinds[ts]}"
+    schema = f"_station {kinds[station]}, _stored {kinds[ts]}"
 
     def accept(batch: DataFrame, batch_id: int) -> None:
         stored = _state(batch.sparkSession, state, batch_id, schema)
         batch.persist()
         try:
-            newer = batch.join(stored, station, "left").where(F.col("_stored").isNull() | (F.col(ts) > F.col("_stored")))
+            newer = batch.join(stored, _same(F.col(station), F.col("_station")), "left").drop("_station")
+            newer = newer.where(F.col("_stored").isNull() | (F.col(ts) > F.col("_stored")))
             accepted = highwater_accept(newer.drop("_stored"), station, ts, arrival, rows_per_slice=rows_per_slice)
             _write_batch(accepted, out, batch_id)
-            seen = stored.unionByName(batch.groupBy(station).agg(F.max(ts).alias("_stored")))
-            _write_batch(seen.groupBy(station).agg(F.max("_stored").alias("_stored")), state, batch_id)
+            seen = stored.unionByName(batch.groupBy(F.col(station).alias("_station")).agg(F.max(ts).alias("_stored")))
+            _write_state(seen.groupBy("_station").agg(F.max("_stored").alias("_stored")), state, batch_id)
         finally:
             batch.unpersist()
 
@@ -123,25 +190,36 @@ def start_content_change(
     checkpoint: str,
     station: str,
     content: str,
-    ts: str,
+    arrival: list[str],
     continuous: str | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> StreamingQuery:
-    """Write a station's newest content of a batch unless it equals the content stored last."""
+    """Write every snapshot whose content differs from the station's snapshot before it, in arrival order.
+
+    The first snapshot of a station is a change. Inside a batch an ordered scan finds the one before, the first row of a
+    station is compared with the stored fingerprint; so the result does not depend on how the feed is cut into batches. A
+    NULL station is a station, and NULL content is content.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = f"{station} {kinds[station]}, {ts} {kinds[ts]}, _md5 string"
+    schema = f"_station {kinds[station]}, _stored string"
+    columns = stream.columns
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         stored = _state(batch.sparkSession, state, batch_id, schema)
-        newest = batch.groupBy(station).agg(F.max_by(F.struct(content, ts), F.struct(ts, content)).alias("_r"))
-        newest = newest.select(station, f"_r.{content}", f"_r.{ts}").withColumn("_md5", F.md5(content))
-        newest.persist()
+        hashed = batch.withColumn("_md5", F.coalesce(F.md5(content), F.lit("null"))).persist()
         try:
-            _write_batch(newest.join(stored.drop(ts), [station, "_md5"], "left_anti").drop("_md5"), out, batch_id)
-            both = stored.unionByName(newest.drop(content)).groupBy(station)
-            latest = both.agg(F.max_by(F.struct(ts, "_md5"), ts).alias("_r")).select(station, "_r.*")
-            _write_batch(latest, state, batch_id)
+            scan = ordered(hashed, [station], arrival, rows_per_slice).previous("_prev", "_md5").done()
+            scan = scan.join(stored, _same(F.col(station), F.col("_station")), "left")
+            before = F.coalesce(F.col("_prev._md5"), F.col("_stored"))
+            _write_batch(scan.where(before.isNull() | (before != F.col("_md5"))).select(*columns), out, batch_id)
+            last = hashed.groupBy(F.col(station).alias("_station")).agg(F.max_by("_md5", F.struct(*arrival)).alias("_new"))
+            # a station that this batch does not name keeps what it has
+            both = stored.withColumn("_age", F.lit(0)).unionByName(
+                last.select("_station", F.col("_new").alias("_stored"), F.lit(1).alias("_age"))
+            )
+            _write_state(both.groupBy("_station").agg(F.max_by("_stored", "_age").alias("_stored")), state, batch_id)
         finally:
-            newest.unpersist()
+            hashed.unpersist()
 
     return _start(stream, checkpoint, continuous).foreachBatch(changed).start()
 
@@ -154,28 +232,26 @@ def start_tumbling(
     ts: str,
     value: str,
     width: str = "1 day",
-    delay: str = "2 hours",
     continuous: str | None = None,
 ) -> StreamingQuery:
-    """Count and extremes per station and tumbling window, in update mode.
+    """Count and extremes per station and tumbling window.
 
-    Each batch writes the windows it changed; :func:`read_tumbling` takes the newest version. State of
-    windows older than the watermark is dropped.
+    Each batch writes its own share of every window it touches, and :func:`read_tumbling` adds the shares up. There is no
+    state and no watermark, so a row counts however late it comes.
     """
-    windows = (
-        event_time(stream, ts)
-        .withWatermark("event_time", delay)
-        .groupBy(station, F.window("event_time", width).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.max(value).alias("max_value"), F.min(value).alias("min_value"))
-        .withColumn("window_micros", F.unix_micros("_w.start"))
-        .drop("_w")
-    )
-    writer = _start(windows, checkpoint, continuous).outputMode("update")
-    return writer.foreachBatch(lambda batch, batch_id: _write_batch(batch, out, batch_id)).start()
+    def share(batch: DataFrame, batch_id: int) -> None:
+        shares = (
+            event_time(batch, ts)
+            .groupBy(station, F.window("event_time", width).alias("_w"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.max(value).alias("max_value"), F.min(value).alias("min_value"))
+        )
+        _write_batch(shares.withColumn("window_micros", F.unix_micros("_w.start")).drop("_w"), out, batch_id)
+
+    return _start(stream, checkpoint, continuous).foreachBatch(share).start()
 
 
 def read_tumbling(spark: SparkSession, out: str, station: str) -> DataFrame:
-    rows = spark.read.parquet(out)
-    measures = [c for c in rows.columns if c not in (station, "window_micros", "batch_id")]
-    newest = rows.groupBy(station, "window_micros").agg(F.max_by(F.struct(*measures), "batch_id").alias("_r"))
-    return newest.select(station, "window_micros", "_r.*")
+    """All windows, their shares added up."""
+    return spark.read.parquet(out).groupBy(station, "window_micros").agg(
+        F.sum("n_rows").alias("n_rows"), F.max("max_value").alias("max_value"), F.min("min_value").alias("min_value")
+    )

@@ -22,6 +22,33 @@ def test_full_day_has_no_gap(spark):
     assert gaps(series(spark, *range(24))) == []
 
 
+def test_full_day_at_any_minute_has_no_gap(spark):
+    df = series(spark, *[h + 52 / 60 for h in range(24)])
+    assert audit.gap_rows(df, "station", "ts", ["id"]).count() == 0
+
+
+def test_a_wrong_century_is_no_large_array(spark):
+    rows = [("K", 0, datetime(1921, 3, 1), 1.0, "x"), ("K", 1, datetime(2021, 3, 1), 1.0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    flagged = audit.gap_rows(df, "station", "ts", ["id"])
+    missing = audit.missing_hours(flagged, "station", "ts")
+    n = (datetime(2021, 3, 1) - datetime(1921, 3, 1)).days * 24 - 1
+    assert missing.count() == n and missing.select("missing_ts").distinct().count() == n
+    filled = audit.gap_fill(audit.hourly_series(df, "station", "ts", "id", "wind"), "station", ["wind"])
+    assert filled.count() == n + 1 + 24
+
+
+def test_nothing_is_added_after_as_of(spark):
+    now = DAY + timedelta(hours=8, minutes=30)
+    as_of = F.lit(now).cast("timestamp_ntz")
+    df = series(spark, 0, 1, 2, 5, 6, 7, 8)
+    hourly = audit.hourly_series(df, "station", "ts", "id", "wind")
+    filled = audit.gap_fill(hourly, "station", ["wind"], as_of=as_of).collect()
+    assert sorted(r.obs_hour for r in filled) == [DAY + timedelta(hours=h) for h in range(9)]
+    assert audit.day_completeness(series(spark, *range(9)), "station", "ts", as_of).first().is_short is False
+    assert audit.day_completeness(df, "station", "ts", as_of).first().is_short is True
+
+
 def test_gap_and_day_start(spark):
     assert gaps(series(spark, 2, 3, 6)) == [DAY + timedelta(hours=h) for h in (0, 1, 4, 5)]
 

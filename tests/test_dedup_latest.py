@@ -52,6 +52,18 @@ def test_latest_and_nth(spark):
     df = spark.createDataFrame(rows, "station string, id int, t int, c string")
     assert {(r.station, r.c) for r in latest.latest_per_key(df, ["station"], ["t", "id"], ["c"]).collect()} == {("K", "z"), ("L", "w")}
     assert ids(latest.nth_row(df, ["station"], ["t", "id"], 2)) == [2]
+    assert ids(latest.nth_row(df, ["station"], ["t", "id"], 1, newest_first=True)) == [3, 4]
+
+
+def test_nth_row_of_a_hot_key_beyond_the_group_limit(spark):
+    df = spark.range(9000).select(F.expr("if(id % 3 = 0, null, 'hot')").alias("station"), (F.col("id") % 7).alias("t"), "id")
+    for newest in (False, True):
+        want = []
+        for hot in (True, False):
+            rows = sorted(((r.t, r.id) for r in df.collect() if (r.station == "hot") == hot), reverse=newest)
+            want.append(rows[1999][1])
+        got = latest.nth_row(df, ["station"], ["t", "id"], 2000, newest_first=newest, rows_per_slice=500)
+        assert ids(got) == sorted(want)
 
 
 def test_asof(spark):

@@ -54,6 +54,32 @@ def test_slices_give_the_plain_windows(feed, size):
     same(got, want)
 
 
+def test_many_hot_keys_and_given_hot_keys(feed):
+    """No limit on hot keys or slices; with given hot keys the scan gives the same rows."""
+    plain = lambda o: o.previous("p", "v").done()
+    want = plain(ordered(feed, ["station"], ["t", "id"]))
+    same(plain(ordered(feed, ["station"], ["t", "id"], 2)), want)
+    given = feed.groupBy("station").agg(F.count("*").alias("n")).where("n > 300")
+    scan = ordered(feed, ["station"], ["t", "id"], 100, hot_keys=given)
+    assert scan.slices > 1
+    same(plain(scan), want)
+
+
+def test_one_key_with_nine_tenths_of_the_rows(spark):
+    df = spark.range(3000).select(F.expr("if(id % 10 = 0, 'cold', 'hot')").alias("k"), (F.col("id") * 17 % 101).alias("t"), "id")
+    scan = ordered(df, ["k"], ["t", "id"], 200).previous("p", "id").done()
+    w = Window.partitionBy("k").orderBy("t", "id")
+    same(scan, df.withColumn("p", F.lag(F.struct("id")).over(w)))
+
+
+def test_hot_path_reads_the_input_twice(spark, tmp_path):
+    """Once for the count, once for the checkpoint: the scan's own plan does not read the files again."""
+    spark.range(2000).select(F.lit("hot").alias("k"), "id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    scan = ordered(df, ["k"], ["id"], 100).previous("p", "id").done()
+    assert "FileScan" not in scan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_slices_are_even(feed):
     hot = ordered(feed, ["station"], ["t", "id"], 100).df.where("_slice >= 0")
     sizes = [r["count"] for r in hot.groupBy("station", "_slice").count().collect()]

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from gustline.operators.ordered import ROWS_PER_SLICE_SETTING
+from gustline.plans import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -26,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = contract.queries()[name](spark, SF)
     sql = contract.oracle_sql()[name]
@@ -40,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 ORDERED = (
     "gap_rows", "backwards_rows", "highwater_accept", "change_only", "consecutive_dup", "dup_summary", "plateau_flag",
-    "rollover_segments", "retime_repair", "audit_repair", "publish_minute", "section_lines", "section_text",
+    "rollover_segments", "retime_repair", "audit_repair", "publish_minute", "section_lines", "section_files", "gap_rows_offset",
 )
 
 
@@ -61,7 +62,7 @@ def plan_of(spark, name):
     return contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-BATCH = sorted(n for n in contract.queries() if not n.startswith("stream_"))
+BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -88,3 +89,13 @@ def test_scan_reads_only_needed_columns(spark):
 def test_daily_summary_shuffles_once(spark):
     assert plan_of(spark, "daily_summary").count("Exchange hashpartitioning") == 1
     assert plan_of(spark, "rollover_segments").count("Exchange hashpartitioning") == 1
+
+
+def test_scans_and_shuffles_of_the_cheaper_plans(spark):
+    scans = {"gap_fill": 1, "retime_repair": 1, "source_fallback": 1}
+    for name, n in scans.items():
+        assert plan_of(spark, name).count("FileScan") == n, name
+    assert plan_of(spark, "source_fallback").count("Exchange hashpartitioning") == 1
+    # contents are hashed before they travel
+    before, _, _ = plan_of(spark, "new_content_anti").partition("FileScan")
+    assert "max_by(props" not in before

@@ -1,6 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 from gustline.operators import sections
+from gustline.sinks import tables
 from gustline.sources import pages
 
 FORECAST = "intro\nANZ530-bay\nwinds.\nANZ535-river\nSW wind 5 kt.\nwaves 1 ft\nANZ536-other\nx"
@@ -19,13 +22,26 @@ def test_section_lines_and_text(spark):
     lines = spark.createDataFrame(rows, "doc string, pos int, line string")
     header = F.when(F.col("line").rlike(r"^ANZ\d{3}"), F.substring("line", 1, 6))
     found = sections.section_lines(lines, "doc", "pos", header)
-    text = sections.section_text(found, "doc", "pos", "line").orderBy("section_pos").collect()
-    assert [r.section_text.split("\n")[0] for r in text] == ["ANZ530-bay", "ANZ535-river", "ANZ536-other"]
-    assert [r.n_lines for r in text] == [2, 3, 2]
-    parts = sections.section_text(found, "doc", "pos", "line", lines_per_part=2).where("section_pos = 3")
-    assert [(r.part_no, r.n_lines) for r in parts.orderBy("part_no").collect()] == [(0, 2), (1, 1)]
-    whole = "\n".join(r.section_text for r in parts.orderBy("part_no").collect())
-    assert whole == text[1].section_text
+    got = [(r.pos, r.section_pos, r.section) for r in found.orderBy("pos").collect()]
+    assert got == [(1, 1, "ANZ530"), (2, 1, "ANZ530"), (3, 3, "ANZ535"), (4, 3, "ANZ535"), (5, 3, "ANZ535"), (6, 6, "ANZ536"), (7, 6, "ANZ536")]
+
+
+def test_written_sections_keep_their_order(spark, tmp_path):
+    rows = [("d", i, "H" if i % 50 == 0 else f"line {i}, \"quoted\"\nand broken") for i in range(500)]
+    lines = spark.createDataFrame(rows, "doc string, pos int, line string").repartition(5)
+    found = sections.section_lines(lines, "doc", "pos", F.when(F.col("line") == "H", F.col("line")))
+    tables.write_sections(found, str(tmp_path / "s"), "doc", "pos", "line")
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    names = sorted(n for n in os.listdir(tmp_path / "s") if n.startswith("part"))
+    back = [(int(r.pos), r.line) for n in names for r in reader.csv(str(tmp_path / "s" / n)).collect()]
+    assert back == [(i, line) for _, i, line in rows]
+
+
+def test_cell_sections(spark):
+    df = spark.createDataFrame([(1, FORECAST), (2, None), (3, "no header"), (4, "ANZ1\n\nANZ2")], "i int, t string")
+    rows = sections.cell_sections(df, "t", ["i"], r"ANZ\d").orderBy("i", "section_no").collect()
+    assert [(r.i, r.section_no, r.n_lines) for r in rows] == [(1, 0, 2), (1, 1, 3), (1, 2, 2), (4, 0, 2), (4, 1, 1)]
+    assert rows[0].section_text == "ANZ530-bay\nwinds." and rows[3].section_text == "ANZ1\n"
 
 
 def test_paragraphs(values):
@@ -43,8 +59,12 @@ def test_history_table(spark):
     cells = "".join(f"<td>{c}</td>" for c in ["29", "08:52", "NW 8 G 25", "10.00", "Fair", "CLR", "28", "8", "", "", "43%", "20", "NA", "30.32", "1026.8", "", "", ""])
     html = f"<!-- <tr><td>no</td></tr> --><table><thead><tr><th>D<br>a</th></tr></thead><tr>{cells}</tr><tr><td>foot</td></tr></table>"
     page = spark.createDataFrame([("KDCA", html)], "station_id string, html string")
-    rows = pages.history_rows(page, "html", ["station_id"], F.lit(2021), F.lit(1)).collect()
+    rows = pages.history_rows(page, "html", ["station_id"], F.lit("2021-01-30").cast("date")).collect()
     assert len(rows) == 1
+    rejects = pages.history_rejects(page, "html", ["station_id"], F.lit("2021-01-30").cast("date")).collect()
+    assert [r["cells"] for r in rejects] == [["foot"]]
+    earlier = pages.history_rows(page, "html", ["station_id"], F.lit("2021-01-02").cast("date")).first()
+    assert (earlier["Year"], earlier["Month"]) == ("2020", "12")
     row = rows[0]
     assert (row["Date"], row["Wind (mph)"], row["Max."], row["Wind Chill (°F)"], row["Year"], row["Month"]) == ("29", "NW 8 G 25", None, "20", "2021", "1")
 

@@ -84,25 +84,77 @@ def test_highwater_stream_survives_a_failed_batch(spark, landing, tmp_path, monk
     assert rows_of(spark.read.parquet(names[0]), "station", "arrival") == rows_of(want, "station", "arrival")
 
 
-def test_tumbling_stream_equals_batch(spark, landing, tmp_path):
+@pytest.mark.parametrize("files", [1, 10])
+def test_tumbling_stream_equals_batch(spark, landing, tmp_path, files):
     folder, batch = landing
-    stream = ingest.table_stream(spark, folder, files_per_batch=1)
+    stream = ingest.table_stream(spark, folder, files_per_batch=files)
     out = str(tmp_path / "out")
-    ingest.start_tumbling(stream, out, str(tmp_path / "cp"), "station", "ts", "v", delay="3 days").awaitTermination()
+    ingest.start_tumbling(stream, out, str(tmp_path / "cp"), "station", "ts", "v").awaitTermination()
     got = rows_of(ingest.read_tumbling(spark, out, "station"), "station", "n_rows", "max_value", "min_value")
     want = batch.groupBy("station", F.to_date("ts")).agg(F.count("*").alias("n"), F.max("v").alias("a"), F.min("v").alias("b"))
     assert got == rows_of(want, "station", "n", "a", "b")
 
 
-def test_content_change_stream(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 10])
+def test_content_change_stream(spark, tmp_path, files):
+    """Every change counts, whatever the batches: A, A, B, A of a station, and one without a name."""
+    folder = str(tmp_path / "in")
+    names = [str(tmp_path / n) for n in ("out", "state", "cp")]
+    for t, content in enumerate(["a", "a", "b", "a", None, None]):
+        rows = [("K", content, 2 * t), (None, "same", 2 * t + 1)]
+        spark.createDataFrame(rows, "station string, content string, t int").coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        stream = ingest.table_stream(spark, folder, files_per_batch=files)
+        ingest.start_content_change(stream, *names, "station", "content", ["t"]).awaitTermination()
+    found = [tuple(r) for r in spark.read.parquet(names[0]).select("station", "content", "t").orderBy("t").collect()]
+    assert found == [("K", "a", 0), (None, "same", 1), ("K", "b", 4), ("K", "a", 6), ("K", None, 8)]
+    if files == 1:
+        assert len([n for n in os.listdir(names[1]) if n.startswith("batch_id")]) == 2
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_clean_ingest_loses_no_row(spark, landing, tmp_path, files):
+    """Late rows go to a table of their own; both tables are the same for one and for ten files per batch."""
+    folder, batch = landing
+    names = [str(tmp_path / n) for n in ("table", "late", "state", "cp")]
+    stream = ingest.table_stream(spark, folder, files_per_batch=files)
+    ingest.start_clean_ingest(stream, *names, "station", "ts", ["arrival"]).awaitTermination()
+    high, seen, table, late = {}, set(), [], []
+    for r in batch.orderBy("arrival").collect():
+        if r.station in high and r.ts < high[r.station] - timedelta(hours=2):
+            late.append((r.station, r.arrival))
+        elif (r.station, r.ts) not in seen:
+            table.append((r.station, r.arrival))
+            seen.add((r.station, r.ts))
+        high[r.station] = max(r.ts, high.get(r.station, r.ts))
+    assert rows_of(spark.read.parquet(names[0]), "station", "arrival") == sorted(table)
+    assert rows_of(spark.read.parquet(names[1]), "station", "arrival") == sorted(late) and late
+
+
+@pytest.mark.parametrize("files", [1, 10])
+def test_late_days_are_counted(spark, tmp_path, files):
+    folder = str(tmp_path / "in")
+    for i, day in enumerate((10, 11, 5, 12)):
+        rows = [("K", datetime(2024, 1, day, 8), i, 1.0)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.table_stream(spark, folder, files_per_batch=files)
+    ingest.start_tumbling(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "station", "ts", "v").awaitTermination()
+    assert ingest.read_tumbling(spark, str(tmp_path / "out"), "station").count() == 4
+    names = [str(tmp_path / n) for n in ("table", "late", "state", "cp2")]
+    stream = ingest.table_stream(spark, folder, files_per_batch=files)
+    ingest.start_clean_ingest(stream, *names, "station", "ts", ["arrival"]).awaitTermination()
+    assert [spark.read.parquet(n).count() for n in names[:2]] == [3, 1]
+
+
+def test_highwater_stream_remembers_a_station_without_a_name(spark, tmp_path):
     folder = str(tmp_path / "in")
+    for i, hour in enumerate((5, 3)):
+        rows = [(None, datetime(2024, 1, 1, hour), i, 1.0)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     names = [str(tmp_path / n) for n in ("out", "state", "cp")]
-    for day, content in enumerate(["a", "a", "b", "a"]):
-        df = spark.createDataFrame([("K", content, day), ("L", "same", day)], "station string, content string, t int")
-        df.coalesce(1).write.mode("append").parquet(folder)
-        stream = ingest.table_stream(spark, folder)
-        ingest.start_content_change(stream, *names, "station", "content", "t").awaitTermination()
-    assert rows_of(spark.read.parquet(names[0]), "station", "content", "t") == [("K", "a", 0), ("K", "a", 3), ("K", "b", 2), ("L", "same", 0)]
+    stream = ingest.table_stream(spark, folder, files_per_batch=1)
+    ingest.start_highwater(stream, *names, "station", "ts", ["arrival"]).awaitTermination()
+    assert spark.read.parquet(names[0]).count() == 1
 
 
 def test_xml_ingest_with_quarantine_and_resume(spark, tmp_path):
@@ -124,16 +176,16 @@ def test_xml_ingest_with_quarantine_and_resume(spark, tmp_path):
 
     land("1.xml", "KDCA")
     land("2.xml", "KDCA")
-    land("3.xml", "KIAD", wind=("<wind_mph>8.1</wind_mph>", ""))
+    land("3.xml", "KIAD", wind=("<wind_mph>12.7</wind_mph>", ""))
     run()
     land("4.xml", "KDCA")
-    land("5.xml", "KDCA", t=("8:52 am", "9:52 am"))
+    land("5.xml", "KDCA", t=("5:20 pm", "6:20 pm"))
     run()
     got = spark.read.parquet(table)
     assert rows_of(got, "station_id", "obs_local") == [
-        ("KDCA", datetime(2021, 1, 29, 8, 52)),
-        ("KDCA", datetime(2021, 1, 29, 9, 52)),
-        ("KIAD", datetime(2021, 1, 29, 8, 52)),
+        ("KDCA", datetime(2023, 3, 4, 17, 20)),
+        ("KDCA", datetime(2023, 3, 4, 18, 20)),
+        ("KIAD", datetime(2023, 3, 4, 17, 20)),
     ]
     assert rows_of(spark.read.parquet(str(tmp_path / "bad")), "station_id") == [("KIAD",)]
 

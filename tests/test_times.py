@@ -125,6 +125,9 @@ def test_months(values, spark):
 def test_dates(values):
     got = values(T.parse_date, "2021/5/1", "05/01/2021", "2021-05-01", "May 1 2021", "1 May 2021", "2021/02/30", "x")
     assert got == [date(2021, 5, 1)] * 5 + [None, None]
+    shapes = ("Jan 29, 2021", "29 January 2021", "1/29/21", "01-29-2021", "2021-01-29T10:00", "jan. 29th 2021", "29-Jan-2021")
+    assert values(T.parse_date, *shapes) == [date(2021, 1, 29)] * len(shapes)
+    assert values(T.parse_date, "Sept 1 2021", "1/5/70", "1/5/69", None, "") == [date(2021, 9, 1), date(1970, 1, 5), date(2069, 1, 5), None, None]
 
 
 def test_file_names(spark, values):
