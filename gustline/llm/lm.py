@@ -72,7 +72,7 @@ class Vocabulary:
         leaves = WIDTH * WIDTH
         before = np.cumsum(mass) - mass
         leaf = np.minimum((before / max(mass.sum(), 1.0) * (leaves - 1)).astype(np.int64), leaves - 2)
-        self.leaf_mass = np.bincount(leaf, mass, minlength=leaves)
+        self.leaf_mass = np.bincount(leaf, mass, minlength=leaves).astype(np.float64)
         self.leaf_mass[-1] = tail
         by_word = np.argsort(words)
         self.words, self.leaf = words[by_word], leaf[by_word].astype(np.int16)

@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MAX_REPEATS = 1.5, 2.0
 BLOCK_DOCUMENTS = 64
 BLOCKS_PER_SHARD = 256
-BUCKET_DOCUMENTS = 20_000
+BUCKET_DOCUMENTS = 5_000
 FILL_ROUNDS = 4
 # Sources are a dimension: their totals are held on the driver, up to this many.
 MAX_SOURCES = 1_000_000
@@ -125,8 +125,8 @@ def _fill(rows: DataFrame, gaps: dict[int, float]) -> list[tuple[int, int]]:
         if picked:
             fits = fits.join(F.broadcast(spark.createDataFrame(picked, "s long, row long")), ["s", "row"], "left_anti")
         nearest = F.broadcast(fits.groupBy("s").agg(F.min("off").alias("off")))
-        # of equally near ones the larger, of equal ones the first row; a row's order is its number
-        best = fits.join(nearest, ["s", "off"]).groupBy("s", "size").agg(F.min("row").alias("row"))
+        # of equally near ones the larger, of equal ones the first in hash order
+        best = fits.join(nearest, ["s", "off"]).groupBy("s", "size").agg(F.min_by("row", "h").alias("row"))
         best = best.groupBy("s").agg(F.max("size").alias("size"), F.max_by("row", "size").alias("row"))
         found = best.collect()
         if not found:
@@ -194,8 +194,8 @@ def plan_mix(
     dealt = dealt.select(
         "shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("block")
     )
-    drawn = drawn.select("row", "size", "copy", "s", "block").join(dealt, ["s", "block"])
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "row", "copy"), "row", "copy")
+    drawn = drawn.select("row", "h", "size", "copy", "s", "block").join(dealt, ["s", "block"])
+    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "h", "copy"), "row", "copy")
     draws = drawn.select("row", "size", "copy", "shard", F.row_number().over(local).alias("position"))
     return rows.select("row", "id", "size", "source_size", "target"), draws
 
