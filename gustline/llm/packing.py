@@ -7,18 +7,18 @@
    what is left of the gap is a gap again. Pieces that found no gap in their range are matched with the gaps left over in the
    ranges above: only counts per range reach the driver, which deals leftover pieces to the nearest range above by rank; piece
    rank r takes gap slot r there.
-3. Gaps are updated. When a superstep places nothing, the rest of the class opens new sequences, as many pieces in each as
-   always fit, and the next class follows.
+3. Gaps are updated. When a superstep places nothing, the rest of the class opens new sequences, filled range by range by best
+   fit, and the next class follows.
 
 A piece ends in exactly one sequence; offsets are running sums inside a sequence, which holds at most ``capacity`` tokens.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,45 +35,54 @@ RANGE_ROWS = 50_000
 _encoders: dict[str, object] = {}
 
 
-def _encoder(vocabulary: str):
-    """``encode(text) -> ids`` for a byte-level BPE vocabulary; kept per worker.
-
-    The ranks file beside the vocabulary (same name, ``.tiktoken``) holds the same merges and gives the same ids in a fifth of
-    the time; the vocabulary itself is used where that file is missing or a text is too much for it.
-    """
+def _whole(vocabulary: str):
+    """The vocabulary's own tokenizer; kept per worker."""
     if vocabulary not in _encoders:
-        import base64
-        import os
-
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(vocabulary)
-        whole.encode_special_tokens = True
-        slow = lambda text: whole.encode(text, add_special_tokens=False).ids
-        ranks = vocabulary.removesuffix(".json") + ".tiktoken"
-        if not os.path.exists(ranks):
-            _encoders[vocabulary] = slow
-            return slow
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.encode_special_tokens = True
+        _encoders[vocabulary] = tokenizer
+    return _encoders[vocabulary]
+
+
+def _ranks(path: str):
+    """The ranks file beside a vocabulary as an encoding; kept per worker."""
+    if path not in _encoders:
+        import base64
+
         import public_tokenizers
         import tiktoken
 
-        with open(ranks, "rb") as lines:
+        with open(path, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-        def encode(text: str) -> list[int]:
-            # very long runs of one kind take the regex engine of the fast one too deep
-            if len(text) > 1_000_000:
-                return slow(text)
-            try:
-                return fast.encode_ordinary(text)
-            except BaseException as error:  # a panic in the native code
-                if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
-                    raise
-                return slow(text)
-
-        _encoders[vocabulary] = encode
-    return _encoders[vocabulary]
+        _encoders[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return _encoders[path]
+
+
+def encoder(vocabulary: str):
+    """``encode(text) -> ids`` for a byte-level BPE vocabulary.
+
+    The ranks file beside the vocabulary (same name, ``.tiktoken``) holds the same merges and gives the same ids in a fifth of
+    the time; the vocabulary itself is read where that file is missing or a text is too much for it.
+    """
+    ranks = vocabulary.removesuffix(".json") + ".tiktoken"
+    slow = lambda text: _whole(vocabulary).encode(text, add_special_tokens=False).ids
+    if not os.path.exists(ranks):
+        return slow
+
+    def encode(text: str) -> list[int]:
+        # very long runs of one kind take the regex engine of the fast one too deep
+        if len(text) > 1_000_000:
+            return slow(text)
+        try:
+            return _ranks(ranks).encode_ordinary(text)
+        except BaseException as error:  # a panic in the native code
+            if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+            return slow(text)
+
+    return encode
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,7 +97,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenise(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
-        encode = _encoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "piece", "start", "length", "crc", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -130,62 +139,88 @@ def token_pieces(
     return docs.mapInArrow(_tokenise(vocabulary, capacity, end_id, with_ids), schema)
 
 
-def best_fit(sizes: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(sizes: np.ndarray, gaps: np.ndarray, capacity: int, opens: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """One sweep: for each piece (sizes descending) the gap it goes to or -1, and what is left of each gap.
 
-    The smallest gap that holds a piece takes it; what is left of it takes part again.
+    The smallest gap that holds a piece takes it; what is left of it takes part again. With ``opens`` a piece that no gap holds
+    opens a gap of the whole capacity, numbered after the given ones.
 
     >>> best_fit(np.array([5, 3, 2]), np.array([6, 5]), 10)
-    (array([ 1,  0,  0]), array([1, 0]))
+    (array([1, 0, 0]), array([1, 0]))
+    >>> best_fit(np.array([6, 5, 4]), np.array([], int), 10, opens=True)
+    (array([0, 1, 0]), array([0, 5]))
     """
-    left = gaps.copy()
+    left = gaps.tolist()
     by_size: dict[int, list[int]] = {}
     present = 0  # a bit for every size that some gap has
-    for at, gap in enumerate(gaps.tolist()):
+    for at, gap in enumerate(left):
         by_size.setdefault(gap, []).append(at)
         present |= 1 << gap
     to = np.full(len(sizes), -1, np.int64)
     for i, size in enumerate(sizes.tolist()):
         above = present >> size
-        if not above:
+        if above:
+            gap = size + (above & -above).bit_length() - 1
+            at = by_size[gap].pop()
+            if not by_size[gap]:
+                present ^= 1 << gap
+        elif opens:
+            gap, at = capacity, len(left)
+            left.append(gap)
+        else:
             continue
-        gap = size + (above & -above).bit_length() - 1
-        at = by_size[gap].pop()
-        if not by_size[gap]:
-            present ^= 1 << gap
         to[i] = at
         left[at] = rest = gap - size
         if rest:
             by_size.setdefault(rest, []).append(at)
             present |= 1 << rest
-    return to, left
+    return to, np.array(left, np.int64)
 
 
-def _sweep(capacity: int):
+def _columns(batches, n: int) -> list[np.ndarray] | None:
+    """The first ``n`` columns of all batches of a task, or None if there is no row."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(n)] for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
+
+
+def _sweep(capacity: int, low: int):
     """Sweep one range: rows ``is_piece, id, size`` in, ``part, is_piece, id, size, to, rank`` out.
 
-    Of a piece ``to`` is its sequence or NULL, of a gap ``size`` is what is left. Leftover pieces and untouched gaps are ranked in
-    the order of the sweep, untouched gaps from the smallest.
+    Of a piece ``to`` is its sequence or -1, of a gap ``size`` is what is left. Leftover pieces are ranked in the order of the
+    sweep, untouched gaps from the smallest; other rows have rank -1. One more row (``is_piece`` NULL) counts leftover pieces
+    (``id``), untouched gaps (``size``) and gaps with more than ``low`` left (``to``).
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        rows = pd.concat([b for b in batches] or [pd.DataFrame()], ignore_index=True)
-        if not len(rows):
-            return
         part = TaskContext.get().partitionId()
-        pieces = rows[rows["is_piece"]].sort_values(["size", "id"], ascending=[False, True])
-        gaps = rows[~rows["is_piece"]].sort_values(["size", "id"])
-        to, left = best_fit(pieces["size"].to_numpy(), gaps["size"].to_numpy(), capacity)
-        names = gaps["id"].to_numpy()
-        own = np.where(to >= 0, names[np.maximum(to, 0)], -1) if len(names) else np.full(len(to), -1)
-        free = own < 0
-        untouched = left == gaps["size"].to_numpy()
-        yield pd.DataFrame({"part": part, "is_piece": True, "id": pieces["id"].to_numpy(), "size": pieces["size"].to_numpy(),
-                            "to": own, "rank": np.where(free, np.cumsum(free) - 1, -1)})
-        yield pd.DataFrame({"part": part, "is_piece": False, "id": names, "size": left, "to": -1,
-                            "rank": np.where(untouched, np.cumsum(untouched) - 1, -1)})
+        rows = _columns(batches, 3)
+        if rows is None:
+            return
+        is_piece, ids, sizes = rows
+        is_piece = is_piece.astype(bool)
+        order = np.lexsort([ids[is_piece], -sizes[is_piece]])
+        piece_ids, piece_sizes = ids[is_piece][order], sizes[is_piece][order]
+        order = np.lexsort([ids[~is_piece], sizes[~is_piece]])
+        gap_ids, gap_sizes = ids[~is_piece][order], sizes[~is_piece][order]
+        to, left = best_fit(piece_sizes, gap_sizes, capacity)
+        free, untouched = to < 0, left == gap_sizes
+        own = np.full(len(to), -1, np.int64)
+        own[~free] = gap_ids[to[~free]]
+        none = np.full(len(gap_ids), -1, np.int64)
+        for flag, i, size, target, ranked in (
+            (True, piece_ids, piece_sizes, own, free),
+            (False, gap_ids, left, none, untouched),
+            (None, [free.sum()], [untouched.sum()], [(left > low).sum()], np.zeros(1, bool)),
+        ):
+            n = len(i)
+            columns = [np.full(n, part, np.int64), pa.array([flag] * n, pa.bool_()), i, size, target,
+                       np.where(ranked, np.cumsum(ranked) - 1, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns],
+                names=["part", "is_piece", "id", "size", "to", "rank"],
+            )
 
     return run
 
@@ -195,112 +230,117 @@ def _deal(left: list) -> list[tuple[int, int, int, int, int]]:
     gaps of the nearest ranges above them. One entry per range and source at most."""
     stack: list[list[int]] = []
     out = []
-    for row in sorted(left, key=lambda r: r["part"]):
-        rank, need = 0, row["pieces"]
+    for part, pieces, gaps in sorted(left):
+        rank, need = 0, pieces
         while need and stack:
-            part, used, free = stack[-1]
+            above, used, free = stack[-1]
             take = min(need, free)
-            out.append((row["part"], rank, take, part, used))
+            out.append((part, rank, take, above, used))
             rank, need = rank + take, need - take
-            stack[-1] = [part, used + take, free - take]
+            stack[-1] = [above, used + take, free - take]
             if not stack[-1][2]:
                 stack.pop()
-        if row["gaps"]:
-            stack.append([row["part"], 0, row["gaps"]])
+        if gaps:
+            stack.append([part, 0, gaps])
     return out
 
 
-def _superstep(pieces: DataFrame, gaps: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placed pieces (``id, size, to``), pieces left over (``id, size``) and updated gaps (``id, size``)."""
+def _superstep(pieces: DataFrame, gaps: DataFrame, rows: int, capacity: int, low: int):
+    """Placed pieces (``id, size, to``), pieces left over and gaps left (``id, size``), and the numbers of pieces left over and of
+    gaps that may hold another piece. Three shuffles: the sweep's ranges, and leftover pieces and gaps by rank."""
     spark = pieces.sparkSession
     both = pieces.select(F.lit(True).alias("is_piece"), "id", "size").unionByName(
         gaps.select(F.lit(False).alias("is_piece"), "id", "size")
     )
     ranges = max(1, -(-rows // RANGE_ROWS))
-    swept = both.repartitionByRange(ranges, F.desc("size"), "is_piece", "id").mapInPandas(
-        _sweep(capacity), "part long, is_piece boolean, id long, size long, to long, rank long"
+    swept = both.repartitionByRange(ranges, F.desc("size"), "is_piece", "id").mapInArrow(
+        _sweep(capacity, low), "part long, is_piece boolean, id long, size long, to long, rank long"
     )
     swept = written(swept, "pack-sweep")
-    placed = swept.where("is_piece and to >= 0").select("id", "size", "to")
-    rest = swept.where("is_piece and to < 0")
-    free = swept.where("not is_piece")
-    left = swept.where("rank >= 0").groupBy("part").agg(
-        F.sum(F.col("is_piece").cast("int")).alias("pieces"), F.sum((~F.col("is_piece")).cast("int")).alias("gaps")
-    )
-    dealt = _deal(left.collect())
-    if dealt:
-        # one row per range and source; an interval of ranks becomes one of slots
-        side = spark.createDataFrame(dealt, "part long, first long, count long, from_part long, slot long")
-        side = F.broadcast(side.withColumnRenamed("part", "_part"))
-        moved = rest.join(side, (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("first"))
-                          & (F.col("rank") < F.col("first") + F.col("count")))
-        moved = moved.select("id", "size", F.col("from_part").alias("g_part"), (F.col("slot") + F.col("rank") - F.col("first")).alias("g_rank"))
-        taken = free.where("rank >= 0").select(F.col("part").alias("g_part"), F.col("rank").alias("g_rank"), F.col("id").alias("to"))
-        moved = written(moved.join(taken, ["g_part", "g_rank"]).select("id", "size", "to"), "pack-moved")
-        placed = placed.unionByName(moved)
-        rest = rest.join(moved.select("id"), "id", "left_anti")
-        used = moved.select(F.col("to").alias("id"), F.col("size").alias("used"))
-        free = free.join(used, "id", "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0)))
-    return placed, rest.select("id", "size"), free.where("size > 0").select("id", "size")
-
-
-def _opened(pieces: DataFrame, each: int, base: int, capacity: int) -> DataFrame:
-    """New sequences for pieces of which any ``each`` fit together: neighbours in size order share one. ``id, size, to``.
-
-    Ranks are taken inside hash groups, so no task ranks them all; the last sequence of each group may hold fewer.
-    """
-    parts = pieces.repartitionByRange(F.desc("size"), "id").withColumn("part", F.spark_partition_id())
-    parts = written(parts, "pack-open")
-    order = Window.partitionBy("part").orderBy(F.desc("size"), "id")
-    counts = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    firsts, at = [], base
-    for part in sorted(counts):
-        firsts.append((part, at))
-        at += -(-counts[part] // each)
-    side = F.broadcast(parts.sparkSession.createDataFrame(firsts, "part int, first long"))
-    rows = parts.join(side, "part").withColumn("place", F.row_number().over(order) - 1)
-    return rows.select("id", "size", (F.col("first") + F.expr(f"place div {each}")).alias("to"))
+    placed = swept.where("is_piece and to <> -1").select("id", "size", "to")
+    rest, free = swept.where("is_piece and to = -1"), swept.where("not is_piece")
+    # one row per range
+    counts = [(r["part"], r["id"], r["size"], r["to"]) for r in swept.where("is_piece is null").collect()]
+    waiting, able = sum(c[1] for c in counts), sum(c[3] for c in counts)
+    dealt = _deal([c[:3] for c in counts])
+    if not dealt:
+        return placed, rest.select("id", "size"), free.select("id", "size").where("size > 0"), waiting, able
+    # an interval of ranks becomes one of slots; at most two rows per range
+    side = spark.createDataFrame(dealt, "_part long, first long, count long, from_part long, slot long")
+    inside = (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    # rows that cannot meet (kind 1 and 2) go by their id, so they are spread over all tasks
+    slot = F.col("slot") + F.col("rank") - F.col("first")
+    rest = rest.join(F.broadcast(side), inside, "left").select(
+        "id", "size", F.coalesce("from_part", F.lit(-1)).alias("part"), F.coalesce(slot, "id").alias("rank"),
+        F.when(slot.isNull(), 1).otherwise(0).alias("kind"),
+    )
+    offered = F.col("rank") >= 0
+    free = free.select(
+        F.col("id").alias("gap"), F.col("size").alias("gap_size"), "part", F.when(offered, F.col("rank")).otherwise(F.col("id")).alias("rank"),
+        F.when(offered, 0).otherwise(2).alias("kind"),
+    )
+    met = written(rest.join(free, ["part", "rank", "kind"], "full").select("id", "size", "gap", "gap_size"), "pack-met")
+    placed = placed.unionByName(met.where("id is not null and gap is not null").select("id", "size", F.col("gap").alias("to")))
+    gap_left = F.col("gap_size") - F.coalesce("size", F.lit(0))
+    gaps = met.where("gap is not null").select(F.col("gap").alias("id"), gap_left.alias("size")).where("size > 0")
+    return placed, met.where("gap is null").select("id", "size"), gaps, waiting - sum(d[2] for d in dealt), able
+
+
+def _open(number: int, capacity: int):
+    """New sequences for the pieces of a range, by best fit among themselves: ``id, size, to`` per piece, and ``id`` NULL with what
+    is left of each sequence. Sequences get numbers of their own below -1."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rows = _columns(batches, 2)
+        if rows is None:
+            return
+        ids, sizes = rows
+        order = np.lexsort([ids, -sizes])
+        to, left = best_fit(sizes[order], np.zeros(0, np.int64), capacity, opens=True)
+        first = (number << 56) + (TaskContext.get().partitionId() << 36)
+        names = ["id", "size", "to"]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(sizes[order]), pa.array(-2 - (first + to))], names=names)
+        opened = -2 - (first + np.arange(len(left)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(left), pa.int64()), pa.array(left), pa.array(opened)], names=names)
+
+    return run
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``id, size, to``: the sequence of each piece of a fixed table ``id`` (unique), ``size`` (1 to ``capacity``)."""
+    """``id, size, to``: the sequence of each piece of a fixed table ``id`` (unique, not negative), ``size`` (1 to ``capacity``)."""
     full = pieces.where(F.col("size") * 2 > capacity)
     # above one half every piece opens a sequence, named after the piece
     out = [full.select("id", "size", F.col("id").alias("to"))]
     gaps = full.where(F.col("size") < capacity).select("id", (F.lit(capacity) - F.col("size")).alias("size"))
-    base = (pieces.agg(F.max("id")).first()[0] or 0) + 1
     bounds = [capacity // p for p in CLASS_PARTS]
-    counted = {
-        r["low"]: r["n"]
-        for r in pieces.where(F.col("size") * 2 <= capacity)
-        .groupBy(F.coalesce(*[F.when(F.col("size") > b, F.lit(b)) for b in bounds], F.lit(0)).alias("low"))
-        .agg(F.count("*").alias("n"))
-        .collect()
-    }
-    for high, low in zip(bounds, [*bounds[1:], 0], strict=True):
+    low_of = F.coalesce(*[F.when(F.col("size") > b, F.lit(b)) for b in bounds[1:]], F.lit(0))
+    counted = pieces.where(F.col("size") * 2 <= capacity).groupBy(low_of.alias("low")).agg(F.count("*").alias("n")).collect()
+    counted = {r["low"]: r["n"] for r in counted}
+    for number, (high, low) in enumerate(zip(bounds, [*bounds[1:], 0], strict=True)):
         waiting = counted.get(low, 0)
         if not waiting:
             continue
         rest = pieces.where((F.col("size") > low) & (F.col("size") <= high))
-        while waiting:
-            able = gaps.where(F.col("size") > low)
-            n_able = able.count()
-            if not n_able:
-                break
-            placed, rest, updated = _superstep(rest, able, waiting + n_able, capacity)
-            gaps = written(updated.unionByName(gaps.where(F.col("size") <= low)), "pack-gaps")
+        able, others = gaps.where(F.col("size") > low), gaps.where(F.col("size") <= low)
+        n_able = able.count()
+        while waiting and n_able:
+            before = waiting
+            placed, rest, able, waiting, n_able = _superstep(rest, able, waiting + n_able, capacity, low)
             out.append(placed)
-            rest = written(rest, "pack-rest")
-            before, waiting = waiting, rest.count()
+            others = others.unionByName(able.where(F.col("size") <= low))
+            able = able.where(F.col("size") > low)
             if waiting == before:
                 break
+        gaps = others.unionByName(able)
         if waiting:
-            # any of this many pieces of the class fit together
-            opened = written(_opened(rest, max(1, capacity // high), base, capacity), "pack-opened")
-            out.append(opened)
-            made = opened.groupBy(F.col("to").alias("id")).agg((F.lit(capacity) - F.sum("size")).alias("size"))
-            gaps = written(gaps.unionByName(made.where("size > 0")), "pack-gaps")
-            base = opened.agg(F.max("to")).first()[0] + 1
+            ranges = max(1, -(-waiting // RANGE_ROWS))
+            opened = rest.select("id", "size").repartitionByRange(ranges, F.desc("size"), "id")
+            opened = written(opened.mapInArrow(_open(number, capacity), "id long, size long, to long"), "pack-open")
+            out.append(opened.where("id is not null"))
+            gaps = gaps.unionByName(opened.where("id is null and size > 0").select(F.col("to").alias("id"), "size"))
+        gaps = written(gaps, "pack-gaps")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)

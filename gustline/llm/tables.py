@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.session import fresh_folder
+from gustline.session import fresh_folder, remove_folder
+
+_PLACE = "_written_place"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -16,7 +18,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PLACE, path)
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of :func:`written` that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, _PLACE, None)
+        if path is not None:
+            remove_folder(table.sparkSession, path)
 
 
 def optional(df: DataFrame, name: str, kind: str) -> Column:

@@ -135,21 +135,25 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(found), np.searchsorted(np.concatenate(places), bounds)
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
+class Shingles:
     """Sorted distinct fingerprints of ``size`` neighbouring words; fewer words are one shingle, none are none."""
-    n = len(words)
-    if n == 0:
-        return words
-    take = min(size, n)
-    weights = numbered(size, 3)
-    total = np.full(n - take + 1, take, _U)
-    for i in range(take):
-        total += words[i : n - take + 1 + i] * weights[i]
-    return np.unique(mix64(total))
-
-
-def shingle_sets(column: pa.Array, size: int):
-    """The shingles of each row of a string column, in order."""
-    hashes, at = word_hashes(*text_bytes(column))
-    for i in range(len(column)):
-        yield shingles(hashes[at[i] : at[i + 1]], size)
+
+    def __init__(self, size: int):
+        self.size, self.weights = size, numbered(size, 3)
+
+    def _hashes(self, words: np.ndarray, take: int) -> np.ndarray:
+        total = words[: len(words) - take + 1] * self.weights[0]
+        for i in range(1, take):
+            total += words[i : len(words) - take + 1 + i] * self.weights[i]
+        return mix64(total + _U(take))
+
+    def sets(self, column: pa.Array):
+        """The shingles of each row of a string column, in order."""
+        words, at = word_hashes(*text_bytes(column))
+        # shingles over the end of a row are computed with the others and left out
+        whole = self._hashes(words, self.size) if len(words) >= self.size else words[:0]
+        for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if high - low >= self.size:
+                yield np.unique(whole[low : high - self.size + 1])
+            else:
+                yield self._hashes(words[low:high], high - low) if high > low else words[:0]
