@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from gustline.plans import QUERIES
@@ -24,7 +25,13 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g"}
+        "bench",
+        f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="gustline-bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
