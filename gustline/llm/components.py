@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating star contraction.
 
 Each round rewires the links towards smaller ids with two grouped minima and two joins; the number of rounds grows with the
-logarithm of the longest path. Links stay in Spark: only a count of changed links per round reaches the driver.
+logarithm of the longest path. Links stay in Spark: only whether a round is the last reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.tables import written
+from gustline.llm.tables import discard, written
 
 
 def _towards_least(links: DataFrame, both: bool) -> DataFrame:
@@ -25,6 +25,20 @@ def _towards_least(links: DataFrame, both: bool) -> DataFrame:
     return joined.where("u <> v").distinct()
 
 
+def _star_pass(links: DataFrame) -> DataFrame:
+    """One round on ``links(u, v)`` with ``u > v``: other links with the same components, closer to their smallest ids."""
+    return _towards_least(_towards_least(links, both=True), both=False)
+
+
+def _finished(links: DataFrame) -> bool:
+    """True if every node is linked to one smaller node, and that to none."""
+    parents = links.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    if not parents.where("n > 1").isEmpty():
+        return False
+    above = links.select(F.col("u").alias("v")).distinct()
+    return links.join(above, "v", "left_semi").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links(u, v)``; ``component`` is the smallest node reachable.
 
@@ -33,14 +47,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = links.where("u is not null and v is not null and u <> v")
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = written(links, "links")
-    mark = None
-    while True:
-        stars = written(_towards_least(_towards_least(links, both=True), both=False), "links")
-        # links of finished components form stars; an unchanged set of links has the same count and sums
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.hash("u", "v"))).first()
-        links = stars
-        if now == mark or not now[0]:
-            break
-        mark = now
+    while not _finished(links):
+        closer = written(_star_pass(links), "links")
+        discard(links)
+        links = closer
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

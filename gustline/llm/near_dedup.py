@@ -5,10 +5,11 @@
    after a circular shift by k for coordinate k.
 2. Documents with the same set are one node: copies cost one row each from here on.
 3. Nodes that share a band key are candidates. A key's nodes are not paired off with each other: in each round a few *pivots*
-   per key (the nodes that share most keys with others) are compared with the rest, links found so far are contracted to
-   components, and only nodes of different components stay in the next round, with eight times as many pivots. Pivots leave
-   their key after they were compared with all of it, so no candidate pair that could join two components is left out and no
-   key's size is capped.
+   per key (the nodes that share most keys with others) are compared with the rest. Each node is then labelled with the most
+   popular node it is linked to, and only keys whose other nodes have different labels stay; their pivots have been compared
+   with all of the key and leave it. A key that still has more than ``LARGE_KEY`` nodes is refined: its nodes meet again under the key joined with each of the next
+   bands' keys, which separates texts that only share a common passage. A pair of similarity 0.75 is lost to refining with
+   probability 1e-4, and rounds go on, with more pivots, until no key is open: no key's size is capped.
 4. A candidate pair is compared on the full shingle sets of both texts.
 """
 
@@ -16,42 +17,68 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.llm.components import connected_components
-from gustline.llm.tables import written
-from gustline.llm.words import mix32, mix64, numbered, shingle_sets
+from gustline.llm.tables import BROADCAST_IDS, discard, without_ids, written
+from gustline.llm.words import Shingles, mix32, mix64, numbered
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
 # A pair of similarity 0.75 misses all of 32 bands of 4 coordinates with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
-# Ids are broadcast up to this many (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+FIRST_PIVOTS, MORE_PIVOTS = 1, 64
+# Nodes above which an open key is refined, and by how many other bands in the first, second, ... refinement.
+LARGE_KEY = 48
+REFINEMENTS = (4, 2, 2)
 # Shingles times coordinates worked on at once.
 BLOCK = 1 << 16
 
+# Low bits of each coordinate that make up a node's sketch, in 64-bit words. Two sketches agree in a coordinate with probability
+# (1 + 3 J) / 4; at similarity 0.75 fewer than SKETCH_SHARE of 128 agree with probability 2e-6, and such pairs are not compared.
+SKETCH_BITS, SKETCH_SHARE = 2, 0.656
+
+# Bits of a node's parity sketch: a shingle flips one of them, so two sketches differ in at most as many bits as there are shingles
+# in one set only. Pairs that differ in more than the similarity allows are not compared; no link is lost by it.
+PARITY_BITS = 512
+
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
-def signature(shingle_set: np.ndarray, coordinates: int) -> np.ndarray:
-    """Circulant MinHash of one non-empty set."""
-    ring = (mix64(shingle_set * _SPREAD) >> np.uint64(32)).astype(np.uint32)
-    shifts = np.arange(coordinates, dtype=np.uint32)[:, None]
-    least = np.full(coordinates, 0xFFFFFFFF, np.uint32)
-    step = max(1, BLOCK // coordinates)
-    for i in range(0, len(ring), step):
-        np.minimum(least, mix32(ring[None, i : i + step] + shifts).min(axis=1), out=least)
-    return least
+class Signer:
+    """Circulant MinHash signatures, band keys and sketches of non-empty sets."""
+
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows = bands, rows
+        self.shifts = np.arange(bands * rows, dtype=np.uint32)[:, None]
+        self.row_weights, self.band_marks = numbered(rows, 4), numbered(bands, 5)
+        self.step = max(1, BLOCK // (bands * rows))
+        per_word = 64 // SKETCH_BITS
+        self.places = (np.arange(bands * rows, dtype=np.uint64) % np.uint64(per_word)) * np.uint64(SKETCH_BITS)
+        self.cuts = np.arange(0, bands * rows, per_word)
+
+    def signature(self, shingle_set: np.ndarray) -> np.ndarray:
+        ring = (mix64(shingle_set * _SPREAD) >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.shifts), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(ring), self.step):
+            np.minimum(least, mix32(ring[None, i : i + self.step] + self.shifts).min(axis=1), out=least)
+        return least
+
+    def band_keys(self, least: np.ndarray) -> np.ndarray:
+        """One 64-bit key per band, different between bands."""
+        totals = (least.reshape(self.bands, self.rows) * self.row_weights).sum(axis=1, dtype=np.uint64)
+        return mix64(totals + self.band_marks).view(np.int64)
+
+    def sketch(self, least: np.ndarray) -> np.ndarray:
+        low = least.astype(np.uint64) & np.uint64((1 << SKETCH_BITS) - 1)
+        return np.bitwise_or.reduceat(low << self.places, self.cuts).view(np.int64)
 
 
-def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band, different between bands."""
-    weights = numbered(rows, 4)
-    totals = (least.reshape(bands, rows).astype(np.uint64) * weights[None, :]).sum(axis=1, dtype=np.uint64)
-    return mix64(totals + numbered(bands, 5)).view(np.int64)
+def parity(shingle_set: np.ndarray) -> np.ndarray:
+    """The parity sketch in 64-bit words."""
+    places = (shingle_set % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def set_fingerprint(shingle_set: np.ndarray) -> tuple[int, int]:
@@ -63,117 +90,188 @@ def set_fingerprint(shingle_set: np.ndarray) -> tuple[int, int]:
 
 def _profile(size: int, bands: int, rows: int):
     def run(batches):
+        signer, shingles = Signer(bands, rows), Shingles(size)
         for batch in batches:
-            n, high, low, keys = [], [], [], []
-            for found in shingle_sets(batch.column(1), size):
+            n, high, low, keys, sketches = [], [], [], [], []
+            for found in shingles.sets(batch.column(1)):
                 n.append(len(found))
+                a = b = own = sketch = None
                 if len(found):
                     a, b = set_fingerprint(found)
-                    keys.append(band_keys(signature(found, bands * rows), bands, rows))
-                else:
-                    a = b = None
-                    keys.append(None)
+                    least = signer.signature(found)
+                    own, sketch = signer.band_keys(least), np.concatenate([signer.sketch(least), parity(found)])
                 high.append(a)
                 low.append(b)
+                keys.append(own)
+                sketches.append(sketch)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "high", "low", "keys"],
+                 pa.array(keys, longs), pa.array(sketches, longs)],
+                names=["id", "n", "high", "low", "keys", "sketch"],
             )
 
     return run
 
 
-def _verify(size: int, percent: int):
+def shared_shingles(left: np.ndarray, right: np.ndarray) -> int:
+    """Size of the intersection of two sorted distinct sets."""
+    both = np.concatenate([left, right])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verify(size: int, percent: int, repeated_ids: bool):
     def run(batches):
-        last, last_set = None, None
+        last, last_set, shingles = None, None, Shingles(size)
         for batch in batches:
             fixed = [batch.column(c).to_pylist() for c in range(6)]
-            lefts, rights = batch.column(6), shingle_sets(batch.column(7), size)
-            us, vs = [], []
-            for i, right in enumerate(rights):
+            lefts, linked = batch.column(6), []
+            for i, right in enumerate(shingles.sets(batch.column(7))):
                 u, v, u_high, u_low, v_high, v_low = (c[i] for c in fixed)
-                if u != last:
-                    last, last_set = u, next(shingle_sets(lefts.slice(i, 1), size))
+                if u != last or repeated_ids:
+                    last, last_set = u, next(shingles.sets(lefts.slice(i, 1)))
                 # an id that occurs with several texts meets all of them; only the fingerprinted ones count
-                if set_fingerprint(last_set) != (u_high, u_low):
-                    last = None
-                    continue
-                if set_fingerprint(right) != (v_high, v_low):
+                if repeated_ids and (
+                    set_fingerprint(last_set) != (u_high, u_low) or set_fingerprint(right) != (v_high, v_low)
+                ):
                     continue
-                shared = len(np.intersect1d(last_set, right, assume_unique=True))
+                shared = shared_shingles(last_set, right)
                 if 100 * shared >= percent * (len(last_set) + len(right) - shared):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    linked.append(i)
+            rows = batch.take(pa.array(linked, pa.int64()))
+            yield rows.select(["u", "v", "u_popular", "v_popular"])
 
     return run
 
 
-def _members(nodes: DataFrame, bands: int) -> DataFrame:
-    """``key, node, n, popular`` for band keys with two nodes or more; ``popular`` counts a node's shared keys' other nodes."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = written(rows.join(shared, "key"), "near-members")
-    popular = rows.groupBy("node").agg(F.sum("size").alias("popular"))
-    return rows.drop("size").join(popular, "node")
+def _shared_keys(nodes: DataFrame) -> DataFrame:
+    """``key, node, band, size`` for band keys with two nodes or more."""
+    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+
+
+def _members(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Shared keys with ``n`` and ``sketch`` of the node and ``popular``, the number of nodes under all its keys."""
+    popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
+    about = nodes.select("node", "n", "sketch").join(popular, "node")
+    return shared.drop("size").join(about, "node")
+
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of keys whose nodes do not all have one label, with the key's number of nodes as ``size``."""
+    keys = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"))
+    return members.join(keys.where("a <> b").select("key", "size"), "key")
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Texts of the nodes that have a candidate."""
+
+def _refined(members: DataFrame, nodes: DataFrame, others: int, bands: int) -> DataFrame:
+    """The same members under keys joined with each of the ``others`` next bands' keys."""
+    rows = members.drop("size").join(nodes.select("node", "keys"), "node")
+    rows = rows.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(1, others + 1)])))
+    rows = rows.withColumn("band", (F.col("band") + F.col("step")) % bands)
+    key = F.xxhash64("key", F.get("keys", F.col("band")), "band")
+    return _open(rows.withColumn("key", key).drop("step", "keys"))
+
+
+def _alike(words: int, coordinates: int, percent: int) -> Column:
+    """False if the sketches of two nodes rule out a link."""
+    # a coordinate that differs leaves a bit in the lower place of its pair
+    lower = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(64 // SKETCH_BITS))).cast("long")
+    differ = [F.get("sketch", F.lit(i)).bitwiseXOR(F.get("u_sketch", F.lit(i))) for i in range(words + PARITY_BITS // 64)]
+    coordinate = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(lower)) for x in differ[:words]), F.lit(0))
+    bits = sum((F.bit_count(x) for x in differ[words:]), F.lit(0))
+    # similarity p means (100 + p) * |A ^ B| <= (100 - p) * (|A| + |B|)
+    return (coordinate <= coordinates - int(SKETCH_SHARE * coordinates)) & (
+        (100 + percent) * bits <= (100 - percent) * (F.col("n") + F.col("u_n"))
+    )
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+    """Texts of the nodes that have a candidate, and whether a node has more than one because its id repeats."""
     wanted = written(members.select("node").distinct().join(nodes, "node").select("node", "id", "high", "low"), "near-ids")
     side = wanted.withColumnRenamed("id", "_id")
-    if wanted.count() <= BROADCAST_ROWS:
+    n = wanted.count()
+    if n <= BROADCAST_IDS:
         side = F.broadcast(side)
     found = docs.join(side, F.col("id").eqNullSafe(F.col("_id"))).select("node", "high", "low", "text")
-    return written(found, "near-texts")
+    found = written(found, "near-texts")
+    return found, found.count() > n
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int, repeated_ids: bool) -> DataFrame:
     left = texts.select(F.col("node").alias("u"), F.col("high").alias("u_high"), F.col("low").alias("u_low"),
                         F.col("text").alias("u_text"))
     right = texts.select(F.col("node").alias("v"), F.col("high").alias("v_high"), F.col("low").alias("v_low"),
                          F.col("text").alias("v_text"))
     both = pairs.join(right, "v").join(left, "u")
-    both = both.select("u", "v", "u_high", "u_low", "v_high", "v_low", "u_text", "v_text")
-    return both.mapInArrow(_verify(size, percent), "u long, v long")
+    both = both.select("u", "v", "u_high", "u_low", "v_high", "v_low", "u_text", "v_text", "u_popular", "v_popular")
+    return both.mapInArrow(_verify(size, percent, repeated_ids), "u long, v long, u_popular long, v_popular long")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """``node, label``: of a node and the nodes it is linked to, the one that is most popular, of equals the smallest.
+
+    Nodes with one label are connected; not all connected ones have one label.
+    """
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("other"), F.col("v_popular").alias("popular"), F.col("u_popular").alias("own")),
+        F.struct(F.col("v").alias("node"), F.col("u").alias("other"), F.col("u_popular").alias("popular"), F.col("v_popular").alias("own")),
+    )
+    ends = links.select(F.inline(ends))
+    # a node is its own candidate
+    ends = ends.select("node", F.inline(F.array(F.struct("popular", F.col("other").alias("label")), F.struct(F.col("own").alias("popular"), F.col("node").alias("label")))))
+    best = ends.groupBy("node").agg(F.max(F.struct("popular", (-F.col("label")).alias("order"), "label")).alias("best"))
+    return best.select("node", F.col("best.label").alias("label"))
 
 
 def near_duplicate_links(
-    docs: DataFrame, nodes: DataFrame, percent: int, size: int = SHINGLE, bands: int = BANDS
+    docs: DataFrame, nodes: DataFrame, percent: int, size: int, bands: int, rows: int
 ) -> DataFrame | None:
     """Links ``u, v`` between nodes that connect every two nodes joined by a chain of candidate pairs of enough similarity."""
-    members = written(_members(nodes, bands), "near-members")
-    if members.isEmpty():
+    shared = written(_shared_keys(nodes), "near-shared")
+    if shared.isEmpty():
         return None
-    texts = _texts_of(docs, nodes, members)
-    links, tried, pivots = None, None, FIRST_PIVOTS
-    members = members.withColumn("component", F.col("node"))
+    texts, repeated_ids = _texts_of(docs, nodes, shared)
+    alike = _alike(-(-bands * rows * SKETCH_BITS // 64), bands * rows, percent)
+    links, pivots, depth = None, FIRST_PIVOTS, 0
+    members, open_members = _members(shared, nodes).withColumn("label", F.col("node")), None
     while True:
         # the most popular nodes of a key are its pivots; all others, and later pivots, are compared with them
         order = Window.partitionBy("key").orderBy(F.desc("popular"), "node")
-        top = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
-        top = written(top.select("key", F.col("node").alias("u"), F.col("component").alias("u_component"),
-                                 F.col("n").alias("u_n"), "place"), "near-pivots")
-        pairs = members.join(top, "key").where(
-            (F.col("component") != F.col("u_component"))
+        ranked = written(members.withColumn("place", F.row_number().over(order)), "near-ranked")
+        discard(open_members, shared)
+        top = ranked.where(F.col("place") <= pivots).select(
+            "key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"),
+            F.col("sketch").alias("u_sketch"), F.col("popular").alias("u_popular"), F.col("place").alias("u_place"),
+        )
+        pairs = ranked.join(top, "key").where(
+            (F.col("u_place") < F.col("place"))
+            & (F.col("label") != F.col("u_label"))
             & (100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
+            & alike
         )
-        pairs = pairs.select(F.greatest("node", "u").alias("v"), F.least("node", "u").alias("u")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        swap = F.col("node") < F.col("u")
+        pairs = pairs.select(
+            F.least("node", "u").alias("u"), F.greatest("node", "u").alias("v"),
+            F.when(swap, F.col("popular")).otherwise(F.col("u_popular")).alias("u_popular"),
+            F.when(swap, F.col("u_popular")).otherwise(F.col("popular")).alias("v_popular"),
+        ).distinct()
         pairs = written(pairs, "near-pairs")
-        found = written(_links(pairs, texts, size, percent), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(_links(pairs, texts, size, percent, repeated_ids), "near-links")
         links = found if links is None else links.unionByName(found)
-        component = connected_components(links)
-        left = members.drop("component").join(top.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti")
-        left = left.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # a key is done when all nodes left in it are in one component
-        open_keys = left.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        members = written(left.join(open_keys.where("a <> b").select("key"), "key"), "near-members")
+        left = ranked.where(F.col("place") > pivots).drop("label", "place").join(_labels(links), "node", "left")
+        open_members = written(_open(left.withColumn("label", F.coalesce("label", "node"))), "near-members")
+        discard(ranked, pairs)
+        members = open_members
         if members.isEmpty():
-            return links
+            discard(texts, open_members)
+            return links.select("u", "v")
+        if depth < len(REFINEMENTS):
+            large = F.col("size") > LARGE_KEY
+            finer = _refined(members.where(large), nodes, REFINEMENTS[depth], bands)
+            members = members.where(~large).unionByName(finer)
+            depth += 1
+        members = members.drop("size")
         pivots *= MORE_PIVOTS
 
 
@@ -196,14 +294,14 @@ def near_duplicates(
     """
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     profile = docs.mapInArrow(
-        _profile(size, bands, rows), "id long, n long, high long, low long, keys array<long>"
+        _profile(size, bands, rows), "id long, n long, high long, low long, keys array<long>, sketch array<long>"
     )
     profile = written(profile.withColumn("row", F.monotonically_increasing_id()), "near-profile")
     filled = profile.where("n > 0")
     sets = filled.groupBy("high", "low", "n").agg(F.min("row").alias("node"))
-    heads = filled.select(F.col("row").alias("node"), "id", "high", "low", "n", "keys")
+    heads = filled.select(F.col("row").alias("node"), "id", "high", "low", "n", "keys", "sketch")
     nodes = written(sets.select("node").join(heads, "node"), "near-nodes")
-    links = near_duplicate_links(docs, nodes, percent, size, bands)
+    links = near_duplicate_links(docs, nodes, percent, size, bands, rows)
 
     rows_of = filled.select("row", "id", "n", "high", "low").join(sets, ["high", "low", "n"])
     if links is None:
@@ -214,10 +312,8 @@ def near_duplicates(
     rows_of = written(rows_of.select("row", "id", "n", "component"), "near-rows")
     # NULL sorts first, so it is written as the least number here
     key = F.coalesce("id", F.lit(-(2**63)))
-    least = rows_of.groupBy("component").agg(F.min(key).alias("least"))
-    rows_of = rows_of.join(least, "component")
-    first = rows_of.where(key == F.col("least")).groupBy("component").agg(F.min("row").alias("first"))
-    rows_of = rows_of.join(first, "component").select(
+    least = rows_of.groupBy("component").agg(F.min(key).alias("least"), F.min_by("row", key).alias("first"))
+    rows_of = rows_of.join(least, "component").select(
         "id", "n", F.nullif("least", F.lit(-(2**63))).alias("component"), (F.col("row") == F.col("first")).alias("kept")
     )
     empty = profile.where("n = 0").select("id", "n", F.col("id").alias("component"), F.lit(True).alias("kept"))
@@ -228,6 +324,8 @@ def near_duplicates(
 
 def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """``df`` with one row of each group of near-duplicates; all columns stay. Rows that repeat an id keep one row of it."""
-    kept = near_duplicates(df, id_column, text_column, **settings).where("kept").select(F.col(id_column).alias("_kept_id"))
-    rows = df.dropDuplicates([id_column])
-    return rows.join(kept.distinct(), F.col(f"`{id_column}`").eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = near_duplicates(df, id_column, text_column, **settings).select(F.col(id_column).alias("id"), "kept")
+    ids = written(found.groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "near-kept")
+    if not ids.where("n > 1").isEmpty():
+        df = df.dropDuplicates([id_column])
+    return without_ids(df, id_column, ids.where("not kept").select("id"))

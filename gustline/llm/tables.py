@@ -1,8 +1,8 @@
-"""Tables between the steps of an operator, and column names that cannot clash with the caller's."""
+"""Tables between the steps of an operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline.session import fresh_folder, remove_folder
@@ -31,12 +31,12 @@ def discard(*tables: DataFrame | None) -> None:
             remove_folder(table.sparkSession, path)
 
 
-def optional(df: DataFrame, name: str, kind: str) -> Column:
-    """Column ``name`` as ``kind``, or a typed NULL if the table has no such column."""
-    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+# Ids are broadcast up to this many (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns that the result defines itself, compared as Spark does, without case."""
-    own = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
+def without_ids(df: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in the one column of ``ids``. While these are few, nothing of ``df`` is shuffled."""
+    ids = written(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(side, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")), "left_anti")
