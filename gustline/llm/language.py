@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.tables import written
+from gustline.llm.tables import without_ids, written
 from gustline.llm.words import STEP, text_bytes
 
 BUCKETS = 1 << 16
@@ -228,5 +228,5 @@ def identify_pages(df: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
 
 def known_documents(df: DataFrame) -> DataFrame:
     """The documents whose language is told, with all columns; the rejected ones go. Rows that repeat an id share its fate if any is kept."""
-    kept = identify_documents(df).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    fate = identify_documents(df).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without_ids(df, "doc_id", fate.where("not kept").select("doc_id"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.tables import written
+from gustline.llm.tables import BROADCAST_IDS, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -223,7 +223,10 @@ def mix_report(
 def mixed_documents(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **settings
 ) -> DataFrame:
-    """The mix itself: ``df``'s columns, one row per time a document is taken. Odd cases as in :func:`mix_report`."""
+    """The mix itself: ``df``'s columns, one row per time a document is taken, shard by shard in shuffled order.
+
+    A partition holds whole shards. Odd cases as in :func:`mix_report`.
+    """
     fixed = written(df.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
     sized = fixed.select(
         F.col("_mix_row").alias("row"), F.col(f"`{id_column}`").alias("id"),
@@ -231,4 +234,8 @@ def mixed_documents(
     )
     _, draws = plan_mix(written(sized, "mix-sizes"), **settings)
     draws = draws.select(F.col("row").alias("_mix_row"), F.col("shard").alias("_mix_shard"), F.col("position").alias("_mix_place"))
-    return fixed.join(draws, "_mix_row").select(*[F.col(f"`{c}`") for c in df.columns])
+    draws = written(draws, "mix-draws")
+    shards = (draws.agg(F.max("_mix_shard")).first()[0] or 0) + 1
+    side = F.broadcast(draws) if draws.count() <= BROADCAST_IDS else draws
+    rows = fixed.join(side, "_mix_row").repartition(shards, "_mix_shard").sortWithinPartitions("_mix_shard", "_mix_place")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
