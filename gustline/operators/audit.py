@@ -113,17 +113,14 @@ def gap_fill(
     days = days.withColumn("_prev", F.lag("_day").over(in_order))
     first = F.first(F.col("_rows")[0]).over(in_order) if constants else F.lit(None)
     days = days.withColumn("_first", first)
-    # days before this one without a row, a year at a time, then a day at a time
-    n_empty = F.coalesce(F.datediff("_day", "_prev") - 1, F.lit(0))
-    years = F.when(n_empty > 0, F.sequence(F.lit(1), n_empty, F.lit(366)))
-    empty = days.select(station, "_first", "_prev", n_empty.alias("_n"), F.explode(years).alias("_year"))
-    step = F.explode(F.sequence(F.col("_year"), F.least(F.col("_n"), F.col("_year") + 365)))
-    empty = empty.select(station, "_first", "_prev", step.alias("_step"))
-    none = F.array().cast(days.schema["_rows"].dataType)
-    empty = empty.select(station, F.date_add("_prev", F.col("_step")).alias("_day"), none.alias("_rows"), "_first")
-    both = days.select(station, "_day", "_rows", "_first").unionByName(empty)
-    hour = F.explode(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1))).alias("_h")
-    both = both.select(station, "_day", "_rows", "_first", hour)
+    # the days before this one without a row, and the day itself as the last step: a year at a time, then a day at a time
+    n_steps = F.greatest(F.coalesce(F.datediff("_day", "_prev"), F.lit(1)), F.lit(1))
+    each = days.withColumn("_n", n_steps).withColumn("_year", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(366))))
+    each = each.withColumn("_step", F.explode(F.sequence(F.col("_year"), F.least(F.col("_n"), F.col("_year") + 365))))
+    each = each.withColumns({
+        "_day": F.date_add("_day", F.col("_step") - F.col("_n")), "_rows": F.when(F.col("_step") == F.col("_n"), F.col("_rows"))
+    })
+    both = each.select(station, "_day", "_rows", "_first", F.explode(F.sequence(F.lit(0), F.lit(HOURS_PER_DAY - 1))).alias("_h"))
     own = F.get(F.filter("_rows", lambda r: r["h"] == F.col("_h")), F.lit(0))
     both = both.select(station, "_first", (F.col("_day").cast("timestamp_ntz") + hours(F.col("_h"))).alias("obs_hour"), own.alias("_own"))
     if as_of is not None:
@@ -149,32 +146,23 @@ def retime_repair(
     The moved row keeps its place and loses its measures. Rows are in the order (ts, row_id), which must be
     unique inside a station. Adds ``is_retimed``.
 
-    One ordered scan looks at the row after. The gap of a day lies before a row of that day, so a row is
-    moved if the row after it closes its day's last gap; days are counted by a window on the same station,
-    of which only rows next to a gap can change.
+    One ordered scan: a row sees the gap before it, a day counts its rows and finds its last gap, and the row
+    before that gap sees it from there. All windows share the station's shuffle.
     """
-    scan = ordered(df, [station], [ts, row_id], rows_per_slice).following("_next", ts, row_id).done()
-    gap = F.floor(F.coalesce(hour_diff(F.col("_next")[ts], F.col(ts)), F.lit(0.0))).cast("int") - 1
-    scan = scan.withColumns({"_gap": gap, "_gap_day": F.to_date(F.col("_next")[ts])})
-    # per station and day: its rows, and the last row of the day that closes a gap
-    closing = F.when(F.col("_gap") >= 1, F.struct(F.col("_next")[ts].alias("t"), F.col("_next")[row_id].alias("i")))
-    entry = F.explode(F.array(
-        F.struct(F.to_date(ts).alias("day"), F.lit(1).alias("n"), F.lit(None).cast(scan.select(closing.alias("c")).schema["c"].dataType).alias("c")),
-        F.struct(F.col("_gap_day").alias("day"), F.lit(0).alias("n"), closing.alias("c")),
-    )).alias("e")
-    days = scan.select(station, entry).where("e.n = 1 or e.c is not null").groupBy(station, F.col("e.day").alias("_day")).agg(
-        F.sum("e.n").alias("_n"), F.max("e.c").alias("_last")
-    )
-    days = days.where((F.col("_n") == HOURS_PER_DAY) & F.col("_last").isNotNull()).withColumnRenamed(station, "_station")
-    # a day without a repair sends nothing, so this side is small against the rows
-    same = scan[station].eqNullSafe(F.col("_station")) & (F.col("_gap_day") == F.col("_day"))
-    is_last = (F.col("_next")[ts] == F.col("_last.t")) & (F.col("_next")[row_id] == F.col("_last.i")) & (F.col("_gap") >= 1)
-    joined = scan.join(days, same & is_last, "left")
-    moved = F.col("_day").isNotNull()
+    scan = ordered(df, [station], [ts, row_id], rows_per_slice).previous("_prev", ts)
+    gap = F.floor(F.coalesce(hour_diff(ts, F.col("_prev")[ts]), F.lit(0.0))).cast("int") - 1
+    scan = scan.mark(_gap=gap, _day=F.to_date(ts))
+    day = Window.partitionBy(station, "_day")
+    here = F.struct(ts, row_id)
+    is_last = F.max(F.when(F.col("_gap") >= 1, here)).over(day) == here
+    closes = (F.count(F.lit(1)).over(day) == HOURS_PER_DAY) & F.coalesce(is_last, F.lit(False))
+    done = scan.mark(_closes=closes).following("_next", "_gap", "_closes").done()
+    moved = F.coalesce(F.col("_next._closes"), F.lit(False))
     return (
-        joined.withColumns({m: F.when(~moved, F.col(m)) for m in measures})
-        .withColumns({ts: F.when(moved, F.col(ts) + hours(F.col("_gap"))).otherwise(F.col(ts)), "is_retimed": moved})
-        .drop("_next", "_gap", "_gap_day", "_station", "_day", "_n", "_last")
+        done.withColumn("is_retimed", moved)
+        .withColumns({m: F.when(~F.col("is_retimed"), F.col(m)) for m in measures})
+        .withColumn(ts, F.when(F.col("is_retimed"), F.col(ts) + hours(F.col("_next._gap"))).otherwise(F.col(ts)))
+        .drop("_prev", "_gap", "_day", "_closes", "_next")
     )
 
 
