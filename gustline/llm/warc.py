@@ -22,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustline.llm.tables import written
+from gustline.llm.words import in_slices
 from gustline.session import fresh_folder
 
 LEAST_REVISIT = 1000
 # Input bytes per member; the size field's high byte stays 0 below 16 MB.
 MEMBER_BYTES = 8 << 20
-# Payload bytes per file; a file is read by one task.
+# Payload bytes per file on average; a file is read by one task.
 FILE_BYTES = 16 << 20
+# Rows of repeated payloads are broadcast up to this many (80 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+# Records and payload bytes handed over at once by the reader.
+BATCH_RECORDS, BATCH_BYTES = 500, 4 << 20
 READ_BYTES = 1 << 14
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
@@ -65,7 +71,7 @@ def record_id(key: int | None, url: str | None) -> str:
 
 def _records(level: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             out = []
             for key, url, payload, target in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 payload = payload or b""
@@ -104,14 +110,16 @@ def write_warc(
     groups = rows.where(long).groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("n")).where("n > 1")
     narrow = rows.where(long).select("id", F.col("digest").alias("_digest"))
     targets = narrow.join(groups, F.col("_digest") == F.col("digest")).select(F.col("id").alias("_id"), "_digest", "target")
-    targets = targets.distinct()
-    rows = rows.join(targets, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    targets = written(targets.distinct(), "warc-targets")
+    # without many repeats the payloads need no shuffle at all
+    side = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
+    rows = rows.join(side, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("id", "url", "payload", F.when(F.col("target") != F.col("id"), F.col("target")).alias("target"))
-    size = df.agg(F.sum(F.length(F.col(f"`{payload_column}`")))).first()[0] or 0
-    # rows are dealt by a hash, so files come out even and no file is longer than a task can hold
-    rows = rows.repartition(max(1, -(-size // FILE_BYTES)), F.xxhash64("id", "url"))
-    written = rows.mapInArrow(_records(level), "member binary")
-    written.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    size = df.agg(F.avg(F.octet_length(F.col(f"`{payload_column}`")))).first()[0] or 0
+    lines = rows.mapInArrow(_records(level), "member binary").select(F.col("member").cast("string").alias("value"))
+    # a file is read by one task, so it is rolled before it gets long
+    writer = lines.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(FILE_BYTES // max(1, size))))
+    writer.text(path)
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
@@ -199,20 +207,28 @@ def salvage(data: bytes):
         yield "gap", gap_from, len(data), reason
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    names = ["path", "start", "end", "headers", "block", "gap"]
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def _read(batches):
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, held = [], 0
             for found in salvage(content.as_py()):
                 if found[0] == "gap":
-                    rows.append((path.as_py(), found[1], found[2], None, None, found[3]))
+                    rows.append((path, found[1], found[2], None, None, found[3]))
                 else:
-                    rows.append((path.as_py(), found[1], found[2], list(found[3].items()), found[4], None))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
-            names = ["path", "start", "end", "headers", "block", "gap"]
-            for i in range(0, max(1, len(rows)), 500):
-                part = list(zip(*rows[i : i + 500], strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=names)
+                    rows.append((path, found[1], found[2], list(found[3].items()), found[4], None))
+                    held += len(found[4])
+                if len(rows) >= BATCH_RECORDS or held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

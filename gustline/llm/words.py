@@ -10,10 +10,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 # Bytes hashed at once: keeps the work arrays of a step within a few MB, whatever the length of a text.
 STEP = 1 << 19
+# Text handed to an operator's code at once.
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -71,6 +74,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def in_slices(batches, column: int, size: int = SLICE_BYTES):
+    """The rows of Arrow batches, at most ``size`` bytes of the text column at a time, one row at least.
+
+    A worker keeps the memory of its largest step, so steps must not grow with the rows of a batch.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _steps(data: np.ndarray) -> list[tuple[int, int]]:
     """Cut at blanks so that no word is cut; a step is longer than STEP only if it has no blank."""
     cuts, at = [0], 0
