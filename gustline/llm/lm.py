@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.tables import written
-from gustline.llm.words import mix64, text_bytes, word_hashes
+from gustline.llm.tables import discard, written
+from gustline.llm.words import in_slices, mix64, text_bytes, word_hashes
 
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 17
 WIDTH = 32
 CLASS_ROWS, SUBCLASS_ROWS = 1 << 14, 1 << 15
 ROUNDS = 3
@@ -186,23 +186,39 @@ class Trainer:
         self._descend(w.subclass_rows(context, own), w.subclass_bias.take(own, axis=0), sub)
 
     def _descend(self, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
-        gradient = np.exp(self.weights._softmax(rows, bias))
+        gradient = self.weights._softmax(rows, bias)
+        np.exp(gradient, out=gradient)
         gradient[np.arange(len(target)), target] -= 1.0
-        flat = rows.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        used = ordered[starts]
-        summed = np.add.reduceat(gradient.take(order % len(target), axis=0), starts, axis=0)
-        uses = np.diff(np.append(starts, len(ordered)))
+        used, uses, summed = summed_by_row(rows.T.ravel(), gradient)
         self.uses[used] += uses
         # one step size per row: rows are short and their outcomes are about equally frequent
-        self.squares[used] += (summed * summed).mean(axis=1)
-        self.weights.rows[used] -= RATE * summed / np.sqrt(self.squares[used])[:, None]
+        squares = self.squares[used] + np.einsum("ij,ij->i", summed, summed) / WIDTH
+        self.squares[used] = squares
+        summed *= (RATE / np.sqrt(squares))[:, None]
+        self.weights.rows[used] -= summed
+
+
+def summed_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``rows``, how often each occurs, and the sum of its gradients; entry i belongs to gradient i modulo its length."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+    ordered = rows[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    uses = np.diff(np.append(starts, len(ordered)))
+    sorted_gradient = gradient.take(order % len(gradient), axis=0)
+    summed = sorted_gradient.take(starts, axis=0)
+    # most rows occur a few times: add their second, third, ... entries all at once, and the few frequent rows one by one
+    open_, at = np.flatnonzero(uses > 1), 1
+    while len(open_) > 64:
+        summed[open_] += sorted_gradient.take(starts[open_] + at, axis=0)
+        at += 1
+        open_ = open_[uses[open_] > at]
+    for i in open_:
+        summed[i] += sorted_gradient[starts[i] + at : starts[i] + uses[i]].sum(axis=0)
+    return ordered[starts], uses, summed
 
 
 def _count_tokens(batches):
-    for batch in batches:
+    for batch in in_slices(batches, 0):
         tokens, _ = document_tokens(batch.column(0))
         words, counts = np.unique(tokens, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "n"])
@@ -217,29 +233,40 @@ def _slices(tokens: np.ndarray, bounds: np.ndarray):
 def _train(vocabulary: Vocabulary, weights: Weights):
     def run(batches):
         trainer = Trainer(weights)
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             tokens, bounds = document_tokens(batch.column(0))
             leaf, context = vocabulary.leaves(vocabulary.find(tokens)), features(tokens, bounds)
             for low, high in _slices(tokens, bounds):
                 trainer.step(context[low:high], leaf[low:high])
         if not trainer.uses.any():
             return
-        change = ((weights.rows - trainer.start) * trainer.uses[:, None]).astype(np.float32)
+        change = (weights.rows - trainer.start).astype(np.float16)
         blocks = range(0, len(change), BLOCK_ROWS)
         yield pa.RecordBatch.from_arrays(
             [pa.array([b // BLOCK_ROWS for b in blocks], pa.int32()),
              pa.array([change[b : b + BLOCK_ROWS].tobytes() for b in blocks], pa.binary()),
-             pa.array([trainer.uses[b : b + BLOCK_ROWS].tobytes() for b in blocks], pa.binary())],
+             pa.array([trainer.uses[b : b + BLOCK_ROWS].astype(np.float32).tobytes() for b in blocks], pa.binary())],
             names=["block", "change", "uses"],
         )
 
     return run
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    change = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows["change"]).astype(np.float32)
-    uses = sum(np.frombuffer(x, np.int64) for x in rows["uses"])
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "change": [change.tobytes()], "uses": [uses.tobytes()]})
+def _mean_change(changes, uses) -> tuple[np.ndarray, np.ndarray]:
+    """Mean change of each row, weighted by its uses, and their sum."""
+    total, weight = np.zeros((BLOCK_ROWS, WIDTH)), np.zeros(BLOCK_ROWS)
+    for c, u in zip(changes, uses, strict=True):
+        times = np.frombuffer(u, np.float32).astype(np.float64)
+        total += np.frombuffer(c, np.float16).reshape(-1, WIDTH) * times[:, None]
+        weight += times
+    return total / np.maximum(weight, 1)[:, None], weight
+
+
+def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    change, uses = _mean_change(rows["change"], rows["uses"])
+    return pd.DataFrame(
+        {"block": [key[0]], "change": [change.astype(np.float16).tobytes()], "uses": [uses.astype(np.float32).tobytes()], "task": [key[1]]}
+    )
 
 
 def _round(training: DataFrame, vocabulary: Vocabulary, weights: Weights) -> Weights:
@@ -249,17 +276,15 @@ def _round(training: DataFrame, vocabulary: Vocabulary, weights: Weights) -> Wei
     found = written(found.withColumn("task", F.spark_partition_id()), "lm-changes")
     tasks = (found.agg(F.max("task")).first()[0] or 0) + 1
     while tasks > 1:
-        found = found.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy("block", "task")
-        found = found.applyInPandas(lambda key, rows: _add(rows).assign(task=key[1]), schema + ", task int")
-        tasks = -(-tasks // FAN_IN)
-        if tasks > 1:
-            found = written(found, "lm-changes")
+        grouped = found.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy("block", "task")
+        fewer = written(grouped.applyInPandas(_add, schema + ", task int"), "lm-changes")
+        discard(found)
+        found, tasks = fewer, -(-tasks // FAN_IN)
     rows = weights.rows.copy()
     for part in found.collect():  # as large as the weights, whatever the number of tasks
         at = part["block"] * BLOCK_ROWS
-        change = np.frombuffer(part["change"], np.float32).reshape(-1, WIDTH)
-        uses = np.frombuffer(part["uses"], np.int64)
-        rows[at : at + len(change)] += change / np.maximum(uses, 1)[:, None]
+        rows[at : at + BLOCK_ROWS] += np.frombuffer(part["change"], np.float16).reshape(-1, WIDTH).astype(np.float32)
+    discard(found)
     fresh = object.__new__(Weights)
     fresh.class_bias, fresh.subclass_bias, fresh.rows = weights.class_bias, weights.subclass_bias, rows
     return fresh
@@ -269,7 +294,7 @@ def _score(vocabulary: Vocabulary, weights: Weights):
     tail_share = -math.log(vocabulary.leaf_mass[-1])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             tokens, bounds = document_tokens(batch.column(1))
             rows = len(bounds) - 1
             found, context = vocabulary.find(tokens), features(tokens, bounds)
@@ -281,7 +306,7 @@ def _score(vocabulary: Vocabulary, weights: Weights):
             base[known] = vocabulary.log_mass.take(found[known])
             model[known] += vocabulary.log_share.take(found[known])
             model[~known] += tail_share
-            per_row = lambda x: np.add.reduceat(x, bounds[:-1]) if rows else np.zeros(0)
+            per_row = lambda x: np.add.reduceat(x, bounds[:-1])
             rare_rows = np.searchsorted(bounds, np.flatnonzero(~known), "right") - 1
             rare = tokens[~known].view(np.int64)
             words, counts = [], []
@@ -311,7 +336,16 @@ def fit(training: DataFrame) -> tuple[Vocabulary, Weights, DataFrame]:
     counts = training.select("text").mapInArrow(_count_tokens, "token long, n long")
     counts = written(counts.groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("n"), "token").limit(HEAD_WORDS).toPandas()
+    # the words above the count at which they would be more than HEAD_WORDS; found from how many words have each count
+    histogram = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
+    above = histogram.limit(HEAD_WORDS).collect()  # each entry is a word at least
+    words, least = 0, 0
+    for r in above:
+        words += r["words"]
+        least = r["n"]
+        if words > HEAD_WORDS:
+            break
+    head = counts.where((F.col("n") > least) if words > HEAD_WORDS else F.lit(bool(above))).toPandas()
     vocabulary = Vocabulary(
         head["token"].to_numpy().astype(np.int64).view(_U), head["n"].to_numpy().astype(np.float64), size["n"] or 0, size["v"]
     )
