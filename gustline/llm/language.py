@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.tables import without_ids, written
-from gustline.llm.words import STEP, text_bytes
+from gustline.llm.tables import BROADCAST_IDS, without_ids, written
+from gustline.llm.words import STEP, in_slices, text_bytes
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1000
@@ -65,7 +65,7 @@ def _sums(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in in_slices(batches, 1):
         languages = np.array(batch.column(0).to_pylist(), object)
         for language in set(languages):
             data, bounds = text_bytes(batch.column(1).filter(pa.array(languages == language)))
@@ -92,7 +92,9 @@ def fit_languages(labelled: DataFrame, id_column: str, text_column: str, label_c
     order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "language").withColumn("place", F.row_number().over(order))
     chosen = chosen.where(F.col("place") <= SAMPLE_PER_LANGUAGE).select(F.col("id").alias("_id"), F.col("language").alias("_language"))
-    sample = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("language") == F.col("_language")))
+    chosen = written(chosen, "language-sample")
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    sample = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("language") == F.col("_language")))
     counts = sample.select("language", "text").mapInArrow(_count, "language string, bucket long, n long")
     found = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["language"].unique())
@@ -103,7 +105,7 @@ def fit_languages(labelled: DataFrame, id_column: str, text_column: str, label_c
 
 def _likelihood(table: np.ndarray, columns: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, columns):
             data, bounds = text_bytes(batch.column(columns))
             total, number = _sums(data, bounds, table)
             flat = pa.array((total * EVIDENCE_PER_TRIGRAM).ravel())
