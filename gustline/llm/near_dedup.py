@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gustline.llm.components import connected_components
 from gustline.llm.tables import BROADCAST_IDS, discard, without_ids, written
-from gustline.llm.words import Shingles, mix32, mix64, numbered
+from gustline.llm.words import Shingles, in_slices, mix32, mix64, numbered
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
@@ -91,7 +91,7 @@ def set_fingerprint(shingle_set: np.ndarray) -> tuple[int, int]:
 def _profile(size: int, bands: int, rows: int):
     def run(batches):
         signer, shingles = Signer(bands, rows), Shingles(size)
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             n, high, low, keys, sketches = [], [], [], [], []
             for found in shingles.sets(batch.column(1)):
                 n.append(len(found))
@@ -124,7 +124,7 @@ def shared_shingles(left: np.ndarray, right: np.ndarray) -> int:
 def _verify(size: int, percent: int, repeated_ids: bool):
     def run(batches):
         last, last_set, shingles = None, None, Shingles(size)
-        for batch in batches:
+        for batch in in_slices(batches, 7):
             fixed = [batch.column(c).to_pylist() for c in range(6)]
             lefts, linked = batch.column(6), []
             for i, right in enumerate(shingles.sets(batch.column(7))):

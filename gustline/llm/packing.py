@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.llm.tables import written
+from gustline.llm.words import in_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -98,10 +99,10 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def _tokenise(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             out: dict[str, list] = {k: [] for k in ("doc", "piece", "start", "length", "crc", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.append(np.asarray(encode(text or ""), "<u4"), np.uint32(end_id))
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     out["doc"].append(doc)

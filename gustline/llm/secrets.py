@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline.llm.tables import written
+from gustline.llm.words import in_slices
 
 # The base patterns, and what follows a match to count.
 ASSIGN = re.compile(
@@ -75,7 +76,7 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
 
 def _scan(batches):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in in_slices(batches, 2):
         base, weak, digest = [], [], []
         for text in batch.column(2).to_pylist():
             text = text or ""
@@ -166,7 +167,7 @@ def secret_report(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def _masked(names: list[str], text_at: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, text_at):
             texts = []
             for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if spans:
