@@ -7,9 +7,9 @@
 3. Nodes that share a band key are candidates. A key's nodes are not paired off with each other: in each round a few *pivots*
    per key (the nodes that share most keys with others) are compared with the rest. Each node is then labelled with the most
    popular node it is linked to, and only keys whose other nodes have different labels stay; their pivots have been compared
-   with all of the key and leave it. A key that still has more than ``LARGE_KEY`` nodes is refined: its nodes meet again under the key joined with each of the next
-   bands' keys, which separates texts that only share a common passage. A pair of similarity 0.75 is lost to refining with
-   probability 1e-4, and rounds go on, with more pivots, until no key is open: no key's size is capped.
+   with all of the key and leave it. The nodes of keys that still have more than ``LARGE_KEY`` nodes after the first round, mostly
+   texts that share a common passage, meet again under their rarest shingles instead (see ``_by_rare_shingles``), where every
+   pair of enough similarity meets. Rounds go on, with more pivots, until no key is open: no key's size is capped.
 4. A candidate pair is compared on the full shingle sets of both texts.
 """
 
@@ -29,9 +29,8 @@ SIMILARITY_PERCENT = 75
 # A pair of similarity 0.75 misses all of 32 bands of 4 coordinates with probability (1 - 0.75**4)**32 = 5e-6.
 BANDS, ROWS = 32, 4
 FIRST_PIVOTS, MORE_PIVOTS = 1, 64
-# Nodes above which an open key is refined, and by how many other bands in the first, second, ... refinement.
+# Nodes above which a key that is open after the first round is replaced by the rarest shingles of its nodes.
 LARGE_KEY = 48
-REFINEMENTS = (4, 2, 2)
 # Shingles times coordinates worked on at once.
 BLOCK = 1 << 16
 
@@ -145,44 +144,82 @@ def _verify(size: int, percent: int, repeated_ids: bool):
     return run
 
 
+def _shingle_rows(size: int):
+    def run(batches):
+        shingles = Shingles(size)
+        for batch in in_slices(batches, 3):
+            node, high, low = (batch.column(c).to_pylist() for c in range(3))
+            for i, found in enumerate(shingles.sets(batch.column(3))):
+                # an id that occurs with several texts gives all of them; only the fingerprinted one counts
+                if set_fingerprint(found) == (high[i], low[i]):
+                    own = pa.array(np.full(len(found), node[i], np.int64))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(found.view(np.int64))], names=["node", "key"])
+
+    return run
+
+
 def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node, band, size`` for band keys with two nodes or more."""
-    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    """``key, node, size`` for band keys with two nodes or more."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
 def _members(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shared keys with ``n`` and ``sketch`` of the node and ``popular``, the number of nodes under all its keys."""
+    """Shared keys with ``n`` and ``sketch`` of the node and ``popular``, the number of nodes under all its keys.
+
+    ``room`` is how many shingles a node can share with another one that it first meets under the key.
+    """
     popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
-    about = nodes.select("node", "n", "sketch").join(popular, "node")
+    about = nodes.select("node", "n", "sketch", F.col("n").alias("room")).join(popular, "node")
     return shared.drop("size").join(about, "node")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of keys whose nodes do not all have one label, with the key's number of nodes as ``size``."""
-    keys = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"))
-    return members.join(keys.where("a <> b").select("key", "size"), "key")
+def _may_lead(percent: int) -> Column:
+    """Whether a node has room for a link with one that has as many shingles or more."""
+    return (100 + percent) * F.col("room") >= 2 * percent * F.col("n")
 
 
-def _refined(members: DataFrame, nodes: DataFrame, others: int, bands: int) -> DataFrame:
-    """The same members under keys joined with each of the ``others`` next bands' keys."""
-    rows = members.drop("size").join(nodes.select("node", "keys"), "node")
-    rows = rows.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(1, others + 1)])))
-    rows = rows.withColumn("band", (F.col("band") + F.col("step")) % bands)
-    key = F.xxhash64("key", F.get("keys", F.col("band")), "band")
-    return _open(rows.withColumn("key", key).drop("step", "keys"))
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members of keys whose nodes do not all have one label, with the key's number of nodes as ``size``.
+
+    A link has its smaller node among those that may lead, so keys without any of them have no link.
+    """
+    keys = members.groupBy("key").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), F.bool_or(_may_lead(percent)).alias("led")
+    )
+    return members.join(keys.where("a <> b AND led").select("key", "size"), "key")
+
+
+def _by_rare_shingles(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members of ``crowd`` (one row per node) under their rarest shingles; every link between two of its nodes is under one.
+
+    Shingles have one order for all: by the number of nodes that hold them, then by value. If ``room`` shingles of a set are left
+    from a place on, two sets whose first shared shingle is there share at most the lesser of their rooms. A link needs
+    ``(100 + p) * shared >= p * (a + b)``, so a shingle with less room than ``p`` % of its set is never the first shared one.
+    """
+    own = texts.join(crowd.select("node"), "node", "left_semi").select("node", "high", "low", "text")
+    rows = own.mapInArrow(_shingle_rows(size), "node long, key long")
+    holders = F.count("*").over(Window.partitionBy("key"))
+    # a shingle of one node only comes before all shared ones
+    rows = rows.withColumn("holders", holders).where("holders > 1")
+    places = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("key"))
+    rows = rows.withColumn("room", F.row_number().over(places).cast("long")).drop("holders")
+    return rows.join(crowd, "node").where(100 * F.col("room") >= percent * F.col("n"))
 
 
 def _alike(words: int, coordinates: int, percent: int) -> Column:
-    """False if the sketches of two nodes rule out a link."""
+    """False if the sketches of two nodes, or their rooms under the key, rule out a link."""
     # a coordinate that differs leaves a bit in the lower place of its pair
     lower = F.lit(sum(1 << (SKETCH_BITS * i) for i in range(64 // SKETCH_BITS))).cast("long")
     differ = [F.get("sketch", F.lit(i)).bitwiseXOR(F.get("u_sketch", F.lit(i))) for i in range(words + PARITY_BITS // 64)]
     coordinate = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(lower)) for x in differ[:words]), F.lit(0))
     bits = sum((F.bit_count(x) for x in differ[words:]), F.lit(0))
     # similarity p means (100 + p) * |A ^ B| <= (100 - p) * (|A| + |B|)
-    return (coordinate <= coordinates - int(SKETCH_SHARE * coordinates)) & (
-        (100 + percent) * bits <= (100 - percent) * (F.col("n") + F.col("u_n"))
+    total = F.col("n") + F.col("u_n")
+    return (
+        ((100 + percent) * F.least("room", "u_room") >= percent * total)
+        & ((100 + percent) * bits <= (100 - percent) * total)
+        & (coordinate <= coordinates - int(SKETCH_SHARE * coordinates))
     )
 
 
@@ -233,21 +270,21 @@ def near_duplicate_links(
         return None
     texts, repeated_ids = _texts_of(docs, nodes, shared)
     alike = _alike(-(-bands * rows * SKETCH_BITS // 64), bands * rows, percent)
-    links, pivots, depth = None, FIRST_PIVOTS, 0
+    links, pivots, crowd = None, FIRST_PIVOTS, None
     members, open_members = _members(shared, nodes).withColumn("label", F.col("node")), None
     while True:
-        # the most popular nodes of a key are its pivots; all others, and later pivots, are compared with them
-        order = Window.partitionBy("key").orderBy(F.desc("popular"), "node")
+        # the most popular nodes of a key that may lead are its pivots; all others, and later pivots, are compared with them
+        order = Window.partitionBy("key").orderBy(F.desc(_may_lead(percent)), F.desc("popular"), "node")
         ranked = written(members.withColumn("place", F.row_number().over(order)), "near-ranked")
-        discard(open_members, shared)
-        top = ranked.where(F.col("place") <= pivots).select(
+        discard(open_members, shared, crowd)
+        top = ranked.where((F.col("place") <= pivots) & _may_lead(percent)).select(
             "key", F.col("node").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"),
             F.col("sketch").alias("u_sketch"), F.col("popular").alias("u_popular"), F.col("place").alias("u_place"),
+            F.col("room").alias("u_room"),
         )
         pairs = ranked.join(top, "key").where(
             (F.col("u_place") < F.col("place"))
             & (F.col("label") != F.col("u_label"))
-            & (100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
             & alike
         )
         swap = F.col("node") < F.col("u")
@@ -260,17 +297,20 @@ def near_duplicate_links(
         found = written(_links(pairs, texts, size, percent, repeated_ids), "near-links")
         links = found if links is None else links.unionByName(found)
         left = ranked.where(F.col("place") > pivots).drop("label", "place").join(_labels(links), "node", "left")
-        open_members = written(_open(left.withColumn("label", F.coalesce("label", "node"))), "near-members")
+        open_members = written(_open(left.withColumn("label", F.coalesce("label", "node")), percent), "near-members")
         discard(ranked, pairs)
         members = open_members
         if members.isEmpty():
             discard(texts, open_members)
             return links.select("u", "v")
-        if depth < len(REFINEMENTS):
+        if crowd is None:
             large = F.col("size") > LARGE_KEY
-            finer = _refined(members.where(large), nodes, REFINEMENTS[depth], bands)
-            members = members.where(~large).unionByName(finer)
-            depth += 1
+            crowd = members.where(large).drop("key", "room", "size").dropDuplicates(["node"])
+            crowd = written(crowd, "near-crowd")
+            members = members.where(~large)
+            if not crowd.isEmpty():
+                rare = _open(_by_rare_shingles(crowd, texts, size, percent), percent)
+                members = members.unionByName(rare)
         members = members.drop("size")
         pivots *= MORE_PIVOTS
 
