@@ -3,7 +3,8 @@
 1. Word counts per source give exact word targets: weights share the mix, a source stops at ``max_repeats`` times its size and
    the excess goes to the others by weight.
 2. Each source's documents are put in the order of a keyed hash. A source gives whole passes over its documents and, for the
-   rest of its target, the documents at the head of that order; a few more documents fill the gap that is left.
+   rest of its target, the documents at the head of that order; documents behind the first one that does not fit fill the gap
+   that is left, as many as it takes.
 3. The order is cut into blocks. The block quotas of all sources are the root of a binary tree over the output shards: each
    node deals its left half a number of blocks by one multivariate-hypergeometric draw, the right half gets the others. A
    leaf walks down from the root by itself, since the draw of a node depends on the seed and the node only; so shards get
@@ -31,7 +32,6 @@ SHARE, MAX_REPEATS = 1.5, 2.0
 BLOCK_DOCUMENTS = 64
 BLOCKS_PER_SHARD = 256
 BUCKET_DOCUMENTS = 5_000
-FILL_ROUNDS = 4
 # Sources are a dimension: their totals are held on the driver, up to this many.
 MAX_SOURCES = 1_000_000
 # A prime above any number of blocks of a source that fits the tree (10**9), so multiplying by it permutes the blocks.
@@ -111,30 +111,59 @@ def _ranked(rows: DataFrame, documents: int) -> DataFrame:
     )
 
 
-def _fill(rows: DataFrame, gaps: dict[int, float]) -> list[tuple[int, int]]:
-    """Rows outside the head that bring each source closest to its target: in each round the one whose size is nearest to what
-    is left. At most ``FILL_ROUNDS`` rows per source are held here."""
+def _fill(rows: DataFrame, gaps: dict[int, float], documents: int) -> DataFrame:
+    """Rows outside the head that bring each source close to its target: ``s, row, h, size``.
+
+    In each round a source takes the largest document that fits if that fills half of its gap, else the documents at the head of
+    the hash order of all that fit. Both leave less than half of the gap or nothing that fits, so rounds end by themselves. Last,
+    if one document too many at some round comes closer than all rounds, the source stops there with it.
+    """
     spark = rows.sparkSession
-    picked: list[tuple[int, int]] = []
-    for _ in range(FILL_ROUNDS):
-        wide = [(s, g) for s, g in gaps.items() if g > 0.5]
-        if not wide:
-            break
-        fits = rows.join(F.broadcast(spark.createDataFrame(wide, "s long, gap double")), "s")
-        fits = fits.withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-        if picked:
-            fits = fits.join(F.broadcast(spark.createDataFrame(picked, "s long, row long")), ["s", "row"], "left_anti")
-        nearest = F.broadcast(fits.groupBy("s").agg(F.min("off").alias("off")))
-        # of equally near ones the larger, of equal ones the first in hash order
-        best = fits.join(nearest, ["s", "off"]).groupBy("s", "size").agg(F.min_by("row", "h").alias("row"))
-        best = best.groupBy("s").agg(F.max("size").alias("size"), F.max_by("row", "size").alias("row"))
-        found = best.collect()
-        if not found:
+    rows = rows.where("size > 0").select("s", "row", "h", "size")
+    left, picked, number = rows, None, 0
+    gaps = {s: g for s, g in gaps.items() if g > 0.5}
+    # per source the least excess of one document too many: excess, round, size of the document
+    over: dict[int, tuple[float, int, int]] = {}
+    misses: dict[int, float] = {}
+    while gaps:
+        side = F.broadcast(spark.createDataFrame(list(gaps.items()), "s long, gap double"))
+        fits = F.col("size") <= F.col("gap")
+        near = left.join(side, "s").groupBy("s").agg(
+            F.max(F.when(fits, F.col("size"))).alias("largest"), F.min(F.when(~fits, F.col("size"))).alias("next")
+        )
+        near = {r["s"]: r for r in near.collect()}
+        limits = []
+        for s, gap in gaps.items():
+            largest, following = (near[s]["largest"], near[s]["next"]) if s in near else (None, None)
+            if following is not None and following - gap < over.get(s, (gap,))[0]:
+                over[s] = (following - gap, number, following)
+            if largest is not None:
+                single = 2 * largest >= gap
+                limits.append((s, largest if single else 1, float(largest if single else gap)))
+        misses |= gaps
+        if not limits:
             break
-        for r in found:
-            gaps[r["s"]] -= r["size"]
-            picked.append((r["s"], r["row"]))
-    return picked
+        # of equally large ones the first in hash order
+        side = F.broadcast(spark.createDataFrame(limits, "s long, least long, most double"))
+        some = left.join(side, "s").where("size BETWEEN least AND most").drop("least")
+        some = _ranked(some, documents).where("cum <= most").select("s", "row", "h", "size", F.lit(number).alias("round"))
+        some = written(some, "mix-fill")
+        words = {r["s"]: r["words"] for r in some.groupBy("s").agg(F.sum("size").alias("words")).collect()}
+        misses |= {s: gaps[s] - w for s, w in words.items()}
+        gaps = {s: misses[s] for s in words if misses[s] > 0.5}
+        picked = some if picked is None else picked.unionByName(some)
+        left = written(left.join(some.select("row"), "row", "left_anti"), "mix-left")
+        number += 1
+    over = {s: o for s, o in over.items() if o[0] < misses[s]}
+    if picked is None:
+        picked = rows.where("false").withColumn("round", F.lit(0))
+    if over:
+        stops = spark.createDataFrame([(s, n, size) for s, (_, n, size) in over.items()], "s long, stop int, last long")
+        picked = picked.join(F.broadcast(stops), "s", "left").where("stop IS NULL OR round < stop").drop("stop", "last")
+        last = rows.join(F.broadcast(stops), "s").where("size = last").join(picked.select("row"), "row", "left_anti")
+        last = last.groupBy("s").agg(F.min(F.struct("h", "row", "size")).alias("first")).select("s", "first.*")
+        picked = picked.drop("round").unionByName(last.select("s", "row", "h", "size"))
+    return picked.select("s", "row", "h", "size")
 
 
 def plan_mix(
@@ -172,20 +201,24 @@ def plan_mix(
     heads = rows.where(head).groupBy("s").agg(F.count("*").alias("n"), F.max("cum").alias("words")).collect()
     head_n = {r["s"]: r["n"] for r in heads}
     gaps = {i: rests[i] for i in range(len(found))} | {r["s"]: rests[r["s"]] - r["words"] for r in heads}
-    picked = _fill(rows.where(~head), gaps)
-    fillers: dict[int, int] = {}
-    for s, _ in picked:
-        fillers[s] = fillers.get(s, 0) + 1
-    extra = F.broadcast(spark.createDataFrame(picked, "_s long, row long").select("row", F.lit(True).alias("filler")))
-    rest_blocks = [max(-(-head_n.get(i, 0) // BLOCK_DOCUMENTS), min(1, fillers.get(i, 0))) for i in range(len(found))]
+    documents = sum(r["n"] for r in found)
+    # fillers follow the head: places in the order from the head's end
+    extra = _ranked(_fill(rows.where(~head), gaps, documents), documents)
+    heads = spark.createDataFrame([(i, head_n.get(i, 0)) for i in range(len(found))], "s long, head_n long")
+    extra = extra.join(F.broadcast(heads), "s").select("row", (F.col("idx") + F.col("head_n")).alias("filler"), F.col("s").alias("_s"))
+    extra = written(extra, "mix-fillers")
+    fillers = {r["_s"]: r["count"] for r in extra.groupBy("_s").count().collect()}
+    extra = extra.drop("_s")
+    if sum(fillers.values()) <= BROADCAST_IDS:
+        extra = F.broadcast(extra)
+    rest_blocks = [-(-(head_n.get(i, 0) + fillers.get(i, 0)) // BLOCK_DOCUMENTS) for i in range(len(found))]
     quotas = [passes[i] * numbered[i][7] + rest_blocks[i] for i in range(len(found))]
 
     drawn = rows.join(extra, "row", "left")
-    taken = F.col("passes") + (head | F.coalesce("filler", F.lit(False))).cast("int")
+    taken = F.col("passes") + (head | F.col("filler").isNotNull()).cast("int")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), taken))).where(taken > 0)
-    last = F.greatest(F.lit(0), F.get(F.array(*[F.lit(b) for b in rest_blocks] or [F.lit(0)]), F.col("s").cast("int")) - 1)
-    block = F.expr(f"idx div {BLOCK_DOCUMENTS}")
-    block = F.when((F.col("copy") > F.col("passes")) & ~head, last).otherwise(block) + (F.col("copy") - 1) * F.col("pass_blocks")
+    place = F.when(F.col("copy") > F.col("passes"), F.coalesce("filler", "idx")).otherwise(F.col("idx"))
+    block = F.floor(place / BLOCK_DOCUMENTS) + (F.col("copy") - 1) * F.col("pass_blocks")
     quota = F.get(F.array(*[F.lit(q) for q in quotas] or [F.lit(1)]), F.col("s").cast("int"))
     drawn = drawn.withColumn("block", (block * _STRIDE + seed) % quota)
 

@@ -114,6 +114,20 @@ def test_mix_of_nothing(spark):
     assert {(r.doc_id, r.target, r.taken) for r in mixing.mix_report(blank).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
 
 
+def test_a_document_with_half_of_the_words_does_not_end_the_fill(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS_PER_SHARD", 1)
+    monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 8)
+    rows = [(i, "w " * (90 + i % 21), "long") for i in range(300)] + [(300, "w " * 30_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sized = df.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("id"), "source", mixing.word_count(F.col("text")).alias("size")).cache()
+    for seed in range(6):
+        planned, draws = mixing.plan_mix(sized, share=1.3, seed=seed)
+        target, found = planned.first()["target"], draws.collect()
+        assert abs(sum(r["size"] for r in found) - target) <= 45, seed  # half of the smallest document
+        # what fills the gap is dealt like the rest
+        assert max(collections.Counter(r.shard for r in found).values()) <= 8
+
+
 def sentences(n=400, seed=1):
     """Texts in which a word tells much about the next one."""
     rng = random.Random(seed)
