@@ -65,6 +65,30 @@ RULES = (
     ("ISC", ("isc_grant",)),
     ("Unlicense", ("public_domain",)),
 )
+# Wordings of the notices themselves as they read between sentence ends, for ``wrapped`` texts, and the rules that only these fulfil.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license": "apache2_reference",
+    "mit license": "mit_title",
+    "the mit license": "mit_title",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+    "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to "
+    "do so subject to the following conditions": "mit_grant",
+    "gnu general public license version 3 29 june 2007": "gpl3_title",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+    "foundation either version 3 of the license or at your option any later version": "gpl_share",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl_warranty",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "in this position and unchanged": "bsd_source",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2_reference",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided "
+    "that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc_by_sa4_reference",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc_by_nc4_reference",
+}
+WORDING_RULES = (("MIT", ("mit_grant", "mit_notice")),)
+# The part of a sentence that differs between notices, in normalised words, and what stands for it in SENTENCES.
+VARYING = (r"neither the name of [a-z0-9 ]{1,200}? nor the names of its contributors ", "neither the name of the copyright holder nor the names of its contributors ")
 # A sentence ends at a line end, or at . ! ? ; : before a blank. Lines of one sentence may be joined first, see ``joined``.
 SENTENCE_END = r"[.!?;:]+[ \t\f\r]+|[.!?;:]*\s*\n\s*"
 # A sentence without one of these words is in no rule; checked before the costly normalising.
@@ -81,19 +105,43 @@ def rule_pattern(identifiers: tuple[str, ...]) -> str:
     return " " + r" (?:.* )?".join(identifiers) + " "
 
 
-def rule_patterns() -> dict[str, str]:
+def rule_patterns(more: tuple = ()) -> dict[str, str]:
     """One regex per licence, in the order of its first rule."""
     patterns: dict[str, list[str]] = {}
-    for name, ids in RULES:
+    for name, ids in RULES + more:
         patterns.setdefault(name, []).append(rule_pattern(ids))
     return {name: "|".join(found) for name, found in patterns.items()}
 
 
-def find_licenses(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", joined: bool = False) -> DataFrame:
+def _wrapped_sentences(text: Column) -> Column:
+    """Identifiers of known sentences that fill one or more whole lines, in text order.
+
+    Lines are normalised one by one. A single line end is a blank; . ! ? ; : before a blank or line end, and a line without a
+    letter or digit (as between the paragraphs of a comment), end a sentence and are two line ends here.
+    """
+    known = {words: name for name, words in SENTENCES.items()} | WORDINGS
+    lines = F.regexp_replace(F.lower(text), r"[.!?;:]+(?:[ \t\f\r]+|\s*\n)", "\n\n")
+    lines = F.regexp_replace(lines, r"\n(?:[^a-z0-9\n]*\n)+", "\n\n")
+    lines = F.trim(F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n"))
+    # the longest first, and any line end inside
+    patterns = [words.replace(" ", r"[ \n]") for words in sorted(known, key=len, reverse=True)]
+    varying, usual = VARYING
+    patterns += [
+        (varying + words[len(usual) :]).replace("[a-z0-9 ]", "[a-z0-9@]").replace(" ", r"[ \n]").replace("[a-z0-9@]", r"(?:[a-z0-9]|[ \n](?!\n))")
+        for words in known if words.startswith(usual)
+    ]
+    found = F.regexp_extract_all(lines, F.lit(r"(?<![^\n])(?:" + "|".join(patterns) + r")(?![^\n])"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(found, lambda s: F.try_element_at(names, F.regexp_replace(F.translate(s, "\n", " "), varying, usual)))
+
+
+def find_licenses(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", joined: bool = False, wrapped: bool = False
+) -> DataFrame:
     """One row per input row: ``id_column``, ``sentence_ids`` (identifiers in text order, blank between), ``licenses`` (names by
     rule order, each once, comma between), ``n_sentences`` (known ones).
 
-    With ``joined`` a single line end is a blank and only an empty line ends a sentence, for texts wrapped at a fixed width.
+    With ``wrapped`` a sentence is one line or several, up to an empty line, and ``WORDINGS`` count too. With ``joined`` a single line end is a blank and only an empty line ends a sentence, for texts wrapped at a fixed width.
     A NULL or empty text, or one without a known sentence, has empty texts and 0. Repeated rows stay rows of their own. An
     empty table gives an empty result. Other columns are not read.
     """
@@ -106,9 +154,11 @@ def find_licenses(df: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.array().cast("array<string>")
     )
     found = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    if wrapped:
+        found = F.when(text.rlike(ANCHORS), _wrapped_sentences(text)).otherwise(F.array().cast("array<string>"))
     rows = df.select(F.col(f"`{id_column}`").alias(id_column), found.alias("_found"))
     line = F.concat(F.lit(" "), F.array_join("_found", " "), F.lit(" "))
-    names = [F.when(line.rlike(pattern), F.lit(name)) for name, pattern in rule_patterns().items()]
+    names = [F.when(line.rlike(pattern), F.lit(name)) for name, pattern in rule_patterns(WORDING_RULES if wrapped else ()).items()]
     licenses = F.array_join(F.array(*names), ",")
     return rows.select(
         id_column, F.array_join("_found", " ").alias("sentence_ids"), licenses.alias("licenses"),

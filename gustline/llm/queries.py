@@ -155,4 +155,4 @@ _KNOWN_SQL = "MAP {" + ", ".join(f"{_quoted(words)}: {_quoted(name)}" for name,
     """,
 )
 def op10(spark, sf_dir):
-    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), wrapped=True)

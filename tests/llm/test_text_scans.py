@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gustline.llm import language, licenses, secrets, warc
+from gustline.llm.queries import QUERIES
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
@@ -85,6 +86,71 @@ def test_licenses(spark):
     assert licenses.find_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_wrapped_notices(spark, tmp_path):
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+    mit = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+3. Neither the name of Some\n   Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+    mpl = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this"""
+    cc = "This work is licensed under a Creative Commons Attribution 4.0\nInternational License."
+    free = "This is free and unencumbered software released into the\npublic domain."
+    texts = [apache, mit, mit[13:], gpl, bsd, isc, mpl, cc, free, apache.replace("\n", "\r\n"), "title\n" + isc, None, "",
+             "Released under the MIT\n\nLicense.", "not licensed under the apache license version 2 0", "x.\nReleased under the MIT License.\ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op10_license_scan"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan and "Arrow" not in plan
+    assert [r.licenses for r in found.orderBy("doc_id").collect()] == [
+        "Apache-2.0", "MIT", "MIT", "GPL-3.0-or-later", "BSD-2-Clause,BSD-3-Clause", "ISC", "MPL-2.0", "CC-BY-4.0", "Unlicense",
+        "Apache-2.0", "ISC", "", "", "", "", "MIT",
+    ]
+
+
 def test_rules_follow_order_and_sentences_have_anchors():
     assert re.search(licenses.rule_pattern(("a", "b")), " a x b ") and re.search(licenses.rule_pattern(("a", "b")), " a b ")
     assert not re.search(licenses.rule_pattern(("a", "b")), " b a ") and not re.search(licenses.rule_pattern(("a",)), " aa ")
