@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import ann, embed_dedup, language, licenses, lm, mixing, near_dedup, packing, secrets, warc
+from gustline.llm import ann, embed_dedup, fim, language, licenses, lm, mixing, near_dedup, packing, prefix_trie, secrets, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,77 @@ _KNOWN_SQL = "MAP {" + ", ".join(f"{_quoted(words)}: {_quoted(name)}" for name,
 )
 def op10(spark, sf_dir):
     return licenses.find_licenses(table(spark, sf_dir, "documents"), wrapped=True)
+
+
+# unsigned CRC-32 of a text of ASCII characters
+_CRC_SQL = """
+    xor(list_reduce([4294967295::BIGINT] || [ascii(s[i])::BIGINT FOR i IN range(1, length(s) + 1)],
+        lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT FOR k IN range(8)], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)
+"""
+
+
+@query(
+    "op11_conversation_prefix_trie",
+    f"""
+    WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+                 FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, c - c % 100 AS base, {_CRC_SQL} % 6 AS h FROM (SELECT DISTINCT c, c::VARCHAR AS s FROM own)),
+    turns AS (SELECT v.c, o.pos, 0 AS part, r, x FROM convs v JOIN own o ON o.c = v.base AND o.pos <= v.h
+              UNION ALL SELECT v.c, o.pos, 1, r, x FROM convs v JOIN own o ON o.c = v.c AND o.pos > v.h),
+    lists AS (SELECT c, list(md5(r) || md5(x) ORDER BY part, pos) AS l, list(length(x) ORDER BY part, pos) AS n FROM turns GROUP BY c),
+    whole AS (SELECT c, coalesce(l, []) AS l, n FROM convs LEFT JOIN lists USING (c)),
+    steps AS (SELECT c, l, n, unnest(range(0, len(l) + 1)) AS depth FROM whole),
+    paths AS MATERIALIZED (SELECT c, depth, md5(array_to_string(l[1:depth], '')) AS k, md5(array_to_string(l[1:depth - 1], '')) AS up,
+                CASE WHEN depth = 0 THEN 0 ELSE n[depth] END AS chars, depth = len(l) AS ended FROM steps),
+    nodes AS MATERIALIZED (SELECT k, depth, CASE WHEN depth > 0 THEN any_value(up) END AS up, min(c) AS conv_id, count(*) AS n_convs,
+                any_value(chars) AS chars, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '') AS ends FROM paths GROUP BY k, depth),
+    kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    sums AS (SELECT p.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((v.n_convs - 1) * v.chars)::BIGINT AS saved_tokens
+             FROM nodes v JOIN paths p ON p.c = v.conv_id AND p.depth <= v.depth LEFT JOIN kids ON kids.k = v.k GROUP BY p.k)
+    SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens,
+           sha256(a.ends) AS ends_sha256
+    FROM nodes a JOIN sums USING (k) LEFT JOIN nodes b ON b.k = a.up LEFT JOIN kids ON kids.k = a.k
+    """,
+)
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    WITH given AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    units AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+                ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+              FROM given),
+    cuts AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM units),
+    parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                     WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+    SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op12(spark, sf_dir):
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+# The main text of the given pages is what lies in their article element, which is plain enough for patterns there.
+@query(
+    "op13_html_extraction",
+    r"""
+    WITH inner_html AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+    bare AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '</?(p|h1|br)>', ' ', 'g') AS t FROM inner_html),
+    read AS (SELECT page_id, url, replace(regexp_replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+                    '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), chr(160), ' ') AS t FROM bare),
+    shown AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM read)
+    SELECT page_id, url, text, length(text) AS n_chars FROM shown
+    """,
+)
+def op13(spark, sf_dir):
+    return wrapper.extraction_report(table(spark, sf_dir, "pages"))
