@@ -167,7 +167,7 @@ class MessageQueue:
 
     def __init__(self, limit: int = QUEUE_MESSAGES):
         self.limit, self.heap, self.runs, self.files = limit, [], [], contextlib.ExitStack()
-        self.spilled = 0
+        self.spilled = self.made = 0
 
     def push(self, message: tuple) -> None:
         heapq.heappush(self.heap, message)
@@ -184,7 +184,8 @@ class MessageQueue:
         self.spilled += len(self.heap) - keep
         del self.heap[keep:]
         file.seek(0)
-        self._next_of(file, len(self.runs))
+        self.made += 1
+        self._next_of(file, self.made)
 
     def _next_of(self, file, number: int) -> None:
         with contextlib.suppress(EOFError):
