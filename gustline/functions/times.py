@@ -9,13 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HOUR_MICROS = 3_600_000_000
+from gustline.functions.dates import MONTHS, parse_date  # noqa: F401 - dates belong to times
 
-# English month names in calendar order.
-MONTHS = (
-    "january", "february", "march", "april", "may", "june",
-    "july", "august", "september", "october", "november", "december",
-)
+HOUR_MICROS = 3_600_000_000
 
 
 def as_col(c: Column | str) -> Column:
@@ -143,37 +139,6 @@ def zone_abbreviation(c: Column | str) -> Column:
     return F.when(last.rlike("^[A-Z]{2,5}$") & ~last.isin("AM", "PM"), last)
 
 
-def parse_date(c: Column | str) -> Column:
-    """Free-form date text -> date, NULL when no known shape fits.
-
-    Numbers without a month name are month, day, year; a year of four digits may come first. Two-digit years
-    are 1970 to 2069. Commas, points after abbreviations, day endings (``1st``) and a time after the date are ignored.
-    """
-    text = F.trim(as_col(c))
-    text = F.regexp_replace(text, r"[T ]\d{1,2}:\d{2}.*$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[,.]", " "), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
-    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?i)\bsept\b", "Sep")
-    # month names in any case
-    text = F.when(text.rlike("[A-Za-z]"), F.initcap(F.lower(text))).otherwise(text)
-    # years of two digits
-    short = r"^(\d{1,2}[/-]\d{1,2}[/-])(\d{2})$"
-    century = F.when(F.regexp_extract(text, short, 2) >= "70", "19").otherwise("20")
-    text = F.when(text.rlike(short), F.concat(F.regexp_extract(text, short, 1), century, F.regexp_extract(text, short, 2))).otherwise(text)
-    shapes = (
-        (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-        (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
-        (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-        (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-        (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-        (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-        (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-        (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
-        (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-        (r"^\d{8}$", "yyyyMMdd"),
-    )
-    return _first_shape(text, shapes, lambda text, pattern: F.try_to_date(text, pattern))
-
-
 def month_number(c: Column | str) -> Column:
     """Month name, three-letter abbreviation or number text (1-12) -> 1-12, else NULL."""
     pairs = []

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gustline.functions.times import file_key, hour_floor
-from gustline.operators import dedup, latest, lookups
+from gustline.operators import dedup, latest, lookups, zones
 from gustline.operators.latest import best_source
 from gustline.plans.registry import events, query, table
 
@@ -46,6 +46,50 @@ def zone_lookup(spark, sf_dir):
     return lookups.zone_lookup(named.select("c_custkey", zone.alias("zone")), "zone", zones)
 
 
+# Daylight time of the years 1990 to 2006: North America from 2 h on the first Sunday of April to 2 h on the last one of October, Sydney
+# from 2 h on the last Sunday of October (of August in 2000) to 3 h on the first one of March, from 1996 on the last one.
+_ZONE_SQL = """
+    WITH l AS (SELECT l_orderkey, l_linenumber, ['ET', 'CT', 'AET', 'EST', 'XX'][CAST(l_orderkey % 5 + 1 AS INTEGER)] AS zone,
+                      l_shipdate + to_minutes(CAST((l_orderkey * 7 + l_linenumber * 211) % 1440 AS INTEGER)) AS wall FROM lineitem),
+         d AS (SELECT *, make_date(year(wall), 4, 1) AS a1, make_date(year(wall), 10, 31) AS o31, make_date(year(wall), 3, 1) AS m1,
+                      make_date(year(wall), 3, 31) AS m31 FROM l),
+         e AS (SELECT *, (a1 + CAST((7 - dayofweek(a1)) % 7 AS INTEGER))::TIMESTAMP + INTERVAL 2 HOUR AS us_on,
+                      (o31 - CAST(dayofweek(o31) AS INTEGER))::TIMESTAMP + INTERVAL 2 HOUR AS last_october,
+                      (CASE WHEN year(wall) >= 1996 THEN m31 - CAST(dayofweek(m31) AS INTEGER)
+                            ELSE m1 + CAST((7 - dayofweek(m1)) % 7 AS INTEGER) END)::TIMESTAMP + INTERVAL 3 HOUR AS au_off FROM d),
+         k AS (SELECT *, CASE WHEN zone <> 'AET' THEN us_on WHEN year(wall) = 2000 THEN TIMESTAMP '2000-08-27 02:00:00' ELSE last_october END AS starts, CASE zone WHEN 'AET' THEN au_off ELSE last_october END AS ends FROM e),
+         z AS (SELECT *, CASE WHEN zone IN ('EST', 'XX') THEN NULL WHEN wall >= starts AND wall < starts + INTERVAL 1 HOUR THEN 'gap'
+                              WHEN wall >= ends - INTERVAL 1 HOUR AND wall < ends THEN 'overlap' ELSE 'plain' END AS zone_kind,
+                      CASE zone WHEN 'EST' THEN -300 WHEN 'AET' THEN CASE WHEN wall < ends OR wall >= starts THEN 660 ELSE 600 END
+                                WHEN 'ET' THEN CASE WHEN wall >= starts AND wall < ends THEN -240 ELSE -300 END
+                                WHEN 'CT' THEN CASE WHEN wall >= starts AND wall < ends THEN -300 ELSE -360 END END AS offset_minutes FROM k)
+    SELECT l_orderkey, l_linenumber, zone, wall, zone_kind, offset_minutes, wall - to_minutes(offset_minutes) AS utc_time,
+           CASE zone_kind WHEN 'gap' THEN wall - INTERVAL 1 HOUR WHEN 'overlap' THEN wall WHEN 'plain' THEN wall END AS local_again FROM z
+"""
+
+
+@query("zone_instants", _ZONE_SQL)
+def zone_instants(spark, sf_dir):
+    """Wall clocks with two-valued, fixed and unknown zones -> instants by each zone's rules, and back to the wall clock of that instant."""
+    rows = table(spark, sf_dir, "lineitem")
+    minute = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 211) % 1440
+    names = F.array(*[F.lit(x) for x in ("ET", "CT", "AET", "EST", "XX")])
+    rows = rows.select(
+        "l_orderkey", "l_linenumber", F.element_at(names, (F.col("l_orderkey") % 5 + 1).cast("int")).alias("zone"),
+        (F.col("l_shipdate") + F.make_dt_interval(mins=minute.cast("int"))).alias("wall"),
+    )
+    regions = zones.regions(spark)
+    # a zone table without the two-valued abbreviations
+    fixed = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("Q"), F.upper("n_name")).alias("abbr"), F.col("n_regionkey").alias("offset_minutes"), F.col("n_nationkey").alias("line_no")
+    )
+    found = zones.zone_lookup_at(rows, "zone", "wall", fixed, regions, zones.wall_spans(regions, 1991, 2003))
+    found = found.withColumn("utc_time", F.col("wall") - F.make_dt_interval(mins=F.col("offset_minutes")))
+    found = found.join(regions.select(F.col("abbr").alias("zone"), F.col("zone").alias("region")), "zone", "left")
+    found = zones.wall_clock_at(found, "region", "utc_time", zones.instant_spans(regions, 1991, 2003), "local_again")
+    return found.select("l_orderkey", "l_linenumber", "zone", "wall", "zone_kind", "offset_minutes", "utc_time", "local_again")
+
+
 @query(
     "enrich_left",
     """

@@ -153,6 +153,11 @@ def month_sequence(spark, sf_dir):
            CAST(o_orderdate AS DATE) AS from_words, CAST(o_orderdate AS DATE) AS from_comma, CAST(o_orderdate AS DATE) AS from_long,
            CAST(o_orderdate AS DATE) AS from_day_first, CAST(o_orderdate AS DATE) AS from_short, CAST(o_orderdate AS DATE) AS from_dashes,
            CAST(o_orderdate AS DATE) AS from_iso_time, CAST(o_orderdate AS DATE) AS from_ordinal,
+           CAST(o_orderdate AS DATE) AS from_weekday, CAST(o_orderdate AS DATE) AS from_rfc, CAST(o_orderdate AS DATE) AS from_dots,
+           CAST(o_orderdate AS DATE) AS from_dots_iso, CAST(date_trunc('month', o_orderdate) AS DATE) AS from_month,
+           CAST(o_orderdate AS DATE) AS from_compact, CAST(o_orderdate AS DATE) AS from_pm,
+           CASE WHEN day(o_orderdate) > 12 THEN CAST(o_orderdate AS DATE)
+                ELSE make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END AS from_day_month,
            CAST(month(o_orderdate) AS INTEGER) AS month_num, CAST(NULL AS DATE) AS from_junk FROM orders
     """,
 )
@@ -170,6 +175,15 @@ def date_coercion(spark, sf_dir):
         T.parse_date(F.date_format(day, "MM-dd-yyyy")).alias("from_dashes"),
         T.parse_date(F.date_format(day, "yyyy-MM-dd'T10:00'")).alias("from_iso_time"),
         T.parse_date(F.concat(F.upper(F.date_format(day, "MMM ")), F.dayofmonth(day).cast("string"), F.lit("th "), F.date_format(day, "yyyy"))).alias("from_ordinal"),
+        T.parse_date(F.date_format(day, "EEEE, MMMM d, yyyy")).alias("from_weekday"),
+        T.parse_date(F.date_format(day, "EEE, dd MMM yyyy '08:52:00 -0500'")).alias("from_rfc"),
+        T.parse_date(F.when(F.dayofmonth(day) > 12, F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "MM.dd.yyyy"))).alias("from_dots"),
+        T.parse_date(F.date_format(day, "yyyy.MM.dd")).alias("from_dots_iso"),
+        T.parse_date(F.date_format(day, "MMM yyyy")).alias("from_month"),
+        T.parse_date(F.date_format(day, "yyyyMMdd'T1200'")).alias("from_compact"),
+        T.parse_date(F.date_format(day, "yyyy-MM-dd '8pm'")).alias("from_pm"),
+        # day first only where the number can be no month
+        T.parse_date(F.date_format(day, "dd/MM/yyyy")).alias("from_day_month"),
         T.month_number(F.date_format(day, "MMMM")).alias("month_num"),
         T.parse_date("o_orderpriority").alias("from_junk"),
     )
