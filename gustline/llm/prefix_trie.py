@@ -27,7 +27,7 @@ from gustline.operators.ordered import ordered
 GROUP, OPENINGS = 100, 6
 
 # A part holds nodes of BREADTH ** k up to BREADTH ** (k + 1) conversations and of this many levels: at most BREADTH * LEVELS nodes.
-BREADTH, LEVELS = 1_024, 1_024
+BREADTH, LEVELS = 128, 1_024
 # Messages that a priority queue keeps in memory; more are spilled in sorted runs.
 QUEUE_MESSAGES = 500_000
 # Turns whose fingerprints are chained within one window.
