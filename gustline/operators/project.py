@@ -16,11 +16,11 @@ from gustline.schema import DOUBLE_FIELDS, FIELDS, INT_FIELDS
 FEED_CONSTANTS = {
     "credit": "NOAA's National Weather Service",
     "credit_URL": "https://weather.gov/",
-    "image": " " * 70,
+    "image": None,
     "suggested_pickup": "15 minutes after the hour",
     "suggested_pickup_period": "60",
     "icon_url_base": "https://forecast.weather.gov/images/wtf/small/",
-    "icon_url_name": "some.png",
+    "icon_url_name": None,
     "disclaimer_url": "https://www.weather.gov/disclaimer.html",
     "copyright_url": "https://www.weather.gov/disclaimer.html",
     "privacy_policy_url": "https://www.weather.gov/notice.html",

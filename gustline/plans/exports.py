@@ -8,8 +8,8 @@ from gustline.operators import audit, summary
 from gustline.operators.latest import latest_per_key
 from gustline.plans.registry import events, query, table
 from gustline.session import fresh_folder
-from gustline.sinks import tables
-from gustline.sources import observations, pages
+from gustline.sinks import tables, xmltemplate
+from gustline.sources import extra, observations, pages
 
 
 @query(
@@ -204,3 +204,73 @@ def summary_json(spark, sf_dir):
         F.col("min_value").alias("min"),
     )
     return days.select(F.to_json(fields).alias("json"))
+
+
+# An invented record layout: attributes, a namespace, a nested element, an order of its own, fixed texts and empty elements.
+TEMPLATE = """<?xml version="1.0" encoding="UTF-8"?>
+<?xml-stylesheet href="reading.xsl" type="text/xsl"?>
+<current_observation xmlns:geo="http://example.org/geo" version="2.0">
+  <credit>Own &amp; invented</credit>
+  <image>
+    <url>http://example.org/</url>
+    <title/>
+  </image>
+  <station_id>X</station_id>
+  <wind_mph>0</wind_mph>
+  <weather>none</weather>
+  <geo:place kind="station">Y</geo:place>
+</current_observation>
+"""
+
+
+@query(
+    "xml_template",
+    """
+    WITH r AS (SELECT event_id, value, nullif(event_type, 'error') AS kind, 'U' || user_id AS station, nullif(user_id % 7, 0) AS place FROM events)
+    SELECT event_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<?xml-stylesheet href="reading.xsl" type="text/xsl"?>' || chr(10)
+        || '<current_observation xmlns:geo="http://example.org/geo" version="2.0">' || chr(10) || '  <credit>Own &amp; invented</credit>' || chr(10)
+        || '  <image>' || chr(10) || '    <url>http://example.org/</url>' || chr(10) || '    <title>A &lt;' || kind || '&gt;</title>' || chr(10) || '  </image>' || chr(10)
+        || '  <station_id>' || station || '</station_id>' || chr(10) || '  <wind_mph>' || CAST(value AS VARCHAR) || '</wind_mph>'
+        || coalesce(chr(10) || '  <weather>' || kind || '</weather>', '')
+        || coalesce(chr(10) || '  <geo:place kind="station">' || CAST(place AS VARCHAR) || '</geo:place>', '') || chr(10) || '</current_observation>' AS xml,
+        station AS station_id, CAST(value AS VARCHAR) AS wind_mph, kind AS weather FROM r WHERE kind IS NOT NULL
+    UNION ALL
+    SELECT event_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<?xml-stylesheet href="reading.xsl" type="text/xsl"?>' || chr(10)
+        || '<current_observation xmlns:geo="http://example.org/geo" version="2.0">' || chr(10) || '  <credit>Own &amp; invented</credit>' || chr(10)
+        || '  <image>' || chr(10) || '    <url>http://example.org/</url>' || chr(10) || '  </image>' || chr(10)
+        || '  <station_id>' || station || '</station_id>' || chr(10) || '  <wind_mph>' || CAST(value AS VARCHAR) || '</wind_mph>'
+        || coalesce(chr(10) || '  <geo:place kind="station">' || CAST(place AS VARCHAR) || '</geo:place>', '') || chr(10) || '</current_observation>' AS xml,
+        station, CAST(value AS VARCHAR), NULL FROM r WHERE kind IS NULL
+    """,
+)
+def xml_template(spark, sf_dir):
+    """Records written after a template, and the fields read back from what was written."""
+    kind = F.nullif("event_type", F.lit("error"))
+    rows = events(spark, sf_dir).select(
+        "event_id", F.col("value").cast("string").alias("speed"), kind.alias("kind"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("station"),
+        F.nullif(F.col("user_id") % 7, F.lit(0)).alias("place"),
+    )
+    columns = {"image/title": F.concat(F.lit("A <"), F.col("kind"), F.lit(">")), "station_id": "station", "wind_mph": "speed", "weather": "kind", "geo:place": "place"}
+    written = rows.select("event_id", xmltemplate.compile_template(TEMPLATE, columns).alias("xml"))
+    back = observations.parse_xml(written, "xml", ["event_id", "xml"])
+    return back.select("event_id", "xml", "station_id", "wind_mph", "weather")
+
+
+@query(
+    "xml_extra_fields",
+    """
+    SELECT event_id, event_type AS station_id, CAST(value AS VARCHAR) AS wind_mph, user_id AS uv_index,
+           CASE WHEN event_id % 5 <> 0 THEN event_type END AS road_state, CAST(NULL AS DOUBLE) AS absent,
+           CASE WHEN event_id % 5 <> 0 THEN 2 ELSE 1 END AS n_extra FROM events
+    """,
+)
+def xml_extra_fields(spark, sf_dir):
+    """Records with tags outside the 43 fields: kept in one VARIANT column, then promoted to typed columns."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), F.col(c).cast("string"), F.lit(f"</{name}>"))
+    road = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("<road><state>"), F.col("event_type"), F.lit("</state></road>"))).otherwise("")
+    xml = F.concat(F.lit("<current_observation>"), tag("station_id", "event_type"), tag("uv_index", "user_id"), tag("wind_mph", "value"), road)
+    rows = events(spark, sf_dir).select("event_id", F.concat(xml, F.lit("</current_observation>")).alias("xml"))
+    kept = extra.promoted(extra.parse_xml_with_extra(rows, "xml", ["event_id"]), {"uv_index": "bigint", "road": "variant", "absent": "double"})
+    state = F.try_variant_get("road", "$.state", "string")
+    n_extra = F.size(F.map_keys(F.col(extra.EXTRA).cast("map<string, variant>")))
+    return kept.select("event_id", "station_id", "wind_mph", "uv_index", state.alias("road_state"), "absent", n_extra.alias("n_extra"))

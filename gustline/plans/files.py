@@ -1,12 +1,19 @@
 """Sources and sinks over files made from the given tables, written and read back."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from gustline.functions.times import day_file_key, file_key
 from gustline.functions.units import number
 from gustline.operators import project
+from gustline.operators.ordered import ordered
+from gustline.operators.quality import original_files
+from gustline.plans.audits import ARRIVAL, ARRIVAL_SQL
 from gustline.plans.registry import events, query, table
 from gustline.session import fresh_folder
 from gustline.sinks import tables
+from gustline.sinks.tables import write_named_files
 from gustline.sources import observations, textfiles
 
 
@@ -71,14 +78,14 @@ def _record(rows):
 
 @query(
     "guarded_write",
-    "SELECT event_id, value FROM events WHERE event_id % 2 = 0",
+    "SELECT event_id, value FROM events",
 )
 def guarded_write(spark, sf_dir):
-    """A second write without ``force`` leaves the first output as it is."""
+    """A second write of other values without ``force`` leaves the first output as it is."""
     folder = fresh_folder(spark, "guarded")
     rows = events(spark, sf_dir)
-    tables.guarded_write(_record(rows.where("event_id % 2 = 0")), folder)
     tables.guarded_write(_record(rows), folder)
+    tables.guarded_write(_record(rows.withColumn("value", F.col("value") + 1)), folder)
     back = observations.read_csv(spark, folder, multiline=False)
     return back.select(F.col("station_id").cast("bigint").alias("event_id"), number("wind_mph").alias("value"))
 
@@ -114,3 +121,89 @@ def append_twice(spark, sf_dir):
     for part in (0, 1):
         tables.append_observations(rows.where(F.col("event_id") % 2 == part), folder, "ts")
     return spark.read.parquet(folder).select("event_id", "station_id", "obs_date")
+
+
+_MINUTE = "date_trunc('minute', ts)"
+
+
+@query(
+    "late_merge",
+    f"""
+    WITH a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS station_id, {_MINUTE} AS obs_local, value, {ARRIVAL_SQL} AS arrival FROM events),
+         r AS (SELECT *, row_number() OVER (PARTITION BY station_id, obs_local ORDER BY arrival, event_id) AS rn FROM a)
+    SELECT station_id, obs_local, event_id, value, arrival, CAST(obs_local AS DATE) AS obs_date FROM r WHERE rn = 1
+    """,
+)
+def late_merge(spark, sf_dir):
+    """The tenth of the rows that came last merged into a table of all others, twice: as if all had been ingested in order."""
+    folder = fresh_folder(spark, "merged")
+    rows = events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("station_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("obs_local"), "event_id",
+        "value", F.expr(ARRIVAL).alias("arrival"),
+    )
+    is_late = F.expr("arrival * 10 div 1000003 = 9")
+    tables.merge_late(rows.where(~is_late), folder, ["arrival", "event_id"])
+    for _ in range(2):
+        tables.merge_late(rows.where(is_late), folder, ["arrival", "event_id"])
+    return spark.read.parquet(folder).select("station_id", "obs_local", "event_id", "value", "arrival", "obs_date")
+
+
+@query(
+    "station_blobs",
+    """
+    SELECT event_type || strftime(obs_date, '_Y%Y_M%m_D%d_H00') || '.txt' AS file_name, event_type AS station, md5(body) AS md5, CAST(length(body) AS BIGINT) AS length
+    FROM (SELECT event_type, CAST(ts AS DATE) AS obs_date, count(*) || ' readings, last ' || max(event_id) || chr(10) AS body FROM events GROUP BY 1, 2)
+    """,
+)
+def station_blobs(spark, sf_dir):
+    """One bulletin file per station and day, and a copy of the newest; files come back with their MD5, the copy does not."""
+    folder = fresh_folder(spark, "blobs")
+    days = events(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("obs_date")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    body = F.concat(F.col("n").cast("string"), F.lit(" readings, last "), F.col("last").cast("string"))
+    named = days.select(day_file_key("event_type", "obs_date", "txt").alias("name"), body.alias("body"))
+    newest = days.groupBy("event_type").agg(F.max("obs_date").alias("obs_date"))
+    copies = newest.select(F.concat("event_type", F.lit("_latest.txt")).alias("name"), F.lit("copy").alias("body"))
+    write_named_files(named.unionByName(copies), folder, "name", "body")
+    return textfiles.read_blobs(spark, folder, "*.txt", by_folder=True)
+
+
+@query(
+    "file_listing",
+    """
+    SELECT event_type || strftime(date_trunc('hour', ts), '_Y%Y_M%m_D%d_H%H') || '.csv' AS file_name, CAST(ts AS DATE) AS file_date
+    FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1, 2
+    """,
+)
+def file_listing(spark, sf_dir):
+    """Files of one station chosen by name and by the date in it; files of other stations and combined copies lie beside them."""
+    folder = fresh_folder(spark, "listing")
+    rows = events(spark, sf_dir).groupBy(file_key("event_type", "ts").alias("name")).agg(F.count("*").cast("string").alias("body"))
+    combined = rows.select(F.regexp_replace("name", r"\.csv$", "_Range7.csv").alias("name"), "body")
+    write_named_files(rows.unionByName(combined), folder, "name", "body")
+    first, last = date(2024, 1, 10), date(2024, 1, 20)
+    found = observations.list_files(spark, folder, observations.range_glob("error", first, last), by_folder=True)
+    return original_files(found, "file_name").where(F.col("file_date").between(first, last)).select("file_name", "file_date")
+
+
+@query(
+    "collection_time",
+    "SELECT event_id, TIMESTAMP '2024-02-01 00:20:00' AS collection_time, CAST(datediff('minute', ts, TIMESTAMP '2024-02-01 00:20:00') AS BIGINT) AS age_minutes FROM events",
+)
+def collection_time(spark, sf_dir):
+    """Each reading with the time of its collection, and its age then in minute ends passed."""
+    rows = project.with_collection_time(events(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-02-01 00:20:00")))
+    minutes = F.timestamp_diff("MINUTE", F.date_trunc("minute", "ts").cast("timestamp_ntz"), F.col("collection_time"))
+    return rows.select("event_id", "collection_time", minutes.alias("age_minutes"))
+
+
+@query(
+    "sorted_names",
+    """
+    SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_name, c_custkey) AS BIGINT) AS place FROM customer
+    """,
+)
+def sorted_names(spark, sf_dir):
+    """Stations by name, numbered over as many files as they need: places inside a slice plus the rows of the slices before it."""
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(1).alias("one"))
+    placed = ordered(names, ["one"], ["c_name", "c_custkey"]).running_sum("place", F.lit(1)).done()
+    return placed.orderBy("c_name", "c_custkey").select("c_custkey", "c_name", "place")

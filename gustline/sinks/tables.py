@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from gustline.functions.text import NULL_TOKEN, html_escape, html_row
 from gustline.functions.times import emit_time, file_key
 from gustline.operators.latest import latest_per_key
+from gustline.session import reliable_checkpoint
 
 PARTITION = "obs_date"
 
@@ -27,11 +29,62 @@ def _dated(df: DataFrame, ts: str) -> DataFrame:
 def append_observations(df: DataFrame, path: str, ts: str = "obs_local") -> None:
     """Append to the table partitioned by day; a new day is simply a new partition.
 
-    A station-day is some 24 rows, far too few for a directory of its own. Files are sorted by station
-    instead, so a station filter skips row groups by their statistics.
+    A station-day is some 24 rows, far too few for a directory of its own. Files are sorted by station instead and carry a Bloom
+    filter on it, so a station filter skips row groups by their statistics and whole files by their filter.
     """
-    rows = _sized_files(_dated(df, ts), [PARTITION]).sortWithinPartitions(PARTITION, "station_id", ts)
-    rows.write.mode("append").partitionBy(PARTITION).parquet(path)
+    rows = _sized_files(_dated(df, ts), [PARTITION])
+    _table_writer(rows, ts, "append").parquet(path)
+
+
+def _table_writer(rows: DataFrame, ts: str, mode: str):
+    writer = rows.sortWithinPartitions(PARTITION, "station_id", ts).write.mode(mode).partitionBy(PARTITION)
+    return writer.option("parquet.bloom.filter.enabled#station_id", "true")
+
+
+def merge_late(df: DataFrame, path: str, order: list[str], ts: str = "obs_local") -> int:
+    """Merge late rows into the table of :func:`append_observations`; the number of days that were written again.
+
+    Of rows with the same station and time the first in ``order`` (columns of the table) stays, whether it came late or not, so the table
+    is what ingest of all rows in order would have made. Only days that gain or change a row are read as a whole and replaced; a second
+    run finds nothing to do. NULL stations and times are values like any other. Days are replaced one by one: after a crash between two
+    of them the same merge completes the rest.
+    """
+    spark = df.sparkSession
+    late = _first_rows(_dated(df, ts), order, ts)
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        append_observations(late.drop(PARTITION), path, ts)
+        return late.select(PARTITION).distinct().count()
+    late = reliable_checkpoint(late.select(*table.columns))
+    place = F.struct(*order)
+    known = _of_days(table, late).select(F.col("station_id").alias("_station"), F.col(ts).alias("_ts"), place.alias("_place"))
+    same = F.col("station_id").eqNullSafe(F.col("_station")) & F.col(ts).eqNullSafe(F.col("_ts"))
+    found = late.join(known, same, "left").where(F.col("_place").isNull() | (place < F.col("_place")))
+    days = reliable_checkpoint(found.select(PARTITION).distinct())
+    touched = days.count()
+    if touched:
+        # what is replaced has been read and stored before the first day goes
+        merged = reliable_checkpoint(_first_rows(_of_days(table, days).unionByName(_of_days(late, days)), order, ts))
+        writer = _table_writer(_sized_files(merged.select(*table.columns), [PARTITION]), ts, "overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    return touched
+
+
+def _first_rows(df: DataFrame, order: list[str], ts: str) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(F.col("station_id").alias("_s"), F.col(ts).alias("_t")).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def _of_days(table: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the days in ``days``; partitions outside their range are not listed for reading."""
+    days = days.select(F.col(PARTITION).alias("_day")).distinct()
+    low, high = days.agg(F.min("_day"), F.max("_day")).first()
+    undated = F.col(PARTITION).isNull()
+    inside = table.where(undated if low is None else F.col(PARTITION).between(low, high) | undated)
+    return inside.join(days, F.col(PARTITION).eqNullSafe(F.col("_day")), "left_semi")
 
 
 def split_days(df: DataFrame, path: str, ts: str = "obs_local", station: str = "*") -> None:
@@ -111,6 +164,12 @@ def write_xml_files(df: DataFrame, path: str, columns: list[str], station: str =
     rows.repartition("record").write.mode("overwrite").partitionBy("record").text(path)
 
 
+def write_named_files(df: DataFrame, path: str, name: str, body: str) -> None:
+    """One text file per row, in a folder ``record=<name>``, which readers take for the file's name."""
+    rows = df.select(F.col(name).alias("record"), F.col(body).alias("value"))
+    rows.repartition("record").write.mode("overwrite").partitionBy("record").text(path)
+
+
 def write_sections(sections: DataFrame, path: str, doc: str, pos: str, line: str) -> None:
     """Section lines as CSV files, sorted by document, section and position over as many files as the volume needs.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -94,13 +95,26 @@ def range_glob(station: str, start: date, end: date, ext: str = "csv") -> str:
     return f"{station}_{{{','.join(months)}}}_D*.{ext}"
 
 
-def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """File names with their dates; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+def glob_pattern(glob: str) -> str:
+    """A name pattern with ``*``, ``?`` and ``{a,b}`` as a regular expression for whole names."""
+    signs = {"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|"}
+    return "^" + "".join(signs.get(c) or re.escape(c) for c in glob) + "$"
+
+
+def named_files(spark: SparkSession, folder: str, glob: str, by_folder: bool = False) -> DataFrame:
+    """Files with ``file_name``, chosen by name. With ``by_folder`` a file is named by its folder ``record=<name>``, as the sinks write
+    them, and only folders of a fitting name are looked into."""
+    reader = spark.read.format("binaryFile")
+    if by_folder:
+        return reader.load(folder).where(F.col("record").rlike(glob_pattern(glob))).withColumnRenamed("record", "file_name")
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), "path", "length", "modificationTime").withColumn(
-        "file_date", date_of_file("file_name")
-    )
+    return reader.option("pathGlobFilter", glob).load(folder).withColumn("file_name", name)
+
+
+def list_files(spark: SparkSession, folder: str, glob: str, by_folder: bool = False) -> DataFrame:
+    """File names with their dates; contents are not read."""
+    files = named_files(spark, folder, glob, by_folder)
+    return files.select("file_name", "path", "length", "modificationTime").withColumn("file_date", date_of_file("file_name"))
 
 
 def read_csv_range(spark: SparkSession, folder: str, station: str, start: date, end: date) -> DataFrame:
@@ -117,6 +131,7 @@ def read_csv_month(spark: SparkSession, folder: str, station: str, year: int, mo
 
 
 def read_table_range(spark: SparkSession, path: str, start: date, end: date, station: str | None = None) -> DataFrame:
-    """Days ``start`` to ``end`` of the partitioned table; only their partitions are read."""
+    """Days ``start`` to ``end`` of the partitioned table; only their partitions are read, and of these, for one station, only row groups
+    that can hold it."""
     table = spark.read.parquet(path).where(F.col("obs_date").between(start, end))
     return table.where(F.col("station_id") == station) if station else table

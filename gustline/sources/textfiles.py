@@ -10,6 +10,7 @@ from gustline.functions.text import station_of_url
 from gustline.functions.times import utc_offset_minutes
 from gustline.functions.units import number
 from gustline.operators.project import normalised_names
+from gustline.sources.observations import named_files
 
 TIDE_LINE = r"^\s*\d{4}/\d{2}/\d{2}\s"
 ZONE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("abbr", "name", "utc_offset")])
@@ -61,13 +62,8 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", utc_offset_minutes("utc_offset").alias("offset_minutes"), place)
 
 
-def read_blobs(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Files with their MD5; ``latest`` copies are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        name.alias("file_name"),
-        F.regexp_extract(name, r"^(.*?)_Y\d{4}_", 1).alias("station"),
-        F.md5("content").alias("md5"),
-        "length",
-    ).where(~F.col("file_name").contains("latest"))
+def read_blobs(spark: SparkSession, folder: str, glob: str, by_folder: bool = False) -> DataFrame:
+    """Files with their MD5, chosen by name (see :func:`named_files`); ``latest`` copies are left out."""
+    files = named_files(spark, folder, glob, by_folder).where(~F.col("file_name").contains("latest"))
+    station = F.regexp_extract("file_name", r"^(.*?)_Y\d{4}_", 1)
+    return files.select("file_name", station.alias("station"), F.md5("content").alias("md5"), "length")
