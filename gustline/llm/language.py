@@ -24,6 +24,8 @@ from gustline.llm.words import STEP, in_slices, text_bytes
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1000
+# A sample is looked for among this many times its size; rows have one of so many places by a hash.
+AMPLE, PLACES = 4, 1 << 30
 # Neighbouring trigrams share bytes: three of them count as one piece of evidence.
 EVIDENCE_PER_TRIGRAM = 1 / 3
 SMOOTHING = 20.0
@@ -85,16 +87,24 @@ def _count(batches):
 def fit_languages(labelled: DataFrame, id_column: str, text_column: str, label_column: str) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket, from ``SAMPLE_PER_LANGUAGE`` whole texts of each language.
 
-    The model has a row of ``BUCKETS`` numbers per language, whatever the size of the table.
+    The model has a row of ``BUCKETS`` numbers per language, whatever the size of the table. Rows that repeat id and text count once, so
+    no id, NULL among them, makes the sample larger. Very long texts count whole.
     """
     rows = labelled.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").alias("language"),
                            F.col(f"`{text_column}`").cast("string").alias("text")).where("language is not null")
-    order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "language").withColumn("place", F.row_number().over(order))
-    chosen = chosen.where(F.col("place") <= SAMPLE_PER_LANGUAGE).select(F.col("id").alias("_id"), F.col("language").alias("_language"))
+    # rows are told apart by id and text; what repeats both is one row of the sample
+    rows = rows.withColumn("key", F.xxhash64("id", "text")).withColumn("place", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(PLACES)))
+    total = rows.groupBy("language").agg(F.count("*").alias("_n"))
+    # a share of each language goes on, so that no window holds all rows of one; the share is ample, so the sample is full nearly always
+    few = rows.select("language", "place", "key").join(total, "language")
+    few = few.where(F.col("place") / F.lit(float(PLACES)) < F.lit(float(AMPLE * SAMPLE_PER_LANGUAGE)) / F.col("_n"))
+    order = Window.partitionBy("language").orderBy("place", "key")
+    chosen = few.select("language", "place", "key").distinct().withColumn("rank", F.row_number().over(order))
+    chosen = chosen.where(F.col("rank") <= SAMPLE_PER_LANGUAGE).select(F.col("key").alias("_key"), F.col("language").alias("_language"))
     chosen = written(chosen, "language-sample")
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    sample = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("language") == F.col("_language")))
+    sample = rows.join(side, (F.col("key") == F.col("_key")) & (F.col("language") == F.col("_language")))
+    sample = sample.groupBy("language", "key").agg(F.any_value("text").alias("text"))
     counts = sample.select("language", "text").mapInArrow(_count, "language string, bucket long, n long")
     found = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["language"].unique())
@@ -161,7 +171,7 @@ def identify(
     flat = F.array(*[F.lit(1.0 / k)] * k)
     rows = rows.withColumn("alone", F.when(F.col("n_trigrams") > 0, _belief(F.col("text"))).otherwise(flat))
 
-    # how often a declaration goes with a language: at most 200 declarations are told apart, the rest say nothing
+    # how often a declaration goes with a language: declarations that name a known language are told apart, the rest say nothing
     said = rows.where("n_trigrams > 0 and declared is not null").groupBy("declared").agg(_summed("alone", k).alias("with"))
     said = said.where(F.col("declared").isin(languages)).collect()
     kinds = len(said) + 1
@@ -207,8 +217,9 @@ def identify(
     )
 
 
-DECLARED = r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]+)"""
-MARKUP = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;"
+DECLARED = r"""(?i)<html[^<>]{0,2000}?\slang\s*=\s*["']?([a-z]+)"""
+# What is never closed goes on to the end, so no part of a page is searched twice.
+MARKUP = r"(?s)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>|&[#\w]{1,32}+;"
 HOST = r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+)"
 
 

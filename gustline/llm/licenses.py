@@ -120,9 +120,9 @@ def _wrapped_sentences(text: Column) -> Column:
     letter or digit (as between the paragraphs of a comment), end a sentence and are two line ends here.
     """
     known = {words: name for name, words in SENTENCES.items()} | WORDINGS
-    lines = F.regexp_replace(F.lower(text), r"[.!?;:]+(?:[ \t\f\r]+|\s*\n)", "\n\n")
-    lines = F.regexp_replace(lines, r"\n(?:[^a-z0-9\n]*\n)+", "\n\n")
-    lines = F.trim(F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n"))
+    lines = F.regexp_replace(F.lower(text), r"(?<![.!?;:])[.!?;:]++(?:[ \t\f\r]*+\n|[ \t\f\r]++)", "\n\n")
+    lines = F.regexp_replace(lines, r"\n(?:[^a-z0-9\n]*+\n)++", "\n\n")
+    lines = F.trim(F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]++", " "), r" ?\n ?", "\n"))
     # the longest first, and any line end inside
     patterns = [words.replace(" ", r"[ \n]") for words in sorted(known, key=len, reverse=True)]
     varying, usual = VARYING

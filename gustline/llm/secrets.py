@@ -31,8 +31,14 @@ BASE_KINDS = ("assign", "access", "hex")
 WEAK = (
     ("identifier", "weak_id", re.compile(r"\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}|\b(?i:client_?id|user(?:name)?)[\"']?\x20*[:=]\x20*[\"']?[\w.@-]{3,}")),
     ("secret", "weak_secret", re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")),
-    ("endpoint", "endpoint", re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b[a-z0-9][a-z0-9.-]*\.[a-z]{2,}:\d{2,5}\b")),
+    ("endpoint", "endpoint", None),
 )
+# Endpoints are found from their middle: what stands before it is walked back once.
+_MIDDLE = re.compile(r"://[^\s\"'<>]|(?<=[a-z]):\d{2,5}\b")
+_REST = re.compile(r"[^\s\"'<>]*")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_HOST = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
+_LAST_LABEL = re.compile(r"\.[a-z]{2,}\Z")
 KINDS = (*BASE_KINDS, *(kind for _, kind, _ in WEAK))
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"} | {kind: role for role, kind, _ in WEAK}
 # Two parts belong together if at most this many characters lie between them.
@@ -60,11 +66,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _is_word(character: str) -> bool:
+    return character.isalnum() or character == "_"
+
+
+def endpoints(text: str) -> list[tuple[str, int, int]]:
+    """Addresses with a scheme, and hosts with a port, from left to right without overlaps.
+
+    A scheme or host begins at the first place, behind the endpoint before, from which only its characters stand before the middle and which
+    begins a word. Every character is walked over once, so the time grows with the length of the text.
+    """
+    found: list[tuple[str, int, int]] = []
+    seen = 0
+    for m in _MIDDLE.finditer(text):
+        middle, is_url = m.start(), text[m.start() + 1] == "/"
+        if middle < seen:
+            continue
+        allowed, start = _SCHEME if is_url else _HOST, middle
+        while start > seen and text[start - 1] in allowed:
+            start -= 1
+        # what has been walked over belongs to this middle or to none
+        low, seen = start, middle
+        while low < middle and not (
+            ("a" <= text[low] <= "z" or (not is_url and text[low].isdigit() and text[low].isascii()))
+            and (low == 0 or not _is_word(text[low - 1]))
+        ):
+            low += 1
+        if low == middle or not (is_url or _LAST_LABEL.search(text, low + 1, middle)):
+            continue
+        seen = _REST.match(text, m.end()).end() if is_url else m.end()
+        found.append(("endpoint", low, seen))
+    return found
+
+
 def weak_parts(text: str) -> list[tuple[str, int, int]]:
     """Parts that count only together with others."""
-    found = []
+    found = endpoints(text)
     for _, kind, pattern in WEAK:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if pattern else ():
             if kind != "weak_secret" or (entropy(m[0]) >= LEAST_ENTROPY and not m[0].isalpha() and not m[0].isdigit()):
                 found.append((kind, *m.span()))
     return found

@@ -36,6 +36,8 @@ BROADCAST_ROWS = 200_000
 # Records and payload bytes handed over at once by the reader.
 BATCH_RECORDS, BATCH_BYTES = 500, 4 << 20
 READ_BYTES = 1 << 14
+# File names and comments in gzip headers are shorter.
+LONGEST_NAME = 1 << 12
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
@@ -122,8 +124,26 @@ def write_warc(
     writer.text(path)
 
 
+def _is_member(data: memoryview, at: int) -> bool:
+    """Whether a gzip header can begin here. Names in it end within LONGEST_NAME bytes, so a false start is not read to the end."""
+    if len(data) < at + 18 or data[at + 3] & 0xE0:
+        return False
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            length = bytes(data[place : place + LONGEST_NAME]).find(b"\0")
+            if length < 0:
+                return False
+            place += length + 1
+    return place < len(data)
+
+
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
     """The member that begins at ``at`` and where it ends, or None if it is damaged."""
+    if not _is_member(data, at):
+        return None
     reader, out = zlib.decompressobj(31), []
     while not reader.eof and at < len(data):
         part = data[at : at + READ_BYTES]
@@ -138,19 +158,25 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
 def parse_record(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     """Headers (names in lower case), block and end of the record at ``at``; None unless all checks hold."""
     version = _VERSION_LINE.match(raw, at)
-    head_end = raw.find(END, at)
-    if not version or head_end < 0:
+    if not version:
         return None
-    headers = {}
-    for line in raw[version.end() : head_end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    headers, at = {}, version.end()
+    while True:
+        # a false start is read up to its first line that is no header, such as the next version line
+        line_end = raw.find(b"\r\n", at)
+        if line_end < 0:
+            return None
+        if line_end == at:
+            break
+        name, colon, value = raw[at:line_end].partition(b":")
         if not colon:
             return None
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        at = line_end + 2
     length = headers.get("content-length", "")
     if not length.isdigit():
         return None
-    start = head_end + len(END)
+    start = at + 2
     end = start + int(length)
     if raw[end : end + len(END)] != END:
         return None
@@ -184,6 +210,8 @@ def salvage(data: bytes):
     An empty file yields nothing; a file without a single valid record is one gap.
     """
     view, at, gap_from, reason = memoryview(data), 0, None, ""
+    # places of the next member and version line, kept until they are passed
+    member = version = -1
     while at < len(data):
         if data[at : at + 3] == GZIP:
             found = _gzip_record(view, at)
@@ -200,9 +228,13 @@ def salvage(data: bytes):
             continue
         if gap_from is None:
             gap_from, reason = at, problem
-        member, version = data.find(GZIP, at + 1), _VERSION_LINE.search(data, at + 1)
-        following = [x for x in (member, version.start() if version else -1) if x >= 0]
-        at = min(following, default=len(data))
+        if member <= at:
+            place = data.find(GZIP, at + 1)
+            member = len(data) if place < 0 else place
+        if version <= at:
+            line = _VERSION_LINE.search(data, at + 1)
+            version = line.start() if line else len(data)
+        at = min(member, version)
     if gap_from is not None:
         yield "gap", gap_from, len(data), reason
 

@@ -13,14 +13,13 @@ P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 VOCABULARY = P.path("byte_bpe_50k.json")
 TEXTS = [
-    None, "", " ", "hello world", "<|endoftext|> is text", "tab\tand\n\nlines  ", "ünï çødé 日本語 🎉", "a" * 3000, "x y " * 5000,
+    None, "", " ", "hello world", "<|endoftext|> is one id", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "|>x<|", "tab\tand\n\nlines  ", "ünï çødé 日本語 🎉", "a" * 3000, "x y " * 5000,
     " \u0085 odd blanks \x00", "don't can't WE'LL 1234567 ½ Ⅷ", " ".join(str(i) for i in range(9000)),
 ]
 
 
 def reference_ids(text):
     tokenizer = tokenizers.Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -28,6 +27,7 @@ def test_fast_ids_equal_the_vocabulary_s_own():
     encode = packing.encoder(VOCABULARY)
     for text in TEXTS[1:]:
         assert [*encode(text), 0] == reference_ids(text)
+    assert list(encode("a <|endoftext|> b")) == [64, 220, 50256, 275]
     long = "word " * 250_000
     assert list(encode(long)) == reference_ids(long)[:-1]
 

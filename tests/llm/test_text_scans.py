@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,66 @@ def test_damaged_file_is_read_by_spark(spark, tmp_path):
     rows = warc.read_warc(spark, str(tmp_path)).collect()
     gaps = [r for r in rows if r["gap"]]
     assert len(rows) - len(gaps) == 29 and [(g.start, g.end, g["gap"]) for g in gaps] == [(len(parts[0]), len(parts[0]) + len(parts[1]), "damaged member")]
+
+
+LONG_TEXTS = {
+    "labels": "a." * 500_000, "schemes": "a+" * 500_000, "ports": "a.b:80" * 160_000, "colons": "a:" * 500_000, "urls": "http://" * 140_000,
+    "one url": "http://" + "x" * 1_000_000, "hex": "0f" * 500_000, "assign": "token=" * 160_000, "keys": "AKIA" * 250_000, "base64": "aB3/" * 250_000,
+}
+LICENSE_TEXTS = {
+    "empty lines": "\n" * 1_000_000, "comment lines": "\n" + "#\n" * 500_000, "points": " license." * 110_000, "stops": ". " * 500_000,
+    "blanks": " " * 1_000_000 + "x", "dots": "." * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_secrets_of_a_megabyte(name):
+    start = time.perf_counter()
+    secrets.base_spans(LONG_TEXTS[name])
+    secrets.weak_parts(LONG_TEXTS[name])
+    assert time.perf_counter() - start < 5
+
+
+def test_secret_report_of_a_megabyte(spark):
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS.values())), "doc_id long, text string")
+    assert secrets.secret_report(df).count() == len(LONG_TEXTS)
+
+
+@pytest.mark.parametrize("name", LICENSE_TEXTS)
+def test_licenses_of_a_megabyte(spark, name):
+    df = spark.createDataFrame([(1, f"license{LICENSE_TEXTS[name]}\nLicensed under the MIT license.")], "doc_id long, text string")
+    start = time.perf_counter()
+    assert licenses.find_licenses(df, wrapped=True).count() == 1
+    licenses.find_licenses(df, wrapped=True).collect()
+    assert time.perf_counter() - start < 15
+
+
+ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b[a-z0-9][a-z0-9.-]*\.[a-z]{2,}:\d{2,5}\b")
+
+
+def test_endpoints_like_the_plain_pattern():
+    rng = random.Random(11)
+    pieces = ["http", "s3", "://", ":", "80", "5432", ".", "-", "+", "a", "db", "example", "org", " ", "x1", "_", "/", "Z", "é", '"', "9"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        got = [(start, end) for _, start, end in secrets.endpoints(text)]
+        assert got == [m.span() for m in ENDPOINT.finditer(text)], text
+
+
+def test_salvage_of_many_false_starts():
+    good = warc.record([("WARC-Type", "response")], b"payload")
+    for junk in (b"WARC/1.0\r\n" * 100_000, b"\x1f\x8b\x08" * 300_000, b"WARC/1.0\r\na: b\r\n" * 60_000, b"\x1f\x8b\x08WARC/1.0\r\n" * 70_000):
+        start = time.perf_counter()
+        found = list(warc.salvage(good + junk + good + junk))
+        assert time.perf_counter() - start < 10
+        assert [f[0] for f in found] == ["record", "gap", "record", "gap"] and found[2][4] == b"payload"
+
+
+def test_language_sample_of_repeated_and_missing_ids(spark):
+    rows = [(None, f"english words number {i % 3} here", "en") for i in range(4000)] + [(7, "des mots en ici", "fr")] * 500
+    rows += [(i, f"text of row {i}", "en") for i in range(3000)] + [(8, None, "fr"), (9, "no label", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, table = language.fit_languages(df, "doc_id", "text", "lang")
+    assert languages == ["en", "fr"]
+    known = language.identify_documents(df.withColumn("source", F.lit("s")))
+    assert known.count() == len(rows) and known.where("language = 'en'").count() > 6900
