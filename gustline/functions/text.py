@@ -45,12 +45,12 @@ def html_row(*cells: Column | str) -> Column:
 
 
 def visible_html(c: Column | str) -> Column:
-    """Markup without scripts, styles and comments."""
-    return F.regexp_replace(as_col(c), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
+    """Markup without scripts, styles and comments. One that is never closed goes on to the end, so no part is searched twice."""
+    return F.regexp_replace(as_col(c), r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)", "")
 
 
 def strip_tags(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(as_col(c), r"(?s)<[^>]*>", ""))
+    return F.trim(F.regexp_replace(as_col(c), r"<[^<>]*+>", ""))
 
 
 # Entities of markup; the ampersand is decoded last.

@@ -59,7 +59,7 @@ def forecast_section(text: Column | str, station: str, header: str = "ANZ") -> C
 
 def paragraph_text(html: Column | str) -> Column:
     """Text of a page's paragraphs, one after the other; a highlighted warning is followed by an empty line."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<p\b.*?</p>)"), F.lit(1))
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<p\b.*?(?:</p>|(?=<p\b)|\z))"), F.lit(1))
 
     def lines(block: Column) -> Column:
         text, warning = strip_tags(block), block.rlike(r'(?i)^<p[^>]*class="warn-highlight')

@@ -22,10 +22,15 @@ def _kept(items: Column, min_items: int) -> Column:
     return F.explode_outer(F.filter(F.array(items), lambda a: F.size(a) >= min_items))
 
 
+# Rows and cells end where the next one begins at the latest. No pattern here looks at a character twice, or deeper with every one.
+_ROW = r"(?is)<tr\b[^<>]*+>(.*?)(?:</tr>|(?=<tr\b)|\z)"
+_CELL = r"(?is)<td\b[^<>]*+>(.*?)(?:</td>|(?=<td\b)|\z)"
+
+
 def table_rows(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     """One row per ``<tr>`` with the text of its ``<td>`` cells; header rows have none."""
-    rows = _all(visible_html(html), r"(?is)<tr\b[^>]*>(.*?)</tr>")
-    cells = F.transform(_all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>"), strip_tags)
+    rows = _all(visible_html(html), _ROW)
+    cells = F.transform(_all(F.col("_tr"), _CELL), strip_tags)
     return (
         pages.select(*keep, _kept(rows, 1).alias("_rows"))
         .select(*keep, F.posexplode("_rows").alias("row_no", "_tr"))
@@ -60,8 +65,8 @@ def history_rejects(pages: DataFrame, html: str, keep: list[str], page_date: Col
     return cells.where(~F.coalesce(fits, F.lit(False))).select(*keep, "row_no", "cells")
 
 
-# A start tag; quoted values may hold any character.
-_ANCHOR = r"""(?i)(<a\s(?:[^>"']|"[^"]*"|'[^']*')*>)"""
+# A start tag; quoted values may hold any character, what is not quoted no other tag.
+_ANCHOR = r"""(?i)(<a\s(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>)"""
 
 
 def link_target(tag: Column) -> Column:
@@ -80,11 +85,11 @@ def page_links(pages: DataFrame, html: str, keep: list[str], min_links: int = 3)
 
 def station_directory(pages: DataFrame, html: str, state: str) -> DataFrame:
     """State pages -> station name, links of its row and state; rows with fewer than 3 linked cells are dropped."""
-    rows = _all(visible_html(html), r"(?is)<tr\b[^>]*>(.*?)</tr>")
+    rows = _all(visible_html(html), _ROW)
     row = pages.select(F.upper(state).alias("state"), _kept(rows, 1).alias("_rows")).select(
         "state", F.explode("_rows").alias("_tr")
     )
-    cells = _all(F.col("_tr"), r"(?is)<td\b[^>]*>(.*?)</td>")
+    cells = _all(F.col("_tr"), _CELL)
     links = F.filter(F.transform(cells, lambda c: link_target(F.get(_all(c, _ANCHOR), F.lit(0)))), lambda x: x.isNotNull())
     name = decode_entities(strip_tags(F.get(cells, F.lit(0))))
     found = row.select("state", "_tr", _kept(links, 3).alias("links")).where(F.col("links").isNotNull())

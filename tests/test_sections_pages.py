@@ -1,5 +1,7 @@
 import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from gustline.operators import sections
@@ -85,3 +87,27 @@ def test_station_directory(spark):
     page = spark.createDataFrame([("va", html)], "state string, html string")
     rows = pages.station_directory(page, "html", "state").collect()
     assert [(r.state, r.name, r.xml) for r in rows] == [("VA", "Washington", "KDCA.xml")]
+
+
+LONG = {
+    "<a without end": "<a " * 330_000, "<a and characters": "<a " + "x" * 1_000_000, "quotes": '<a "' * 250_000, "comments": "<!-- " * 200_000,
+    "scripts": "<script>" * 125_000, "rows": "<tr>" * 250_000, "cells": "<tr>" + "<td>" * 250_000, "row tags": "<tr " * 250_000, "brackets": "<" * 1_000_000,
+    "paragraphs": "<p>" * 330_000, "lines": "\n" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_megabyte_of_broken_markup(spark, name):
+    df = spark.createDataFrame([(1, "<p>ok</p>" + LONG[name])], "page_id long, html string").withColumn("state", F.lit("va"))
+    start = time.perf_counter()
+    pages.page_links(df, "html", ["page_id"], 1).count()
+    pages.table_rows(df, "html", ["page_id"]).select(F.sum(F.size("cells"))).collect()
+    pages.station_directory(df, "html", "state").select(F.count("links")).collect()
+    df.select(F.length(sections.paragraph_text("html"))).collect()
+    assert time.perf_counter() - start < 20
+
+
+def test_unclosed_rows_cells_and_comments(spark):
+    html = "<table><tr><td>a<td><b>b</b></td><tr class='x'><td>c</table><!-- <tr><td>no"
+    got = pages.table_rows(spark.createDataFrame([(1, html)], "i int, h string"), "h", ["i"]).orderBy("row_no").collect()
+    assert [r.cells for r in got] == [["a", "b"], ["c"]]
