@@ -13,10 +13,14 @@ from gustline.operators.quality import REQUIRED, is_current, is_suspect, not_bef
 from gustline.session import remove_folder
 
 
-def table_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 10_000) -> DataFrame:
-    """Parquet files of a folder as a file stream, with the schema of the files already there."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def table_stream(
+    spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 10_000, schema=None, recursive: bool = False
+) -> DataFrame:
+    """Parquet files of a folder as a file stream, with the given schema or that of the files already there. ``recursive`` takes the files of
+    its folders too, whatever these are called."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
