@@ -11,6 +11,7 @@ from gustline.operators.dedup import highwater_accept
 from gustline.operators.ordered import ROWS_PER_SLICE, ordered
 from gustline.operators.quality import REQUIRED, is_current, is_suspect, not_before_batch
 from gustline.session import remove_folder
+from gustline.streaming.state import KeyedState, folders
 
 
 def table_stream(
@@ -39,13 +40,6 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _write_state(df: DataFrame, path: str, batch_id: int) -> None:
-    """The state after this batch. The one before stays for a rerun of this batch; older ones go."""
-    _write_batch(df, path, batch_id)
-    if batch_id >= 2:
-        remove_folder(df.sparkSession, f"{path}/batch_id={batch_id - 2}")
-
-
 def clean_records(df: DataFrame, station: str, ts: str, required=REQUIRED, delay: str = "2 hours") -> DataFrame:
     """Flag suspect rows and drop repeated (station, time) records inside the watermark.
 
@@ -86,9 +80,10 @@ def start_clean_ingest(
     columns = stream.columns
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        keys = _state(batch.sparkSession, state, batch_id, schema)
         batch.persist()
         try:
+            stored = KeyedState(batch.sparkSession, state, schema, "_station")
+            keys = stored.read(batch, station, batch_id)
             high = keys.groupBy("_station").agg(F.max("_ts").alias("_stored"))
             scan = ordered(batch, [station], arrival, rows_per_slice).running_max("_run", F.col(ts), inclusive=False).done()
             scan = scan.join(high, _same(F.col(station), F.col("_station")), "left").drop("_station")
@@ -106,7 +101,7 @@ def start_clean_ingest(
             kept = both.join(newest, _same(F.col("_station"), F.col("_s"))).where(
                 F.col("_ts") >= F.col("_high") - F.make_dt_interval(hours=F.lit(delay_hours))
             )
-            _write_state(kept.select("_station", "_ts"), state, batch_id)
+            stored.write(kept.select("_station", "_ts"), batch_id)
             scan.unpersist()
         finally:
             batch.unpersist()
@@ -146,12 +141,6 @@ def start_side_table(rows: DataFrame, folder: str, checkpoint: str, continuous:
     return _start(rows, checkpoint, continuous).format("parquet").outputMode("append").start(folder)
 
 
-def _state(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{folder}/batch_id={batch_id - 1}")
-
-
 def start_highwater(
     stream: DataFrame,
     out: str,
@@ -172,15 +161,16 @@ def start_highwater(
     schema = f"_station {kinds[station]}, _stored {kinds[ts]}"
 
     def accept(batch: DataFrame, batch_id: int) -> None:
-        stored = _state(batch.sparkSession, state, batch_id, schema)
         batch.persist()
         try:
+            table = KeyedState(batch.sparkSession, state, schema, "_station")
+            stored = table.read(batch, station, batch_id)
             newer = batch.join(stored, _same(F.col(station), F.col("_station")), "left").drop("_station")
             newer = newer.where(F.col("_stored").isNull() | (F.col(ts) > F.col("_stored")))
             accepted = highwater_accept(newer.drop("_stored"), station, ts, arrival, rows_per_slice=rows_per_slice)
             _write_batch(accepted, out, batch_id)
             seen = stored.unionByName(batch.groupBy(F.col(station).alias("_station")).agg(F.max(ts).alias("_stored")))
-            _write_state(seen.groupBy("_station").agg(F.max("_stored").alias("_stored")), state, batch_id)
+            table.write(seen.groupBy("_station").agg(F.max("_stored").alias("_stored")), batch_id)
         finally:
             batch.unpersist()
 
@@ -209,25 +199,30 @@ def start_content_change(
     columns = stream.columns
 
     def changed(batch: DataFrame, batch_id: int) -> None:
-        stored = _state(batch.sparkSession, state, batch_id, schema)
         hashed = batch.withColumn("_md5", F.coalesce(F.md5(content), F.lit("null"))).persist()
         try:
+            table = KeyedState(batch.sparkSession, state, schema, "_station")
+            stored = table.read(hashed, station, batch_id)
             scan = ordered(hashed, [station], arrival, rows_per_slice).previous("_prev", "_md5").done()
             scan = scan.join(stored, _same(F.col(station), F.col("_station")), "left")
             before = F.coalesce(F.col("_prev._md5"), F.col("_stored"))
             _write_batch(scan.where(before.isNull() | (before != F.col("_md5"))).select(*columns), out, batch_id)
             last = hashed.groupBy(F.col(station).alias("_station")).agg(F.max_by("_md5", F.struct(*arrival)).alias("_new"))
-            # a station that this batch does not name keeps what it has
+            # a station of these buckets that this batch does not name keeps what it has
             both = stored.withColumn("_age", F.lit(0)).unionByName(
                 last.select("_station", F.col("_new").alias("_stored"), F.lit(1).alias("_age"))
             )
-            _write_state(both.groupBy("_station").agg(F.max_by("_stored", "_age").alias("_stored")), state, batch_id)
+            table.write(both.groupBy("_station").agg(F.max_by("_stored", "_age").alias("_stored")), batch_id)
         finally:
             hashed.unpersist()
 
     return _start(stream, checkpoint, continuous).foreachBatch(changed).start()
 
 
+# Shares of this many batches are added up into one table, so that what a reader lists and reads stays small.
+FOLD = 64
+
+
 def start_tumbling(
     stream: DataFrame,
     out: str,
@@ -237,25 +232,51 @@ def start_tumbling(
     value: str,
     width: str = "1 day",
     continuous: str | None = None,
+    undated: str | None = None,
+    fold: int = FOLD,
 ) -> StreamingQuery:
     """Count and extremes per station and tumbling window.
 
     Each batch writes its own share of every window it touches, and :func:`read_tumbling` adds the shares up. There is no
-    state and no watermark, so a row counts however late it comes.
+    state and no watermark, so a row counts however late it comes. After every ``fold`` batches their shares are added up once; a batch
+    that is run again after that changes nothing. Rows without a time belong to no window: they are written to the table ``undated``, or
+    counted there under a window that is NULL if no table is named.
     """
+    columns = stream.columns
+
     def share(batch: DataFrame, batch_id: int) -> None:
-        shares = (
-            event_time(batch, ts)
-            .groupBy(station, F.window("event_time", width).alias("_w"))
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.max(value).alias("max_value"), F.min(value).alias("min_value"))
+        spark = batch.sparkSession
+        if undated:
+            _write_batch(batch.where(F.col(ts).isNull()).select(*columns), undated, batch_id)
+        timed = batch.where(F.col(ts).isNotNull()) if undated else batch
+        # a window function drops rows without a time, so these are given one and lose it again
+        known = event_time(timed, ts).withColumn("_when", F.coalesce("event_time", F.timestamp_micros(F.lit(0).cast("bigint"))))
+        window = F.when(F.col("event_time").isNotNull(), F.unix_micros(F.window("_when", width)["start"]))
+        shares = known.withColumn("window_micros", window).groupBy(station, "window_micros").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.max(value).alias("max_value"), F.min(value).alias("min_value")
         )
-        _write_batch(shares.withColumn("window_micros", F.unix_micros("_w.start")).drop("_w"), out, batch_id)
+        _write_batch(shares, out, batch_id)
+        if batch_id % fold == fold - 1:
+            read_tumbling(spark, out, station, batch_id).write.mode("overwrite").parquet(f"{out}/upto={batch_id}")
+            for place in [p for b, p in folders(spark, out, "batch_id=").items() if int(b) < batch_id]:
+                remove_folder(spark, place)
+            for place in [p for b, p in folders(spark, out, "upto=").items() if int(b) < batch_id]:
+                remove_folder(spark, place)
 
     return _start(stream, checkpoint, continuous).foreachBatch(share).start()
 
 
-def read_tumbling(spark: SparkSession, out: str, station: str) -> DataFrame:
-    """All windows, their shares added up."""
-    return spark.read.parquet(out).groupBy(station, "window_micros").agg(
+def _finished(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_tumbling(spark: SparkSession, out: str, station: str, last: int | None = None) -> DataFrame:
+    """All windows, their shares added up; with ``last`` only those of the batches up to it, as far as they are not folded yet."""
+    folded = {int(b): p for b, p in folders(spark, out, "upto=").items() if _finished(spark, p) and (last is None or int(b) < last)}
+    newest = max(folded, default=-1)
+    paths = [p for b, p in folders(spark, out, "batch_id=").items() if int(b) > newest and (last is None or int(b) <= last)]
+    shares = spark.read.parquet(*([folded[newest]] if folded else []), *paths)
+    return shares.groupBy(station, "window_micros").agg(
         F.sum("n_rows").alias("n_rows"), F.max("max_value").alias("max_value"), F.min("min_value").alias("min_value")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gustline.operators import dedup, project
 from gustline.sources import observations
 from gustline.streaming import ingest
+from gustline.streaming.state import KeyedState, folders
 from tests.test_sources_sinks import RECORD
 
 SCHEMA = "station string, ts timestamp_ntz, arrival int, v double"
@@ -68,17 +69,17 @@ def test_highwater_stream_survives_a_failed_batch(spark, landing, tmp_path, monk
     run = lambda: ingest.start_highwater(
         ingest.table_stream(spark, folder, files_per_batch=1), *names, "station", "ts", ["arrival"]
     ).awaitTermination()
-    write = ingest._write_batch
+    write = KeyedState.write
 
-    def failing(df, path, batch_id):
-        if path == names[1] and batch_id == 2:
+    def failing(state, df, batch_id):
+        if batch_id == 2:
             raise RuntimeError("lost after the output, before the state")
-        write(df, path, batch_id)
+        write(state, df, batch_id)
 
-    monkeypatch.setattr(ingest, "_write_batch", failing)
+    monkeypatch.setattr(KeyedState, "write", failing)
     with pytest.raises(StreamingQueryException):
         run()
-    monkeypatch.setattr(ingest, "_write_batch", write)
+    monkeypatch.setattr(KeyedState, "write", write)
     run()
     want = dedup.highwater_accept(batch, "station", "ts", ["arrival"])
     assert rows_of(spark.read.parquet(names[0]), "station", "arrival") == rows_of(want, "station", "arrival")
@@ -109,7 +110,7 @@ def test_content_change_stream(spark, tmp_path, files):
     found = [tuple(r) for r in spark.read.parquet(names[0]).select("station", "content", "t").orderBy("t").collect()]
     assert found == [("K", "a", 0), (None, "same", 1), ("K", "b", 4), ("K", "a", 6), ("K", None, 8)]
     if files == 1:
-        assert len([n for n in os.listdir(names[1]) if n.startswith("batch_id")]) == 2
+        assert all(len(folders(spark, p, "version=")) == 2 for p in folders(spark, names[1], "bucket=").values())
 
 
 @pytest.mark.parametrize("files", [1, 10])
@@ -199,3 +200,42 @@ def test_late_rule(spark):
     day = F.lit("2021-01-02").cast("date")
     assert sorted(r.id for r in ingest.late_rows(df, "o", F.col("n"), day).collect()) == [2, 3, 4]
     assert [r.id for r in ingest.drop_late(df, "o", F.col("n"), day).collect()] == [1]
+
+
+def test_state_is_kept_per_bucket_and_survives_a_rerun(spark, tmp_path):
+    schema = "_station string, _stored int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    table = lambda: KeyedState(spark, str(tmp_path / "state"), schema, "_station")
+    everyone = [(f"s{i}", 0) for i in range(200)] + [(None, 0)]
+    first = table()
+    assert first.read(frame(everyone), "_station", 0).count() == 0
+    first.write(frame(everyone), 0)
+    for batch_id in (1, 2, 2, 3):
+        one = table()
+        seen = one.read(frame([("s7", 0)]), "_station", batch_id)
+        assert {r._station: r._stored for r in seen.collect()}["s7"] == (0 if batch_id == 1 else batch_id - 1)
+        assert seen.count() < 30
+        one.write(seen.withColumn("_stored", F.when(F.col("_station") == "s7", batch_id).otherwise(F.col("_stored"))), batch_id)
+    versions = {b: sorted(int(v) for v in folders(spark, p, "version=")) for b, p in folders(spark, str(tmp_path / "state"), "bucket=").items()}
+    assert sorted(map(tuple, versions.values()))[-1] == (2, 3) and sum(v == [0] for v in versions.values()) == len(versions) - 1
+    last = table()
+    got = {r._station: r._stored for r in last.read(frame(everyone), "_station", 4).collect()}
+    assert got == {s: 3 if s == "s7" else 0 for s, _ in everyone}
+
+
+def test_tumbling_shares_are_folded_and_rows_without_time_are_kept(spark, landing, tmp_path):
+    folder, batch = landing
+    spark.createDataFrame([("hot", None, 900, 5.0), (None, None, 901, None)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    want = batch.groupBy("station", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.max("v").alias("hi"))
+    for fold, undated in ((1, None), (2, str(tmp_path / "undated")), (64, None)):
+        out = str(tmp_path / f"out{fold}")
+        stream = ingest.table_stream(spark, folder, files_per_batch=1)
+        ingest.start_tumbling(stream, out, str(tmp_path / f"cp{fold}"), "station", "ts", "v", undated=undated, fold=fold).awaitTermination()
+        got = ingest.read_tumbling(spark, out, "station").withColumn("d", F.to_date(F.timestamp_micros("window_micros")))
+        timed = got.where("window_micros is not null")
+        assert rows_of(timed, "station", "d", "n_rows", "max_value") == rows_of(want, "station", "d", "n", "hi")
+        others = sorted((r.station or "", r.n_rows, r.max_value) for r in got.where("window_micros is null").collect())
+        assert others == ([] if undated else [("", 1, None), ("hot", 1, 5.0)])
+        assert len(folders(spark, out, "batch_id=")) == {1: 1, 2: 2, 64: 5}[fold] and len(folders(spark, out, "upto=")) == {1: 1, 2: 1, 64: 0}[fold]
+        if undated:
+            assert spark.read.parquet(undated).count() == 2
