@@ -28,10 +28,12 @@ from gustline.llm.vectors import SAMPLE_ROWS, fit_centroids, matrix, nearest, us
 K = 20
 # Share of the lists that a query probes. Vectors without clusters need this many; measured recall is in the README.
 PROBE_SHARE = 0.75
-MAX_LISTS = 4096
+# A small table has half as many lists as the root of its rows; a large one as few as hold a block of rows each, because every list and every
+# block that a query meets is a copy of the query.
+FEW_LISTS, MAX_LISTS = 32, 4096
 # Rows of the sample that bound the distances, scanned once per query.
 REFERENCE_ROWS = 4096
-LIST_BLOCK, QUERY_BLOCK = 4096, 1024
+LIST_BLOCK, QUERY_BLOCK = 16_384, 4096
 # Columns per step of the scan, rows taken before bounds are renewed, and the width of the test in standard errors.
 COLUMN_BLOCK, SCAN_ROWS, WIDTH = 16, 1024, 2.1
 
@@ -178,7 +180,7 @@ def nearest_neighbours(
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
     plain, sample_ids = matrix(sample["vector"], dimension), sample["id"].to_numpy()
     fitted = lengthened(plain, largest)
-    lists = max(1, min(MAX_LISTS, round(math.sqrt(n) / 2)))
+    lists = max(1, min(FEW_LISTS, round(math.sqrt(n) / 2)), min(MAX_LISTS, math.ceil(n / LIST_BLOCK)))
     centroids = fit_centroids(fitted, lists, spherical=False)
     lists = len(centroids)
     probes = max(1, math.ceil(probe_share * lists))

@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gustline.llm.tables import BROADCAST_IDS, written
@@ -32,8 +32,8 @@ SHARE, MAX_REPEATS = 1.5, 2.0
 BLOCK_DOCUMENTS = 64
 BLOCKS_PER_SHARD = 256
 BUCKET_DOCUMENTS = 5_000
-# Sources are a dimension: their totals are held on the driver, up to this many.
-MAX_SOURCES = 1_000_000
+# Sources are a dimension: their totals (some 100 bytes each) are held on the driver. Tables with a row per source are broadcast up to this many.
+BROADCAST_SOURCES = 100_000
 # A prime above any number of blocks of a source that fits the tree (10**9), so multiplying by it permutes the blocks.
 _STRIDE = 2_654_435_761
 
@@ -82,9 +82,17 @@ def leaf_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple
     return first, here
 
 
-def _walk(quotas: list[int], shards: int, seed: int):
+def _per_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with a row per source, ready to be joined with large ones."""
+    side = spark.createDataFrame(rows, schema)
+    return F.broadcast(side) if len(rows) <= BROADCAST_SOURCES else side
+
+
+def _walk(quotas, shards: int, seed: int):
+    """Blocks of each source for the shards of a task; ``quotas`` is a broadcast array."""
+
     def run(batches):
-        own = np.array(quotas, np.int64)
+        own = quotas.value
         for batch in batches:
             for shard in batch["id"]:
                 first, count = leaf_quotas(own, shards, int(shard), seed)
@@ -126,7 +134,7 @@ def _fill(rows: DataFrame, gaps: dict[int, float], documents: int) -> DataFrame:
     over: dict[int, tuple[float, int, int]] = {}
     misses: dict[int, float] = {}
     while gaps:
-        side = F.broadcast(spark.createDataFrame(list(gaps.items()), "s long, gap double"))
+        side = _per_source(spark, list(gaps.items()), "s long, gap double")
         fits = F.col("size") <= F.col("gap")
         near = left.join(side, "s").groupBy("s").agg(
             F.max(F.when(fits, F.col("size"))).alias("largest"), F.min(F.when(~fits, F.col("size"))).alias("next")
@@ -144,7 +152,7 @@ def _fill(rows: DataFrame, gaps: dict[int, float], documents: int) -> DataFrame:
         if not limits:
             break
         # of equally large ones the first in hash order
-        side = F.broadcast(spark.createDataFrame(limits, "s long, least long, most double"))
+        side = _per_source(spark, limits, "s long, least long, most double")
         some = left.join(side, "s").where("size BETWEEN least AND most").drop("least")
         some = _ranked(some, documents).where("cum <= most").select("s", "row", "h", "size", F.lit(number).alias("round"))
         some = written(some, "mix-fill")
@@ -158,9 +166,9 @@ def _fill(rows: DataFrame, gaps: dict[int, float], documents: int) -> DataFrame:
     if picked is None:
         picked = rows.where("false").withColumn("round", F.lit(0))
     if over:
-        stops = spark.createDataFrame([(s, n, size) for s, (_, n, size) in over.items()], "s long, stop int, last long")
-        picked = picked.join(F.broadcast(stops), "s", "left").where("stop IS NULL OR round < stop").drop("stop", "last")
-        last = rows.join(F.broadcast(stops), "s").where("size = last").join(picked.select("row"), "row", "left_anti")
+        stops = _per_source(spark, [(s, n, size) for s, (_, n, size) in over.items()], "s long, stop int, last long")
+        picked = picked.join(stops, "s", "left").where("stop IS NULL OR round < stop").drop("stop", "last")
+        last = rows.join(stops, "s").where("size = last").join(picked.select("row"), "row", "left_anti")
         last = last.groupBy("s").agg(F.min(F.struct("h", "row", "size")).alias("first")).select("s", "first.*")
         picked = picked.drop("round").unionByName(last.select("s", "row", "h", "size"))
     return picked.select("s", "row", "h", "size")
@@ -176,9 +184,7 @@ def plan_mix(
     """
     spark = sized.sparkSession
     per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    found = per_source.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = per_source.collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares code points
     sizes = [r["words"] for r in found]
     targets = source_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, max_repeats)
@@ -188,11 +194,9 @@ def plan_mix(
         (i, r["source"], r["words"], targets[i], passes[i], rests[i], r["n"], -(-r["n"] // BLOCK_DOCUMENTS))
         for i, r in enumerate(found)
     ]
-    side = spark.createDataFrame(
-        numbered, "s long, _source string, source_size long, target double, passes int, rest double, n long, pass_blocks long"
+    side = _per_source(
+        spark, numbered, "s long, _source string, source_size long, target double, passes int, rest double, n long, pass_blocks long"
     )
-    if len(found) <= 100_000:
-        side = F.broadcast(side)
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
     rows = written(_ranked(rows, sum(r["n"] for r in found)), "mix-rows")
@@ -204,8 +208,8 @@ def plan_mix(
     documents = sum(r["n"] for r in found)
     # fillers follow the head: places in the order from the head's end
     extra = _ranked(_fill(rows.where(~head), gaps, documents), documents)
-    heads = spark.createDataFrame([(i, head_n.get(i, 0)) for i in range(len(found))], "s long, head_n long")
-    extra = extra.join(F.broadcast(heads), "s").select("row", (F.col("idx") + F.col("head_n")).alias("filler"), F.col("s").alias("_s"))
+    heads = _per_source(spark, [(i, head_n.get(i, 0)) for i in range(len(found))], "s long, head_n long")
+    extra = extra.join(heads, "s").select("row", (F.col("idx") + F.col("head_n")).alias("filler"), F.col("s").alias("_s"))
     extra = written(extra, "mix-fillers")
     fillers = {r["_s"]: r["count"] for r in extra.groupBy("_s").count().collect()}
     extra = extra.drop("_s")
@@ -219,11 +223,11 @@ def plan_mix(
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), taken))).where(taken > 0)
     place = F.when(F.col("copy") > F.col("passes"), F.coalesce("filler", "idx")).otherwise(F.col("idx"))
     block = F.floor(place / BLOCK_DOCUMENTS) + (F.col("copy") - 1) * F.col("pass_blocks")
-    quota = F.get(F.array(*[F.lit(q) for q in quotas] or [F.lit(1)]), F.col("s").cast("int"))
-    drawn = drawn.withColumn("block", (block * _STRIDE + seed) % quota)
+    drawn = drawn.join(_per_source(spark, list(enumerate(quotas)), "s long, quota long"), "s")
+    drawn = drawn.withColumn("block", (block * _STRIDE + seed) % F.col("quota"))
 
     shards = max(1, -(-sum(quotas) // BLOCKS_PER_SHARD))
-    dealt = spark.range(shards).mapInPandas(_walk(quotas, shards, seed), "shard long, s long, first long, count long")
+    dealt = spark.range(shards).mapInPandas(_walk(spark.sparkContext.broadcast(np.array(quotas, np.int64)), shards, seed), "shard long, s long, first long, count long")
     dealt = dealt.select(
         "shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("block")
     )

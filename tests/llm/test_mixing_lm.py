@@ -196,3 +196,12 @@ def test_lm_without_training_text_or_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     (row,) = lm.score_documents(spark.createDataFrame([(held, "a b")], schema)).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.base_score == 0.0
+
+
+def test_twenty_thousand_sources(spark):
+    df = spark.range(60_000).selectExpr(
+        "id AS doc_id", "repeat('w ', cast(1 + id % 7 AS int)) AS text", "cast(id % 20000 AS string) AS source"
+    )
+    rows = mixing.mix_report(df).agg(F.sum("size"), F.sum("taken"), F.count("*"), F.max(F.col("taken") - 2 * F.col("size"))).first()
+    assert rows[2] == 60_000 and rows[3] <= 0
+    assert abs(rows[1] / rows[0] - 1.5) < 0.2
