@@ -153,7 +153,7 @@ def identify(
     Missing evidence (NULL) says nothing. A row without a trigram and without a declaration is ``und`` with confidence 0 and
     rejected, as is every row if there is no labelled row to fit a model on; a row whose best belief is below
     ``LEAST_CONFIDENCE`` is rejected under its best language. Equal beliefs go to the first language by name. Repeated rows stay. An empty table gives an empty
-    result. Other columns are not read.
+    result. Other columns are not read. Every trigram of a very long text counts.
     """
     languages, table = model
     k = len(languages)

@@ -143,7 +143,8 @@ def find_licenses(
 
     With ``wrapped`` a sentence is one line or several, up to an empty line, and ``WORDINGS`` count too. With ``joined`` a single line end is a blank and only an empty line ends a sentence, for texts wrapped at a fixed width.
     A NULL or empty text, or one without a known sentence, has empty texts and 0. Repeated rows stay rows of their own. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read. With ``wrapped`` very long texts are searched whole, in a time that grows
+    with their length.
     """
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     if joined:

@@ -359,8 +359,9 @@ def score_documents(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: ``id_column, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``base_score`` is the log10 probability under the smoothed unigram model of the training tokens, ``score`` that under the
-    trained model; both count the end of the document. A NULL or empty text is the end alone. Repeated rows stay. An empty table
-    gives an empty result. Other columns are not read.
+    trained model; both count the end of the document. A NULL or empty text is the end alone. Repeated rows stay, a NULL id is in training.
+    An empty table gives an empty result. Very long texts are scored whole. Other columns are not read. Steps of training tasks are averaged,
+    so ``score`` depends on the number of partitions.
     """
     held = held_out if held_out is not None else held_out_of(F.col(f"`{id_column}`"))
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"), held.alias("held"))

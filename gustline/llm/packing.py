@@ -151,7 +151,9 @@ def token_pieces(
 ) -> DataFrame:
     """``doc, piece, start, length, ids_crc32`` and, if asked for, ``ids``, of all documents.
 
-    A NULL or empty text is one piece that holds the end id. Repeated rows are documents of their own.
+    A NULL or empty text is one piece that holds the end id. Repeated rows are documents of their own. Very long texts are tokenised whole
+    and cut into as many pieces as they need. A NULL id stays NULL. An empty table gives an empty result. Other columns, whatever their
+    names, are not read.
     """
     docs = df.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = "doc long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
@@ -391,6 +393,6 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
 
 
 def packing_report(df: DataFrame, vocabulary: str, **settings) -> DataFrame:
-    """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; odd cases as in :func:`token_pieces`."""
     pieces = token_pieces(df, vocabulary, with_ids=False, **settings)
     return pack(pieces, settings.get("capacity", CAPACITY)).withColumnRenamed("doc", settings.get("id_column", "doc_id"))

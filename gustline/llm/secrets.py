@@ -169,8 +169,8 @@ def find_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """One row per input row: ``id_column``, ``text_key`` (hash of the text), ``base``, ``added``: arrays of
     ``kind, start, end`` in code points, end exclusive, by start and then by kind; and ``base_sha256``.
 
-    A NULL or empty text has no span. Repeated rows are rows of their own. An empty table gives an empty result. Other columns
-    are not read.
+    A NULL or empty text has no span. Repeated rows are rows of their own. An empty table gives an empty result. Other columns, whatever
+    their names, are not read. Texts are scanned whole, in a time that grows with their length.
     """
     texts = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     found = texts.select("id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(

@@ -295,7 +295,8 @@ def archived_pages(records: DataFrame) -> DataFrame:
 
 
 def round_trip(df: DataFrame) -> DataFrame:
-    """Write an archive of ``pages`` to the shared folder and read it back."""
+    """Write an archive of ``pages`` to the shared folder and read it back; odd rows as in :func:`write_warc`. Very long pages are records
+    of several members; repeated rows are records of their own; an empty table gives an empty result; other columns are not read."""
     path = fresh_folder(df.sparkSession, "warc")
     write_warc(df, path)
     return archived_pages(read_warc(df.sparkSession, path))
