@@ -7,6 +7,8 @@ other, other text in between allowed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +87,59 @@ WORDINGS = {
     "that the above copyright notice and this permission notice appear in all copies": "isc_grant",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc_by_sa4_reference",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc_by_nc4_reference",
+    "this code is licensed under the mit license": "mit_reference_2",
+    "this project is licensed under the mit license": "mit_reference_2",
+    "this software is licensed under the mit license": "mit_reference_2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software "
+    "foundation": "gpl_terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free "
+    "software foundation": "gpl2_terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+    "software foundation": "lgpl_terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+    "software foundation either version 3 of the license or at your option any later version": "lgpl3_share",
+    "either version 2 of the license or at your option any later version": "version2_or_later",
+    "either version 2 1 of the license or at your option any later version": "version2_1_or_later",
+    "either version 3 of the license or at your option any later version": "version3_or_later",
+    "boost software license version 1 0 august 17th 2003": "bsl1_title",
+    "distributed under the boost software license version 1 0": "bsl1_reference",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+    "redistribute it freely subject to the following restrictions": "zlib_grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+    "available at https www eclipse org legal epl 2 0": "epl2_reference",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software "
+    "to the public domain worldwide": "cc0_dedication",
 }
-WORDING_RULES = (("MIT", ("mit_grant", "mit_notice")),)
+# Short names of licences as they stand behind ``SPDX-License-Identifier:``; each is a sentence and a rule of its own.
+SHORT_NAMES = (
+    "Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense",
+    "BSL-1.0", "Zlib", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+
+
+def _short(name: str) -> tuple[str, str]:
+    """The sentence of a short name as it reads after normalising, and its identifier."""
+    words = re.sub("[^a-z0-9]+", " ", name.lower())
+    return f"spdx license identifier {words}", "spdx_" + words.replace(" ", "_")
+
+
+WORDINGS |= dict(map(_short, SHORT_NAMES))
+WORDING_RULES = (
+    ("MIT", ("mit_grant", "mit_notice")),
+    ("GPL-2.0-only", ("gpl2_terms",)),
+    ("GPL-2.0-or-later", ("gpl_terms", "version2_or_later")),
+    ("GPL-3.0-or-later", ("gpl_terms", "version3_or_later")),
+    ("LGPL-2.1-or-later", ("lgpl_terms", "version2_1_or_later")),
+    ("LGPL-3.0-or-later", ("lgpl3_share",)),
+    ("LGPL-3.0-or-later", ("lgpl_terms", "version3_or_later")),
+    ("BSL-1.0", ("bsl1_title",)),
+    ("BSL-1.0", ("bsl1_reference",)),
+    ("Zlib", ("zlib_grant",)),
+    ("EPL-2.0", ("epl2_reference",)),
+    ("CC0-1.0", ("cc0_dedication",)),
+    *((name, (_short(name)[1],)) for name in SHORT_NAMES),
+)
 # The part of a sentence that differs between notices, in normalised words, and what stands for it in SENTENCES.
 VARYING = (r"neither the name of [a-z0-9 ]{1,200}? nor the names of its contributors ", "neither the name of the copyright holder nor the names of its contributors ")
 # A sentence ends at a line end, or at . ! ? ; : before a blank. Lines of one sentence may be joined first, see ``joined``.
@@ -120,7 +173,9 @@ def _wrapped_sentences(text: Column) -> Column:
     letter or digit (as between the paragraphs of a comment), end a sentence and are two line ends here.
     """
     known = {words: name for name, words in SENTENCES.items()} | WORDINGS
-    lines = F.regexp_replace(F.lower(text), r"(?<![.!?;:])[.!?;:]++(?:[ \t\f\r]*+\n|[ \t\f\r]++)", "\n\n")
+    # the colon before a short name ends no sentence
+    lines = F.regexp_replace(F.lower(text), r"(spdx-license-identifier)[ \t]{0,8}:", "$1 ")
+    lines = F.regexp_replace(lines, r"(?<![.!?;:])[.!?;:]++(?:[ \t\f\r]*+\n|[ \t\f\r]++)", "\n\n")
     lines = F.regexp_replace(lines, r"\n(?:[^a-z0-9\n]*+\n)++", "\n\n")
     lines = F.trim(F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]++", " "), r" ?\n ?", "\n"))
     # the longest first, and any line end inside

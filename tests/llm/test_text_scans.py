@@ -352,3 +352,48 @@ def test_language_sample_of_repeated_and_missing_ids(spark):
     assert languages == ["en", "fr"]
     known = language.identify_documents(df.withColumn("source", F.lit("s")))
     assert known.count() == len(rows) and known.where("language = 'en'").count() > 6900
+
+
+MORE_NOTICES = {
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+""",
+    "LGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Lesser General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""",
+    "GPL-2.0-or-later": """// This program is free software; you can redistribute it and/or modify it
+// under the terms of the GNU General Public License as published by the
+// Free Software Foundation; either version 2 of the License, or (at your
+// option) any later version.
+""",
+    "GPL-2.0-only": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License version 2 as
+# published by the Free Software Foundation.
+""",
+    "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)\n",
+    "Zlib": """  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:
+""",
+    "EPL-2.0": """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/
+""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide. This software is distributed without any warranty.
+""",
+    "MIT": "This code is licensed under the MIT license.\n",
+}
+
+
+def test_more_notices_and_short_names(spark):
+    texts = [f"int x;\n{text}\nint main() {{}}" for text in MORE_NOTICES.values()]
+    texts += [f"/* SPDX-License-Identifier: {name} */\ncode" for name in licenses.SHORT_NAMES]
+    texts += ["// SPDX-License-Identifier:MIT", "SPDX-License-Identifier: No-Such-1.0", "a license by MIT", "either version 2 of the License, or (at your option) any later version."]
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(frame(spark, texts), wrapped=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [*MORE_NOTICES, *licenses.SHORT_NAMES, "MIT", "", "", ""]
