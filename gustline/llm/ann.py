@@ -35,7 +35,9 @@ FEW_LISTS, MAX_LISTS = 32, 4096
 REFERENCE_ROWS = 4096
 LIST_BLOCK, QUERY_BLOCK = 16_384, 4096
 # Columns per step of the scan, rows taken before bounds are renewed, and the width of the test in standard errors.
-COLUMN_BLOCK, SCAN_ROWS, WIDTH = 16, 1024, 2.1
+COLUMN_BLOCK, SCAN_ROWS, WIDTH = 16, 512, 2.1
+# Above this share of living pairs a column block is computed for all pairs of a step at once.
+DENSE_SHARE = 0.02
 
 
 def rotation(dimension: int, seed: int = 7) -> np.ndarray:
@@ -53,6 +55,18 @@ def lengthened(rows: np.ndarray, largest: float | None) -> np.ndarray:
     return np.column_stack([rows, extra])
 
 
+def _block_norms(rows: np.ndarray) -> np.ndarray:
+    """Squared length of each row within each column block."""
+    starts = np.arange(0, rows.shape[1], COLUMN_BLOCK)
+    return np.add.reduceat(rows * rows, starts, axis=1) if len(rows) else np.zeros((0, len(starts)))
+
+
+def _test(bounds: np.ndarray, done: int, size: int) -> np.ndarray:
+    """Partial distances over the first ``done`` columns beyond which a pair is given up: its whole distance is then above the bound but for
+    a chance set by WIDTH. With all columns seen the bound itself decides."""
+    return bounds * (done / size) * (1 + WIDTH / math.sqrt(done)) ** 2 if done < size else bounds
+
+
 def adaptive_scan(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that may be among the k nearest of a query, all columns rotated already.
 
@@ -62,30 +76,37 @@ def adaptive_scan(queries: np.ndarray, rows: np.ndarray, bounds: np.ndarray, k:
     bounds = bounds.copy()
     best = np.full((len(queries), k), np.inf)
     kept_q, kept_x, kept_d = [], [], []
+    norms = _block_norms(queries), _block_norms(rows)
     for at in range(0, len(rows), SCAN_ROWS):
         part = rows[at : at + SCAN_ROWS]
-        first = min(COLUMN_BLOCK, size)
-        q, x = queries[:, :first], part[:, :first]
-        partial = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
-        test = bounds * (first / size) * (1 + WIDTH / math.sqrt(first)) ** 2 if first < size else bounds
-        qi, xi = np.nonzero(partial <= (test + 1e-9)[:, None])
+        partial, alive, done = np.zeros((len(queries), len(part))), None, 0
+        # while many pairs live, a column block is one product for all of them
+        while done < size and (alive is None or alive.mean() > DENSE_SHARE):
+            high = min(size, done + COLUMN_BLOCK)
+            block = done // COLUMN_BLOCK
+            partial -= 2.0 * (queries[:, done:high] @ part[:, done:high].T)
+            partial += norms[0][:, block, None] + norms[1][at : at + SCAN_ROWS, block]
+            done = high
+            alive = partial <= (_test(bounds, done, size) + 1e-9)[:, None]
+        qi, xi = np.nonzero(alive)
         distance = partial[qi, xi]
-        done = first
+        # the few that are left go on one by one
         while done < size and len(qi):
             high = min(size, done + COLUMN_BLOCK)
             difference = queries[qi, done:high] - part[xi, done:high]
             distance = distance + (difference * difference).sum(axis=1)
             done = high
-            test = bounds * (done / size) * (1 + WIDTH / math.sqrt(done)) ** 2 if done < size else bounds
-            keep = distance <= test[qi] + 1e-9
+            keep = distance <= _test(bounds, done, size)[qi] + 1e-9
             qi, xi, distance = qi[keep], xi[keep], distance[keep]
         keep = xi + at != own[qi]
         qi, xi, distance = qi[keep], xi[keep] + at, distance[keep]
         kept_q.append(qi)
         kept_x.append(xi)
         kept_d.append(distance)
-        for i in np.unique(qi):
-            near = distance[qi == i] if len(qi) < 64 else distance[np.searchsorted(qi, i) : np.searchsorted(qi, i, "right")]
+        # pairs are in the order of their queries
+        edges = np.searchsorted(qi, np.arange(len(queries) + 1))
+        for i in np.flatnonzero(np.diff(edges)):
+            near = distance[edges[i] : edges[i + 1]]
             merged = np.concatenate([best[i], near])
             best[i] = np.partition(merged, k - 1)[:k]
             bounds[i] = min(bounds[i], best[i].max())
