@@ -1,6 +1,7 @@
-"""Free-form dates: a text is split into tokens, each token is classified, and the order of the numbers is solved from what they can be.
+"""Free-form dates: one pattern takes a text apart, drops what carries no date and leaves month names and numbers, whose order is then
+solved from what they can be.
 
-All of it is built-in functions on arrays, so it stays in the JVM and no pattern is tried in vain.
+All of it is built-in functions, so it stays in the JVM; the pattern is possessive, so no part of a text is tried twice.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ PASSED_OVER = (
     "cdt", "mst", "mdt", "pst", "pdt", "akst", "akdt", "hst", "chst", "sst", "ast", "adt",
 )
 
-# A clock time, an hour with am or pm, the time behind a T, a zone offset behind a time, a word, a number, any other sign.
-_TOKEN = (
-    r"(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{1,2}(?=\s?[ap]\.?m\b)|(?<=\dt)\d{2,6}|(?<=:\d\d\s?|:\d\d\.\d{3}\s?|m\s|t\d{4}|t\d{6})[+-]\d{2}:?\d{2}\b"
-    r"|[a-z]+|\d+|[^\sa-z\d])"
-)
-_CLOCK = r"^\d{1,2}:\d{2}|^[+-]\d"
-_SEPARATORS = ("-", "/", ".", ",", "'")
+# A clock time, a zone offset behind a time, the hour before am or pm, a T and the time behind it.
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?"
+_OFFSET = r"(?<=:\d\d\s?|:\d\d\.\d{3}\s?|m\s|t\d{4}|t\d{6})[+-]\d{2}:?\d{2}\b"
+_HOUR = r"\d{1,2}+(?!\d)(?=\s*+[ap]m?+(?![a-z]))"
+_BEHIND_T = rf"t(?![a-z])(?:(?<=\dt)(?!{_CLOCK})\d{{1,6}}+|\s*+(?!{_CLOCK})\d{{1,14}}+(?!\d))?+"
+_SEPARATORS = r"[\s/.,']++"
 # Years of two digits from this one on are in the last century.
 CENTURY_FROM = 70
 
@@ -38,41 +38,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _lookup(pairs: dict[str, int], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), key)
+def _passed_over() -> str:
+    """What carries no date."""
+    words = {*PASSED_OVER, *WEEKDAYS, *(d[:3] for d in WEEKDAYS), "tues", "thur", "thurs"}
+    starts = "|".join(
+        f"{c}(?:{'|'.join(sorted(w[1:] for w in words if w[0] == c))})" for c in sorted({w[0] for w in words})
+    )
+    return rf"{_SEPARATORS}|(?=\d)(?:{_CLOCK}|{_HOUR})|(?=[a-z])(?:{_BEHIND_T}|(?:{starts})(?![a-z]))|{_OFFSET}|-"
 
 
-def _kinds() -> dict[str, int]:
-    """Words: 1 to 12 is a month, 0 is passed over."""
-    found = dict.fromkeys((*PASSED_OVER, *WEEKDAYS, *(d[:3] for d in WEEKDAYS), "tues", "thur", "thurs"), 0)
-    for number, name in enumerate(MONTHS, 1):
-        found[name] = found[name[:3]] = number
-    return found | {"sept": 9}
+def _month_names() -> str:
+    """The first three letters of a month name, from a word that is one."""
+    rest = {name[:3]: name[3:] for name in MONTHS} | {"sep": "t(?:ember)?"}
+    return "|".join(f"{short}(?=(?:{more})?(?![a-z]))" for short, more in rest.items())
 
 
-def _classified(token: Column, before: Column, after: Column) -> Column:
-    """``kind`` (m month, n number, - nothing, ? unknown), ``value`` and ``size`` of a token, from it and the tokens beside it."""
-    none = F.lit(None).cast("int")
-    clock = token.rlike(_CLOCK)
-    # a number before am or pm, or one of 2 to 6 digits right behind a T, is a time
-    time = (after.isin("am", "pm", "a", "p") & (F.length(token) <= 2)) | (before == "t")
-    digits = token.rlike(r"^\d{1,14}$")
-    word = _lookup(_kinds(), token)
+# A month name, or any other word, number or sign, with what carries no date before it (at the start of the text only) and behind it.
+_PASSED = f"(?:{_passed_over()})*+"
+_KEPT = rf"(?:^{_PASSED})?(?:(?:(\d++|[^\sa-z\d])|({_month_names()})[a-z]*+|([a-z]++)){_PASSED}|\z)"
 
-    def as_token(kind: str, value: Column, size: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), size.alias("size"))
 
+def _classified(token: Column) -> Column:
+    """``kind`` (m month, n number, ? unknown), ``value``, ``size`` and ``text`` of what was kept."""
+    months = F.lit(",".join(name[:3] for name in MONTHS))
+    size = F.length(token)
+    digits = (token >= "0") & (token < ":") & (size <= 14)
+    month = F.when(~digits, F.nullif(F.find_in_set(token, months), F.lit(0)))
+    value = F.when(digits & (size <= 8), token).try_cast("int")
     # three digits or more are a year as they stand, which cannot be below 100
-    value = F.when(F.length(token) <= 8, token).try_cast("int")
-    number = as_token("n", F.when((F.length(token) <= 2) | (value >= 100), value), F.length(token))
-    passed = as_token("-", none, none)
-    return (
-        F.when(clock | token.isin(*_SEPARATORS) | (digits & F.coalesce(time, F.lit(False))), passed)
-        .when(digits, number)
-        .when(word > 0, as_token("m", word, none))
-        .when(word == 0, passed)
-        .otherwise(as_token("?", none, none))
-    )
+    value = F.when((size <= 2) | (value >= 100), value)
+    kind = F.when(digits, "n").when(month.isNotNull(), "m").otherwise("?")
+    return F.struct(kind.alias("kind"), F.coalesce(month, value).alias("value"), size.alias("size"), token.alias("text"))
 
 
 def _part(text: Column, start: int, size: int) -> Column:
@@ -114,8 +110,8 @@ def _dated(parts: Column) -> Column:
     """The day of year, month and day; NULL if there is none, and for years after 9999."""
     year = F.when(parts["y"] >= 100, parts["y"]).when(parts["y"] >= CENTURY_FROM, parts["y"] + 1900).otherwise(parts["y"] + 2000)
     fits = year.between(100, 9999) & parts["m"].between(1, 12) & (parts["d"] >= 1)
-    first = F.make_date(F.when(fits, year), F.when(fits, parts["m"]), F.lit(1))
-    return F.when(fits & (parts["d"] <= F.dayofmonth(F.last_day(first))), F.date_add(first, parts["d"] - 1))
+    first = F.when(fits, F.make_date(year, parts["m"], F.lit(1)))
+    return let(first, lambda day: F.when(parts["d"] <= F.dayofmonth(F.last_day(day)), F.date_add(day, parts["d"] - 1)))
 
 
 def parse_date(c: Column | str) -> Column:
@@ -127,28 +123,17 @@ def parse_date(c: Column | str) -> Column:
     ``yyyymmdd`` (time behind it or not), a year, or, with six digits, three numbers of two. Two-digit years are 1970 to 2069. A text of more than 100 characters is none.
     """
     text = F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
-    tokens = F.regexp_extract_all(F.when(F.length(text) <= 100, text), F.lit(_TOKEN), F.lit(1))
-
-    def classified(words: Column) -> Column:
-        def neighbours(token: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(words, i - 1), F.lit(""))
-            after = F.coalesce(F.get(words, i + 1), F.lit(""))
-            made = _classified(token, before, after)
-            return made.withField("text", token)
-
-        return F.transform(words, neighbours)
-
-    def solved(found: Column) -> Column:
-        known = F.filter(found, lambda x: x["kind"] != "-")
-        return let(known, lambda kept: _from_tokens(kept))
-
-    return let(tokens, lambda words: let(classified(words), solved))
+    kept = F.array_remove(F.split(F.regexp_replace(F.when(F.length(text) <= 100, text), F.lit(_KEPT), F.lit("$1$2$3 ")), " "), "")
+    # a date has three parts at most
+    return let(kept, lambda words: let(F.when(F.size(words) <= 3, F.transform(words, _classified)), _from_tokens))
 
 
 def _from_tokens(kept: Column) -> Column:
-    names = F.filter(kept, lambda x: x["kind"] == "m")
-    numbers = F.filter(kept, lambda x: x["kind"] == "n")
-    place = F.array_position(F.transform(kept, lambda x: x["kind"]), "m") - 1
-    whole = F.get(numbers, F.lit(0))["text"]
+    sorted_out = F.struct(
+        F.filter(kept, lambda x: x["kind"] == "m").alias("names"),
+        F.filter(kept, lambda x: x["kind"] == "n").alias("numbers"),
+        (F.array_position(kept["kind"], "m") - 1).alias("place"),
+    )
     unknown = F.exists(kept, lambda x: x["kind"] == "?")
-    return let(F.when(~unknown, _solved(names, numbers, place, whole)), _dated)
+    solved = let(sorted_out, lambda x: _solved(x["names"], x["numbers"], x["place"], F.get(x["numbers"], F.lit(0))["text"]))
+    return let(F.when(~unknown, solved), _dated)

@@ -163,7 +163,9 @@ def month_sequence(spark, sf_dir):
 )
 def date_coercion(spark, sf_dir):
     day = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select(
+    # parsing costs far more than a shuffle of three columns, and a file of one row group would be one task
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    return orders.repartition(4 * spark.sparkContext.defaultParallelism).select(
         "o_orderkey",
         T.parse_date(F.date_format(day, "yyyy/M/d")).alias("from_slashes"),
         T.parse_date(F.date_format(day, "MM/dd/yyyy")).alias("from_us"),

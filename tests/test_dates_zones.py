@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gustline.functions.dates import parse_date
 from gustline.functions.times import wall_clock
 from gustline.operators import zones
+from gustline.plans.times import date_coercion
 
 FORMS = (
     "%a, %d %b %Y %H:%M:%S -0500", "%d.%m.%Y", "%Y.%m.%d", "%Y%m%dT%H%M", "%Y%m%dT%H%M%S", "%d/%m/%Y", "%Y-%m-%d %I%p",
@@ -48,6 +49,24 @@ def test_partial_and_broken_dates(values):
     assert values(parse_date, None) == [None]
 
 
+def test_tokens_beside_each_other(values):
+    texts = {
+        "5t1234567 jan 2021": None, "20210129t120000 10 a.m.": date(2021, 1, 29), "29jan2021t10:30": date(2021, 1, 29), "t 2021": None, "janx 2021": None,
+        "sept. 5 2021": date(2021, 9, 5), "2021 10 am jan": date(2021, 1, 1), "08:52:00 -0500 29 jan 2021": date(2021, 1, 29), "jan 5 1 2 2021": None,
+        "t\t123456789012345": None, "10 pm": None, "at 10:20": None, "123456789 jan 5": None, "$1 jan 2021": None, "mayday 2021": None, "may/5/21": date(2021, 5, 5),
+    }
+    assert dict(zip(texts, values(parse_date, *texts), strict=True)) == texts
+
+
+def test_a_file_of_one_row_group_is_parsed_in_many_tasks(spark, tmp_path):
+    days = [(i, datetime(2021, 1, 1) + timedelta(days=i % 400), "1-URGENT") for i in range(300)]
+    spark.createDataFrame(days, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    parsed = date_coercion(spark, str(tmp_path))
+    assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {r.o_orderkey: (r.from_rfc, r.from_compact, r.from_pm, r.from_junk) for r in parsed.collect()}
+    assert got == {i: (day.date(), day.date(), day.date(), None) for i, day, _ in days}
+
+
 ZONES = ("America/New_York", "Australia/Sydney", "Australia/Lord_Howe", "Asia/Kathmandu", "UTC", "America/Phoenix")
 
 
