@@ -82,3 +82,25 @@ def test_pairs_of_two_streams(spark, tmp_path, batches):
         want += [(p[0], a) for a in met or [None]]
     got = [(r.i, r.alt_i) for r in spark.read.parquet(f"{tmp_path}/out").where("station <> 'tick'").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stations_of_an_hour_share_state_and_timers(spark, tmp_path):
+    at, stations = datetime(2024, 1, 1, 5), 400
+    first = [(k, f"S{k}", at, None if k % 3 else 1.0, 1, k) for k in range(stations)]
+    # every fourth station has a primary reading in the next batch, later ones change nothing
+    second = [(1000 + k, f"S{k}", at + timedelta(minutes=9), 2.0, 0, 1000 + k) for k in range(0, stations, 4)]
+    third = [(2000 + k, f"S{k}", at + timedelta(minutes=20), 3.0, k % 2, 2000 + k) for k in range(0, stations, 2)]
+    last = [(5000 + p, "tick", at + timedelta(days=2), 0.0, p, 10**6) for p in (0, 1)]
+    kept = []
+
+    def start(stream):
+        job = fallback.start_fallback(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", "station", "ts", ["arrival", "i"], COLUMNS, "1 hour")
+        job.awaitTermination()
+        kept.extend(x["stateOperators"][0]["numRowsTotal"] for x in job.recentProgress if x["stateOperators"])
+        return job
+
+    run(spark, tmp_path, [first, second, third, last], start)
+    assert 0 < max(kept) <= fallback.BUCKETS + 1
+    got = {r.station: (r.i, r.value, r.priority) for r in spark.read.parquet(f"{tmp_path}/out").where("station <> 'tick'").collect()}
+    want = {r[1]: (r[0], r[3], r[4]) for r in first} | {r[1]: (r[0], r[3], r[4]) for r in third if r[4] == 0 and (r[0] - 2000) % 4} | {r[1]: (r[0], r[3], r[4]) for r in second}
+    assert got == want
